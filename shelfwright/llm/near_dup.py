@@ -196,8 +196,11 @@ def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], samples: int) -
     return out.distinct(), parts
 
 
-def _buckets(rows: DataFrame, most: int | None) -> DataFrame:
-    """(a, b, big): pairs of each key's members; of a key with more than most members (key, member, true) instead."""
+def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> DataFrame:
+    """(a, b, big) of rows (key, member): pairs of each key's members; of a key with more than most members (key, member, true) instead.
+
+    With a window, only members at most so many places apart in their key are paired.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = member = np.zeros(0, np.int64)
@@ -234,7 +237,7 @@ def _buckets(rows: DataFrame, most: int | None) -> DataFrame:
                 if n < 2 or not len(runs):
                     continue
                 cells = member[runs[:, None] + np.arange(n)]
-                for i in range(1, n):  # i places apart: n steps, whatever the number of runs
+                for i in range(1, min(n, window + 1 if window else n)):  # i places apart: n steps, whatever the number of runs
                     out_a.append(cells[:, :-i].ravel()), out_b.append(cells[:, i:].ravel())
                     if sum(map(len, out_a)) > 200_000:
                         yield batch(out_a, out_b, False)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import components, near_dup, survivor, tree_tokens
+from shelfwright.llm import components, near_dup, rnn_clusters, survivor, tree_tokens
 from shelfwright.session import table
 
 
@@ -30,6 +30,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected(components.file_links(table(spark, sf_dir, "match_pairs"), table(spark, sf_dir, "graph_nodes")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn_clusters.found(table(spark, sf_dir, "cluster_results"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn_clusters.described(table(spark, sf_dir, "cluster_results"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
 }
 
