@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import components, near_dup, rnn_clusters, survivor, tree_tokens
+from shelfwright.llm import components, mixing, near_dup, rnn_clusters, survivor, tree_tokens
 from shelfwright.session import table
 
 
@@ -42,6 +42,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
 ORACLE: dict[str, str] = {
