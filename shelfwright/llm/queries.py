@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import components, mixing, near_dup, rnn_clusters, survivor, tree_tokens
+from shelfwright.llm import components, mixing, mojibake, near_dup, rnn_clusters, survivor, tree_tokens
 from shelfwright.session import table
 
 
@@ -30,6 +30,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected(components.file_links(table(spark, sf_dir, "match_pairs"), table(spark, sf_dir, "graph_nodes")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "snippets"))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "snippets"), "id", "text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnn_clusters.found(table(spark, sf_dir, "cluster_results"))
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
