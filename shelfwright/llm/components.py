@@ -1,12 +1,17 @@
 """Problem 3: consolidating pairwise matches into groups.
 
 Method: the giant component is peeled off by breadth-first frontier joins from the vertex of the highest degree and anti-joined
-away; the small components that remain are labelled by minimum propagation, with labels of labels taken over each round, so that
-a chain of n records needs about log n rounds.
+away; the small components that remain are labelled by minimum propagation.
 
-Each step is a join or an aggregation with map-side combine; a vertex that holds a third of all edges is spread over SALTS keys.
-Rounds are cut by tables in the shared folder. Should the search go deeper than MAX_DEPTH (the first vertex sits on a very long
-chain), what it has reached is contracted to one vertex and minimum propagation takes over: the result is the same.
+Ids are numbered in their own order first (range-partitioned, sorted, numbered within partitions), so that all rounds move pairs of
+longs and the smallest number is the smallest id. A frontier meets the edges under SALTS keys a vertex, since the first vertex may
+hold a third of all edges. The search ends when a level adds less than a TAIL of what has been reached, or at MAX_DEPTH: what it
+has reached is contracted to one vertex then, and the thin rest is left to minimum propagation; the result is the same.
+
+In a round of minimum propagation every vertex takes the smallest number among its neighbours and itself, then twice the label of
+its label, and the edges are contracted to labels. Only vertices without a smaller neighbour stay, at most half, so the rounds grow
+with the logarithm of the vertices at worst and their work shrinks. The rounds' labels are composed at the end, from the last round
+back. Every round is cut by tables in the shared folder.
 
 Defined results: links with a null side or twice the same side link nothing; repeated and reversed links count once; an id in no
 link is in no row; the group's identifier is its smallest id; no links give no rows. Extra columns are ignored.
@@ -16,13 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwright.llm.common import cut, forget
 
 SALTS = 8
-MAX_DEPTH = 40
-MAX_ROUNDS = 200
+MAX_DEPTH = 24
+TAIL = 0.02
+MAX_ROUNDS = 64
 
 
 def star_links(df: DataFrame, ids_col: str) -> DataFrame:
@@ -31,77 +36,80 @@ def star_links(df: DataFrame, ids_col: str) -> DataFrame:
     return df.select(ids.alias("_ids")).where("size(_ids) > 1").select(F.array_min("_ids").alias("a"), F.explode("_ids").alias("b")).where("a <> b")
 
 
-def _salted(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
-
-
-def _spread(vertices: DataFrame) -> DataFrame:
-    return vertices.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-
-
-def connected(links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, group_id) of each id in links (a, b)."""
-    one = links.select(links.columns[0], links.columns[1]).toDF("src", "dst").where("src is not null and dst is not null and src <> dst")
-    edges = cut(_salted(one.union(one.select("dst", "src")).distinct()), "edges")
+def connected(links: DataFrame, max_depth: int = MAX_DEPTH, tail: float = TAIL) -> DataFrame:
+    """(id, group_id) of each id in links (two columns)."""
+    spark = links.sparkSession
+    one = links.select(links.columns[0], links.columns[1]).toDF("a", "b").where("a is not null and b is not null and a <> b")
+    one = cut(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    ids = one.select(F.col("a").alias("id")).union(one.select("b")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+    ids = cut(ids.withColumn("v", F.monotonically_increasing_id()), "ids")
+    pairs = one.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    edges = cut(pairs.select(F.explode(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).alias("e")).select("e.src", "e.dst"), "edges")
+    forget(one)
     start = edges.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select("src").collect()
     if not start:
-        return edges.select(F.col("src").alias("id"), F.col("src").alias("group_id"))
+        return ids.select("id", F.col("id").alias("group_id"))
 
     # Breadth first from the vertex of the highest degree.
-    kind = edges.schema["src"].dataType
-    frontier = edges.sparkSession.createDataFrame([(start[0][0],)], T.StructType([T.StructField("id", kind)]))
-    levels, depth = [frontier], 0
-    visited = frontier
-    while True:
-        reached = _spread(frontier).withColumnRenamed("id", "src").join(edges, ["src", "salt"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(visited, "id", "left_anti"), "frontier")
-        if frontier.isEmpty():
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    frontier = cut(spark.range(start[0][0], start[0][0] + 1).select(F.col("id").alias("v")), "frontier")
+    visited, reached, ended = frontier, 1, False
+    for depth in range(max_depth):
+        spread = frontier.select(F.col("v").alias("src"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+        beside = spread.join(salted, ["src", "salt"]).select(F.col("dst").alias("v")).distinct()
+        frontier = cut(beside.join(visited, "v", "left_anti"), "frontier")
+        new = frontier.count()
+        ended = new == 0
+        if ended:
             break
-        depth += 1
-        levels.append(frontier)
-        if depth % 8 == 0:  # one file list to read instead of many
-            visited = cut(visited.union(frontier), "visited")
-        else:
-            visited = visited.union(frontier)
-        if depth >= max_depth:
+        grown = cut(visited.union(frontier), "visited")
+        forget(visited)
+        visited, reached = grown, reached + new
+        if depth >= 3 and new < tail * reached:
             break
-    visited = cut(visited, "visited")
-    low = visited.agg(F.min("id")).first()[0]
-    if depth >= max_depth:  # contracted, not finished
-        inside = visited.withColumn("at", F.lit(low))
-        rest = edges.join(inside.toDF("src", "at_src"), "src", "left").join(inside.toDF("dst", "at_dst"), "dst", "left")
-        rest = rest.select(F.coalesce("at_src", "src").alias("src"), F.coalesce("at_dst", "dst").alias("dst")).where("src <> dst").distinct()
-        rest = cut(_salted(rest), "rest")
-    else:
-        rest = cut(edges.join(visited.withColumnRenamed("id", "src"), "src", "left_anti"), "rest")
-    small = _propagate(rest)
-    if depth >= max_depth:
-        found = small.where(F.col("id") == F.lit(low)).select("group_id").collect()
-        low_of = found[0][0] if found else low
-        small = small.join(visited, "id", "left_anti")
-    else:
-        low_of = low
-    giant = visited.select("id", F.lit(low_of).cast(kind).alias("group_id"))
-    forget(*levels[1:], edges)
-    return giant.union(small)
+    low = visited.agg(F.min("v")).first()[0]
+    if ended:
+        rest = cut(edges.join(visited.select(F.col("v").alias("src")), "src", "left_anti"), "edges")
+    else:  # contracted, not finished
+        at = visited.withColumn("at", F.lit(low))
+        rest = edges.join(at.toDF("src", "x"), "src", "left").join(at.toDF("dst", "y"), "dst", "left")
+        rest = cut(rest.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst")).where("src <> dst").distinct(), "edges")
+    forget(edges)
+    labels = _propagate(rest)
+    if not ended:
+        hub = labels.where(F.col("v") == F.lit(low)).select("label").collect()
+        labels, low = labels.where(F.col("v") != F.lit(low)), hub[0][0] if hub else low
+    name = ids.where(F.col("v") == F.lit(low)).select("id").collect()[0][0]
+    giant = ids.join(visited, "v", "left_semi").select("id", F.lit(name).alias("group_id"))
+    inside = F.col("label") == F.lit(low)  # of the giant after all: its label is a literal, not a hot join key
+    far = labels.where(inside).join(ids, "v").select("id", F.lit(name).alias("group_id"))
+    small = labels.where(~inside).join(ids, "v").select("id", "label").join(ids.toDF("group_id", "label"), "label").select("id", "group_id")
+    return giant.union(far).union(small)
 
 
 def _propagate(edges: DataFrame) -> DataFrame:
-    """(id, group_id) by minimum propagation over edges (src, dst, salt) in both directions."""
-    labels = cut(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("group_id")), "labels")
+    """(v, label) of each vertex of edges (src, dst), given in both directions; label is the smallest of its component."""
+    rounds = []
     for _ in range(MAX_ROUNDS):
-        beside = edges.join(labels.select(F.col("id").alias("dst"), F.col("group_id").alias("g")), "dst").groupBy("src").agg(F.min("g").alias("g"))
-        nearer = labels.join(beside.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("group_id").alias("was"), F.least("group_id", F.coalesce("g", "group_id")).alias("group_id"))
-        of_label = labels.select(F.col("id").alias("group_id"), F.col("group_id").alias("up"))
-        jumped = nearer.join(of_label, "group_id", "left").select("id", F.least("group_id", F.coalesce("up", "group_id")).alias("group_id"), "was")
-        new = cut(jumped.select("id", "group_id", (F.col("group_id") != F.col("was")).alias("moved")), "labels")
-        moved = not new.where("moved").isEmpty()
-        forget(labels)
-        labels = new.select("id", "group_id")
-        labels._shelfwright_path = new._shelfwright_path
-        if not moved:
-            return labels
-    raise RuntimeError("minimum propagation did not settle")
+        near = edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("v"), F.least("src", "m").alias("label"))
+        near = cut(near, "labels")
+        for _ in range(2):
+            up = near.select(F.col("v").alias("label"), F.col("label").alias("up"))
+            near = near.join(up, "label").select("v", F.col("up").alias("label"))
+        near = cut(near, "labels")
+        rounds.append(near)
+        x, y = near.toDF("src", "x"), near.toDF("dst", "y")
+        rest = cut(edges.join(x, "src").join(y, "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")).where("src <> dst").distinct(), "edges")
+        forget(edges)
+        edges = rest
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError("minimum propagation did not settle")
+    out = rounds[-1]
+    for near in reversed(rounds[:-1]):
+        out = cut(near.join(out.toDF("label", "up"), "label", "left").select("v", F.coalesce("up", "label").alias("label")), "labels")
+    return out
 
 
 def file_links(match_pairs: DataFrame, graph_nodes: DataFrame) -> DataFrame:
