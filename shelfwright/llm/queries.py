@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import components, mixing, mojibake, near_dup, rnn_clusters, survivor, tree_tokens
+from shelfwright.llm import components, mixing, mojibake, near_dup, pii, rnn_clusters, survivor, tree_tokens
 from shelfwright.session import table
 
 
@@ -58,6 +58,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "masked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_masked": p8_masked,
 }
 
 ORACLE: dict[str, str] = {
