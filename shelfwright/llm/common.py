@@ -1,55 +1,6 @@
-"""What the operators of this subpackage share: cutting lineage in the cluster's shared folder."""
-
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+"""What the operators of this subpackage share with the core."""
 
 from shelfwright.session import ship
+from shelfwright.tables import cut, forget, shared_dir
 
-__all__ = ["cut", "forget", "forget_all", "ship", "shared_dir"]
-
-_KEPT: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="shelfwright-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written as a table to the shared folder and read back: short lineage, no recomputation, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfwright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _KEPT.append(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._shelfwright_path = path
-    return back
-
-
-def forget(*dfs: DataFrame | None) -> None:
-    """Delete tables of cut() that no later step reads."""
-    for df in dfs:
-        path = getattr(df, "_shelfwright_path", None)
-        if path:
-            delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _KEPT:
-        _KEPT.remove(path)
-
-
-def forget_all(spark: SparkSession) -> None:
-    """Delete every table of cut() that is left, once results have been written elsewhere."""
-    for path in list(_KEPT):
-        delete(spark, path)
+__all__ = ["cut", "forget", "shared_dir", "ship"]
