@@ -7,13 +7,15 @@ Method: improved consistent weighted sampling (Ioffe 2010) over TF-IDF word shin
    strangers look alike.
 2. Texts with one bag of shingles are one class; later steps see one representative of each class.
 3. Each representative gets SAMPLES consistent weighted samples (shingle, quantised weight). Two texts agree in a sample with a
-   probability equal to their weighted Jaccard similarity.
+   probability equal to their weighted Jaccard similarity. Where at least half of a text's shingles stand in more than COMMON of all
+   texts (a large share of the corpus is near copies of one text), inverse frequencies would leave only the edits; such texts get a
+   second set of samples with weights tf alone.
 4. BANDS keys, each of ROWS samples, are the blocking keys. One shuffle brings equal keys together; they are read as a stream,
-   so no bucket is held in memory. A bucket of more than BUCKET classes is split by further samples of its members (a near copy
-   of similarity s stays together in some split with probability 1 - (1 - s)^EXTRA), as often as it takes up to DEPTH times;
-   what is still large then is near copies throughout and is compared block by block.
+   so no bucket is held in memory. A bucket of more than BUCKET classes is cut into chunks, and pairs of chunks are tasks of their
+   own: there, signatures are compared block by block, and only pairs that agree often enough leave the task.
 5. Candidate pairs whose samples agree too rarely are dropped by a binomial bound, the rest are verified exactly on their
-   shingles: weighted Jaccard, and the plain Jaccard of the sets.
+   shingles: weighted Jaccard (between texts of common shingles the higher of that and the one by tf), and the plain Jaccard of
+   the sets.
 
 Defined results: null, empty and wordless texts, and texts of fewer than min_words words, are in no group; a text of fewer than
 k words is one shingle; an id given twice with one text is one record; an id with two texts belongs to the classes of both.
@@ -37,7 +39,8 @@ from shelfwright.llm.sketch import count_items
 
 SAMPLES, ROWS, BANDS = 28, 3, 28
 WIDTH = 1 << 20  # counters of the document frequency sketch
-BUCKET, EXTRA, DEPTH = 64, 8, 3
+BUCKET, CHUNK = 64, 4096
+COMMON = 0.02
 CELLS = 1 << 13  # shingles sampled at once
 TABLE = 4096
 
@@ -138,6 +141,7 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
 
     counts, n_docs = count_items(docs.select("_text"), slots, width)
     table = spark.sparkContext.broadcast(_idf_table(counts, n_docs))  # 4 bytes a slot, whatever the corpus
+    common = np.float32(2 * np.log(np.log((2.0 + n_docs) / (1.0 + COMMON * n_docs)) + 1e-3))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, two_ln_idf = sampler(samples), table.value
@@ -155,45 +159,99 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
                     keep = np.repeat(keep, lens)
                     h, tf, starts = h[keep], tf[keep], np.append(0, np.cumsum(lens[ok]))
                 lw = two_ln_idf[_slot(h, width)]
+                often = np.add.reduceat((lw < common).astype(np.int64), starts[:-1]) * 2 >= np.diff(starts)
+                ln_tf = np.zeros(len(h), np.float32)
                 many = tf > 1
-                lw[many] += np.log(tf[many]).astype(np.float32)
-                sig = sample(h, lw, starts)
+                ln_tf[many] = np.log(tf[many]).astype(np.float32)
+                sig = sample(h, lw + ln_tf, starts)
+                plain = np.zeros((int(often.sum()), samples), np.uint32)
+                if often.any():
+                    keep = np.repeat(often, np.diff(starts))
+                    plain = sample(h[keep], ln_tf[keep], np.append(0, np.cumsum(np.diff(starts)[often])))
                 x = mix(h + tf.astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 f1, f2 = np.add.reduceat(x, starts[:-1]), np.add.reduceat(mix(x ^ U(0x51)), starts[:-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * samples), pa.array(sig.reshape(-1).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok + at)), pa.array(mix(f1).view(np.int64)), pa.array(mix(f2).view(np.int64)), lists], names=["_id", "f1", "f2", "sig"])
+                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(often)).astype(np.int32) * samples), pa.array(plain.reshape(-1).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok + at)), pa.array(mix(f1).view(np.int64)), pa.array(mix(f2).view(np.int64)), lists, more], names=["_id", "f1", "f2", "sig", "plain"])
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    signed = cut(docs.mapInArrow(signatures, f"_id {id_type}, f1 long, f2 long, sig array<int>"), "signatures")
-    classes = cut(signed.groupBy("f1", "f2").agg(F.min(F.struct("_id", "sig")).alias("m"), F.count("*").alias("n")).select("f1", "f2", F.col("m._id").alias("rep"), F.col("m.sig").alias("sig"), "n"), "classes")
+    signed = cut(docs.mapInArrow(signatures, f"_id {id_type}, f1 long, f2 long, sig array<int>, plain array<int>"), "signatures")
+    classes = cut(signed.groupBy("f1", "f2").agg(F.min(F.struct("_id", "sig", "plain")).alias("m"), F.count("*").alias("n")).select("f1", "f2", F.col("m._id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.plain").alias("plain"), "n"), "classes")
     members = signed.select("_id", "f1", "f2").join(classes.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(F.col("_id").alias("id"), F.col("f1").alias("class_id"), F.coalesce("rep", "_id").alias("rep")).distinct()
 
-    pairs, parts = _candidates(classes.select("f1", "sig"), band_samples(samples, rows, bands), samples)
     #: Agreements out of `samples` that a pair at the threshold misses with a probability under 1e-4.
     least = int(max(rows, np.floor(samples * threshold - 3.8 * np.sqrt(samples * threshold * (1 - threshold)))))
-    a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"))
-    likely = cut(pairs.join(a, "a").join(b, "b").where(F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= least).select("a", "b"), "likely")
-    links = _verify(docs, classes, likely, table, k, threshold, width)
+    pairs, parts = _candidates(classes.select("f1", "sig", "plain"), band_samples(samples, rows, bands), least)
+    a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
+    agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
+    likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least) | (agree("plain_a", "plain_b") >= least)).select("a", "b"), "likely")
+    links = _verify(docs, classes, likely, table, float(common), k, threshold, width)
     return NearDuplicates(members, links, (signed, classes, likely, *parts))
 
 
-def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], samples: int) -> tuple[DataFrame, list[DataFrame]]:
+def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Distinct pairs (a < b) of class hashes that share a band, and the tables they are made of."""
-    keys = F.array(*[F.xxhash64(F.lit(j), *[F.col("sig")[i] for i in s]) for j, s in enumerate(sets)])
-    rows, parts, found = classes.select(F.explode(keys).alias("key"), "f1"), [], []
-    for depth in range(DEPTH + 1):
-        part = cut(_buckets(rows, BUCKET if depth < DEPTH else None), f"pairs{depth}")
-        parts.append(part)
-        found.append(part.where("not big").select("a", "b"))
-        big = part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1"))
-        if depth == DEPTH or big.isEmpty():
-            break
-        more = [(7 * depth + 5 * j + 3) % samples for j in range(EXTRA)]
-        rows = big.join(classes, "f1").select(F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.col("sig")[i]) for j, i in enumerate(more)])).alias("key"), "f1").distinct()
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct(), parts
+    key = lambda sig, tag: [F.xxhash64(F.lit(tag + j), *[F.col(sig)[i] for i in s]) for j, s in enumerate(sets)]
+    both = F.when(F.size("plain") > 0, F.concat(F.array(*key("sig", 0)), F.array(*key("plain", 1000)))).otherwise(F.array(*key("sig", 0)))
+    part = cut(_buckets(classes.select(F.explode(both).alias("key"), "f1"), BUCKET), "pairs")
+    small = part.where("not big").select("a", "b")
+    big = part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1"))
+    if big.isEmpty():
+        return small.distinct(), [part]
+    return small.union(_large(big, classes, least)).distinct(), [part]
+
+
+NONE = 1 << 40  # no sample
+
+
+def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the members of large buckets whose samples agree often enough: chunk against chunk, each pair of chunks a task."""
+    size = big.groupBy("key").agg(F.count("*").alias("m"))
+    rows = big.join(size, "key").join(classes, "f1").withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = rows.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "f1", "sig", "plain")
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        width = max(1, int(np.max(col.value_lengths().to_numpy(zero_copy_only=False), initial=0)))
+        out = np.full((len(col), width), NONE, np.int64)
+        lens = col.value_lengths().to_numpy(zero_copy_only=False)
+        out[lens > 0] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return out
+
+    def compare(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = cell.combine_chunks()
+        own, f1 = cell["own"].to_numpy(), cell["f1"].to_numpy()
+        left, right = np.flatnonzero(own == cell["i"][0].as_py()), np.flatnonzero(own == cell["j"][0].as_py())
+        sigs = [matrix(cell[c].chunk(0)) for c in ("sig", "plain")]
+        for at in range(0, len(left), 64):
+            l = left[at : at + 64]  # noqa: E741
+            enough = np.zeros((len(l), len(right)), bool)
+            for m in sigs:
+                enough |= ((m[l][:, None, :] == m[right][None, :, :]) & (m[l] != NONE)[:, None, :]).sum(2) >= least
+            p, q = np.nonzero(enough)
+            a, b = f1[l[p]], f1[right[q]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one cell: two chunks at most
+        now = None
+        for b in batches:
+            ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+            at = 0
+            while at < len(ids):
+                if ids[at] != now:
+                    if held:
+                        yield from compare(pa.Table.from_batches(held))
+                    held, now = [], ids[at]
+                to = at
+                while to < len(ids) and ids[to] == now:
+                    to += 1
+                held.append(b.slice(at, to - at))
+                at = to
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> DataFrame:
@@ -271,7 +329,7 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
 BLOOM_BITS = 1 << 23
 
 
-def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, k: int, threshold: float, width: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, common: float, k: int, threshold: float, width: int) -> DataFrame:
     """Exact similarities of the likely pairs, by representatives."""
     spark = docs.sparkSession
     ends = likely.select(F.col("a").alias("f1")).union(likely.select("b")).distinct()
@@ -314,28 +372,35 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, k: in
     bags = cut(bags.join(wanted, ["f1", "f2", "rep"], "left_semi").dropDuplicates(["f1", "f2"]).select("f1", "rep", "bag"), "bags")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf2 = np.exp(table.value.astype(np.float64))
+        two_ln_idf = table.value
+        idf2 = np.exp(two_ln_idf.astype(np.float64))
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
             each = []
+            often = np.ones(n, bool)
             for c in (2, 3):
                 lens = b.column(c).value_lengths().to_numpy(zero_copy_only=False)
                 v = b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 h = v >> U(20)
-                w = (v & U((1 << 20) - 1)).astype(np.float64) * idf2[_slot(h, width)]
+                at, tf = _slot(h, width), (v & U((1 << 20) - 1)).astype(np.float64)
                 p = np.repeat(np.arange(n), lens)
-                each.append((p, h, w, lens))
-            (pa_, ha, wa, la), (pb, hb, wb, lb) = each
-            p, h, w = np.concatenate([pa_, pb]), np.concatenate([ha, hb]), np.concatenate([wa, wb])
+                often &= np.bincount(p[two_ln_idf[at] < common], minlength=n) * 2 >= lens
+                each.append((p, h, tf * idf2[at], tf, lens))
+            (pa_, ha, wa, ta, la), (pb, hb, wb, tb, lb) = each
+            p, h, w, tf = np.concatenate([pa_, pb]), np.concatenate([ha, hb]), np.concatenate([wa, wb]), np.concatenate([ta, tb])
             o = np.lexsort((h, p))
-            p, h, w = p[o], h[o], w[o]
+            p, h, w, tf = p[o], h[o], w[o], tf[o]
             same = np.flatnonzero((h[1:] == h[:-1]) & (p[1:] == p[:-1]))
-            common = np.bincount(p[same], minlength=n)
-            low = np.bincount(p[same], np.minimum(w[same], w[same + 1]), minlength=n)
-            total = np.bincount(p, w, minlength=n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low / np.maximum(total - low, 1e-300)), pa.array(common / (la + lb - common))], names=["x", "y", "weighted", "jaccard"])
+            common_n = np.bincount(p[same], minlength=n)
+
+            def jaccard(w: np.ndarray) -> np.ndarray:
+                low = np.bincount(p[same], np.minimum(w[same], w[same + 1]), minlength=n)
+                return low / np.maximum(np.bincount(p, w, minlength=n) - low, 1e-300)
+
+            weighted = np.where(often, np.maximum(jaccard(w), jaccard(tf)), jaccard(w))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weighted), pa.array(common_n / (la + lb - common_n))], names=["x", "y", "weighted", "jaccard"])
 
     x = bags.select(F.col("f1").alias("a"), F.col("rep").alias("x"), F.col("bag").alias("bag_x"))
     y = bags.select(F.col("f1").alias("b"), F.col("rep").alias("y"), F.col("bag").alias("bag_y"))

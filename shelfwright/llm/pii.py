@@ -62,25 +62,28 @@ AT_RE, DOT_RE = re.compile(f"(?i){AT}|\\s*@\\s*"), re.compile(f"(?i){DOT}")
 
 
 class Plain:
-    """A text in plain form; at[i] is the source position of its character i, at[-1] the source's end."""
+    """A text in plain form; its character i stands for the source's characters from at[i] to before to[i]."""
 
     def __init__(self, text: str):
-        self.text, self.at = text, None
+        self.text, self.at, self.to = text, None, None
 
-    def source(self, i: int) -> int:
-        return i if self.at is None else self.at[i]
+    def source(self, i: int, j: int) -> tuple[int, int]:
+        """The stretch of the source that characters i to before j stand for."""
+        return (i, j) if self.at is None else (self.at[i], self.to[j - 1])
 
     def edit(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace stretches; characters of a replacement stand at its stretch's start."""
+        """Replace stretches; each character of a replacement stands for its whole stretch."""
         if not edits:
             return
-        at = self.at if self.at is not None else list(range(len(self.text) + 1))
-        out, new, p = [], [], 0
+        n = len(self.text)
+        at, to = (self.at, self.to) if self.at is not None else (list(range(n)), list(range(1, n + 1)))
+        out, new_at, new_to, p = [], [], [], 0
         for i, j, s in edits:
             out += [self.text[p:i], s]
-            new += at[p:i] + [at[i]] * len(s)
+            new_at += at[p:i] + [at[i]] * len(s)
+            new_to += to[p:i] + [to[j - 1]] * len(s)
             p = j
-        self.text, self.at = "".join([*out, self.text[p:]]), new + at[p:]
+        self.text, self.at, self.to = "".join([*out, self.text[p:]]), new_at + at[p:], new_to + to[p:]
 
 
 def plain(text: str) -> Plain:
@@ -282,7 +285,7 @@ def findings(text: str | None, given: Given) -> list[tuple[int, int, str]]:
             if ok:
                 add(i, j, "name")
                 next_ = j
-    return sorted((p.source(i), p.source(j - 1) + 1, k) for i, j, k in out)
+    return sorted((*p.source(i, j), k) for i, j, k in out)
 
 
 #: What may stand between a name and the address or number that marks it.
