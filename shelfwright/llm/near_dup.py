@@ -42,15 +42,16 @@ WIDTH = 1 << 20  # counters of the document frequency sketch
 BUCKET, CHUNK = 64, 4096
 COMMON = 0.02
 CELLS = 1 << 13  # shingles sampled at once
-TABLE = 4096
+TABLE = 1024
 
 
 @dataclass
 class NearDuplicates:
-    """members: id, class_id (hash of the class), rep (its smallest id). links: rep_a, rep_b, weighted, jaccard, rep_a < rep_b."""
+    """members: id, class_id (hash of the class), rep (its smallest id). links: rep_a, rep_b, weighted, jaccard, rep_a < rep_b. copies: rep, id of the classes of several rows."""
 
     members: DataFrame
     links: DataFrame
+    copies: DataFrame
     parts: tuple[DataFrame, ...] = ()
 
 
@@ -72,31 +73,37 @@ def sampler(samples: int = SAMPLES, seed: int = 7):
     r = rng.gamma(2.0, 1.0, TABLE).astype(np.float32)
     inv_r = (1 / r).astype(np.float32)
     ln_c = (np.log(rng.gamma(2.0, 1.0, TABLE)) + 64).astype(np.float32)  # + 64: all keys positive, so that their bits are in order
-    seeds = rng.integers(1 << 62, size=samples).astype(np.uint64)
+    seeds = rng.integers(1 << 32, size=samples).astype(np.uint32)
+    c1, c2 = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 
     def cells(h: np.ndarray, lw: np.ndarray) -> np.ndarray:
-        m = h[:, None] ^ seeds[None, :]
-        m *= U(0xFF51AFD7ED558CCD)
-        m ^= m >> U(32)
-        m *= U(0xC4CEB9FE1A85EC53)
-        beta = ((m >> U(8)) & U(0xFFFFFF)).astype(np.float32)
-        beta *= np.float32(2**-24)
-        ir = (m >> U(52)).view(np.int64)
-        t = inv_r.take(ir)
+        """The key of each (shingle, sample): ln a in order above, the sampled (shingle, step) below. 32-bit mixing, 10 + 10 + 12 bits."""
+        low = (h ^ (h >> U(32))).astype(np.uint32)
+        m = low[:, None] ^ seeds[None, :]
+        m *= c1
+        m ^= m >> np.uint32(15)
+        m *= c2
+        m ^= m >> np.uint32(16)
+        beta = (m & np.uint32(4095)).astype(np.float32)
+        beta *= np.float32(1 / 4096)
+        m >>= np.uint32(12)
+        ic = m & np.uint32(TABLE - 1)
+        m >>= np.uint32(10)
+        t = inv_r.take(m)
         t *= lw[:, None]
         t += beta
         np.floor(t, out=t)
-        fp = t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
-        fp ^= h.astype(np.uint32)[:, None]
+        fp = t.astype(np.int32).view(np.uint32)
+        fp *= np.uint32(0x9E3779B1)
+        fp ^= low[:, None]
         t -= beta
         t += np.float32(1)
-        t *= r.take(ir)
-        a = ln_c.take(((m >> U(40)) & U(TABLE - 1)).view(np.int64))
+        t *= r.take(m)
+        a = ln_c.take(ic)
         a -= t
-        key = a.view(np.uint32).astype(np.uint64)
-        key <<= U(32)
-        key |= fp
-        return key
+        key = np.empty((*fp.shape, 2), np.uint32)
+        key[..., 0], key[..., 1] = fp, a.view(np.uint32)
+        return key.view(np.uint64)[..., 0]
 
     def sample(h: np.ndarray, lw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out = np.empty((len(starts) - 1, samples), np.uint32)
@@ -179,14 +186,16 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     classes = cut(signed.groupBy("f1", "f2").agg(F.min(F.struct("_id", "sig", "plain")).alias("m"), F.count("*").alias("n")).select("f1", "f2", F.col("m._id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.plain").alias("plain"), "n"), "classes")
     members = signed.select("_id", "f1", "f2").join(classes.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(F.col("_id").alias("id"), F.col("f1").alias("class_id"), F.coalesce("rep", "_id").alias("rep")).distinct()
 
-    #: Agreements out of `samples` that a pair at the threshold misses with a probability under 1e-4.
-    least = int(max(rows, np.floor(samples * threshold - 3.8 * np.sqrt(samples * threshold * (1 - threshold)))))
+    #: Agreements out of `samples` that a pair just at the threshold misses with a probability under 0.01, and one 0.15 above it under 1e-4.
+    least = int(max(rows, np.floor(samples * threshold - 2.5 * np.sqrt(samples * threshold * (1 - threshold)))))
     pairs, parts = _candidates(classes.select("f1", "sig", "plain"), band_samples(samples, rows, bands), least)
     a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
     likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least) | (agree("plain_a", "plain_b") >= least)).select("a", "b"), "likely")
     links = _verify(docs, classes, likely, table, float(common), k, threshold, width)
-    return NearDuplicates(members, links, (signed, classes, likely, *parts))
+    several = classes.where("n > 1").select("f1", "f2", "rep")
+    copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select("rep", "id").distinct(), "copies")
+    return NearDuplicates(members, links, copies, (signed, classes, likely, *parts))
 
 
 def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -415,13 +424,10 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, jaccard: f
     """
     near = find(df, id_col, text_col, k, weighted, min_words)
     links = near.links.where(F.col("jaccard") >= jaccard).select("rep_a", "rep_b")
-    # Classes differ only in how often shingles occur, or in the shingles: a class's own members are pairs as well.
-    size = near.members.groupBy("rep").agg(F.count("*").alias("n"))
-    several = near.members.join(size.where("n > 1"), "rep").select("rep", "id")
-    within = several.join(several.select("rep", F.col("id").alias("id_b")), "rep").select(F.col("id").alias("id_a"), "id_b")
-    m = near.members.select("rep", "id")
-    ends = m.join(links.select(F.col("rep_a").alias("rep")).union(links.select("rep_b")).distinct(), "rep", "left_semi")
-    across = links.join(ends.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), "rep_a").join(ends.select(F.col("rep").alias("rep_b"), F.col("id").alias("y")), "rep_b")
+    # All ids of a class of copies are pairs, and each of them a pair with the ids of linked classes.
+    within = near.copies.join(near.copies.select("rep", F.col("id").alias("id_b")), "rep").select(F.col("id").alias("id_a"), "id_b")
+    x, y = near.copies.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), near.copies.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
+    across = links.join(x, "rep_a", "left").join(y, "rep_b", "left").select(F.coalesce("x", "rep_a").alias("x"), F.coalesce("y", "rep_b").alias("y"))
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return within.union(across).where("id_a < id_b").distinct()
 
