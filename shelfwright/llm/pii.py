@@ -146,7 +146,7 @@ PHONE = re.compile(
 DATE = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|(?:19|20)\d{6})(?:[\sT]\d.*)?$")
 CALL = re.compile(r"(?i)(?:\b(?:tel|telefon\w*|téléphone|teléfono|phone|fon|mobile?|cell|handy|call|ring|dial|voicemail|reached|text|fax|whatsapp|appeler|joindre|joignable|llamar|llame|erreichbar|anrufen|rufnummer|nummer|unter|portable|móvil|contact)\b[^\n]{0,24}|@[\w-]+:\s*|[;|]\s*|\"(?:tel|phone|mobile)\"\s*:\s*\")$")
 NOT_NUMBER = re.compile(r"(?i)\b(?:part\s*(?:no|number|nr)\.?|asset(?:\s+tag)?|ticket|issue|invoice|inv|order|build|version|release|size|wrote|serial(?:\s+no\.?)?|sku|batch|isbn|issn|port|row|rows|page|seite|página|edition|commit|rev|revision|model|item|lot|case|tracking|job|pid|checksum|hash|port|line|bug|pr)\W{0,3}$")
-AFTER_NOT = re.compile(r"(?i)^\s*(?:bytes?|[kmgt]i?b|rows?|files?|dateien|fichiers|ficheros|items?|px|ms|sec)\b")
+AFTER_NOT = re.compile(r"^\s*(?:[Bb]ytes?|[kKMGT]i?B|rows?|files?|Dateien|fichiers|ficheros|items?|px|ms|sec)\b")
 ID_WORDS = re.compile(
     r"(?i)(?:social\s+security|\bssn\b|national\s+insurance|\bni\s+(?:no|number)|\bnino\b|\btax\b|tax[_\s-]*id|\btin\b|\bid\s*(?:no|nr|number|card)?\b|identity|identification|passport|reisepass|pasaporte|passeport|steuer\w*|ausweis\w*|personalausweis|sozialversicherung\w*|versicherungs\w*|rentenversicherung\w*|\bdni\b|\bnie\b|\bnif\b|identidad|documento|identité|sécu\b|sécurité\s+sociale|\bnir\b|fiscal\w*|impôts?|seguridad\s+social|carte\s+d)[^\n]{0,70}$"
 )
@@ -167,7 +167,7 @@ NAME_PART = rf"(?:O'|D'|Mc|Mac|L')?{CAP}(?:[a-zß-öø-ÿœ]+(?:'[a-z]+)?|[A-ZÀ
 INITIAL = rf"{CAP}\.(?:-?{CAP}\.)*"
 GAP = r"[ \t]"
 NAMED = re.compile(
-    rf"(?<![\w'.@/\-])(?:(?P<given>{NAME_PART})(?:{GAP}{INITIAL}|{GAP}(?P<second>{NAME_PART}(?={GAP})))?|(?!M\.{GAP}(?:{NAME_PART}|{INITIAL}){GAP}?,?{GAP}?(?:{PARTICLE})?{CAP})(?P<initials>{INITIAL}(?:{GAP}?{INITIAL})*)){GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)"
+    rf"(?<![\w'.@/\-])(?:(?P<given>{NAME_PART})(?:{GAP}{INITIAL}|{GAP}(?P<second>{NAME_PART}(?={GAP})))?|(?!M\.{GAP}(?:{NAME_PART}|{INITIAL}){GAP}(?:{PARTICLE})?{CAP})(?P<initials>{INITIAL}(?:{GAP}?{INITIAL})*)){GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)"
 )
 SHORT = re.compile(rf"(?<![\w'.@/\-])(?P<given>{NAME_PART})(?:{GAP}{INITIAL})?{GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)")
 REVERSED = re.compile(rf"(?<![\w'.@/\-])(?P<particle>{PARTICLE})?(?P<family>{NAME_PART}),{GAP}(?P<given>{NAME_PART}|{INITIAL})(?:{GAP}{INITIAL})?(?![\w@'/]|-\w|\.\w)")
@@ -275,13 +275,13 @@ def findings(text: str | None, given: Given) -> list[tuple[int, int, str]]:
                 continue
             if rx is SHORT and given.known(m.group("family")):
                 continue  # two given names: the family comes later
-            sure = _marked(t, i, j) or bool(BESIDE.match(t, j) and any(taken[j : j + 6])) or t[max(0, i - 2) : i] == "/ "
+            sure = _marked(t, i, j) or bool((beside := BESIDE.match(t, j)) and any(taken[j : beside.end() + 1])) or t[max(0, i - 2) : i] == "/ "
             if g and not g.endswith("."):
                 ok = given.known(g) or (sure and not given.known(m.group("family")))
                 if not ok and rx is NAMED and m.group("second") and given.known(m.group("second")):
                     i, ok = m.start("second"), True
             else:  # initials: the family must be known, or the name marked
-                ok = (sure or given.family(m.group("family"))) and not re.search(r"[º°][ \t]?$|\w\.$" if sure else r"[º°\d][ \t]?$|\w\.$", t[max(0, i - 3) : i])
+                ok = (sure or given.family(m.group("family"))) and not re.search(r"[º°][ \t]?\Z|\w\.\Z" if sure else r"[º°\d][ \t]?\Z|\w\.\Z", t[max(0, i - 3) : i])
             if ok:
                 add(i, j, "name")
                 next_ = j
@@ -289,7 +289,7 @@ def findings(text: str | None, given: Given) -> list[tuple[int, int, str]]:
 
 
 #: What may stand between a name and the address or number that marks it.
-BESIDE = re.compile(r"(?:,[ \t]|[ \t]\|[ \t]|\n|;)")
+BESIDE = re.compile(r"(?:,[ \t]|[ \t]\|[ \t]|\n(?!\s)|;)")
 
 
 def _weekday(s: str) -> bool:
