@@ -332,7 +332,8 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
             x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), big))], names=["a", "b", "big"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(emit, "a long, b long, big boolean")
+    order = ["key"] if window is None else ["key", "member"]  # a window's pairs hang on the order
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(emit, "a long, b long, big boolean")
 
 
 BLOOM_BITS = 1 << 23

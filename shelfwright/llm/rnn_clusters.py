@@ -98,36 +98,54 @@ def cluster(members: DataFrame, pts: DataFrame, threshold: float = THRESHOLD, sl
     vectors = cut(side(0, "files").union(side(1, "terms")), "vectors")
     label = cut(pts.select("c", F.col("c").alias("root")), "labels")
     steps = BANDS // AT_ONCE
+    known: DataFrame | None = None  # similar pairs of the last rounds, with all keys
+    changed: DataFrame | None = None
     for i in range(MAX_ROUNDS):
         last = i >= steps
         use = keys if last else keys.where((F.pmod("band", F.lit(BANDS)) >= i * AT_ONCE) & (F.pmod("band", F.lit(BANDS)) < (i + 1) * AT_ONCE))
         rows = use.join(label, "c").select("key", F.col("root").alias("member")).distinct()
+        if known is not None:  # pairs that no merge has touched are as they were
+            rows = cut(rows, "rows")
+            rows = rows.join(rows.join(changed, "member", "left_semi").select("key").distinct(), "key", "left_semi")
         pairs = _buckets(rows, None, None if last else WINDOW).select("a", "b").distinct()
-        best = cut(_best(pairs, vectors, threshold), "best")
-        parent = cut(_parents(best, slack), "parents")
-        forget(best)
+        if known is not None:
+            one, two = changed.withColumnRenamed("member", "a").withColumn("x", F.lit(True)), changed.withColumnRenamed("member", "b").withColumn("y", F.lit(True))
+            pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("x or y").select("a", "b")
+        sims = _sims(pairs, vectors, threshold)
+        if known is not None:
+            sims = known.unionByName(sims)
+        sims = cut(sims, "sims")
+        parent = cut(_parents(_best(sims), slack), "parents")
         if parent.isEmpty():
-            forget(parent)
+            forget(parent, sims)
             if last:
                 break
             continue
+        changed = cut(parent.select(F.col("root").alias("member")).distinct(), "changed")
+        if last:
+            gone = parent.select("c").union(changed)
+            known = cut(sims.join(gone.withColumnRenamed("c", "a"), "a", "left_anti").join(gone.withColumnRenamed("c", "b"), "b", "left_anti").select("a", "b", "sim"), "known")
         new = cut(label.withColumnRenamed("root", "was").join(parent.withColumnRenamed("c", "was"), "was", "left").select("c", F.coalesce("root", "was").alias("root")), "labels")
         merged = vectors.join(parent, "c", "left").select(F.coalesce("root", "c").alias("c"), "side", "token", "w", F.col("c").alias("part"), "n")
         sizes = merged.select("c", "side", "part", "n").distinct().groupBy("c", "side").agg(F.sum("n").alias("n"))
         sums = cut(merged.groupBy("c", "side", "token").agg(F.sum("w").alias("w")).join(sizes, ["c", "side"]).select("c", "side", "n", "token", "w"), "vectors")
-        forget(label, vectors, parent)
+        forget(label, vectors, parent, sims)
         label, vectors = new, sums
     smallest = members.join(label, "c").select("id", F.col("root").alias("cluster_id"))
     forget(keys)
     return smallest, vectors
 
 
-def _best(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(c, other, sim): each cluster's best neighbour among the pairs, ties to the smallest."""
+def _sims(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of the pairs that are at least as similar as the threshold."""
     a = vectors.select(F.col("c").alias("a"), "side", "token", F.col("w").alias("wa"), F.col("n").alias("na"))
     b = vectors.select(F.col("c").alias("b"), "side", "token", F.col("w").alias("wb"), F.col("n").alias("nb"))
     dots = pairs.join(a, "a").join(b, ["b", "side", "token"]).groupBy("a", "b", "side").agg((F.sum(F.col("wa") * F.col("wb")) / F.first("na") / F.first("nb")).alias("sim"))
-    sims = dots.groupBy("a", "b").agg(F.round(F.max("sim"), 9).alias("sim")).where(F.col("sim") >= threshold)
+    return dots.groupBy("a", "b").agg(F.round(F.max("sim"), 9).alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _best(sims: DataFrame) -> DataFrame:
+    """(c, other, sim): each cluster's best neighbour, ties to the smallest."""
     both = sims.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))).alias("p"), "sim")
     top = both.groupBy("p.c").agg(F.max(F.struct("sim", (-F.col("p.other")).alias("low"))).alias("t"))
     return top.select("c", (-F.col("t.low")).alias("other"), F.col("t.sim").alias("sim"))
