@@ -54,10 +54,10 @@ DIGITS = {
     ]) for w in ws.split()
 }
 SPELLED = re.compile(r"(?i)\b(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:[\s,.-]{1,3}(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")){5,}\b")
-MIXED = re.compile(r"[A-Za-z]+[Ͱ-ԯ]+\w*|[Ͱ-ԯ]+[A-Za-z]+\w*")
+MIXED = re.compile(r"(?<![A-Za-z])[A-Za-z]++[Ͱ-ԯ]+\w*|(?<![Ͱ-ԯ])[Ͱ-ԯ]++[A-Za-z]+\w*")
 AT = r"(?:\s*[\[({<]\s*(?:at|@|ät|arroba|arobase|chez)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+(?=[\w-]+\s*(?:[\[({]\s*(?:dot|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)))"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
-DISGUISED = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]+(?:{DOT}[\w%+-]+)*(?:{AT}|@|\s@\s?|@\s)[\w-]+(?:(?:{DOT}|\.)[\w-]+)+")
+DISGUISED = re.compile(rf"(?i)(?<![\w.%+-])[\w.%+-]++(?:{DOT}[\w%+-]+){{0,4}}(?:{AT}|@|\s@\s?|@\s)[\w-]+(?:(?:{DOT}|\.)[\w-]+){{1,8}}")
 AT_RE, DOT_RE = re.compile(f"(?i){AT}|\\s*@\\s*"), re.compile(f"(?i){DOT}")
 
 
@@ -164,10 +164,10 @@ ID_WEAK = re.compile(NUM_BEFORE + r"(?:\d{2} \d{3} \d{3} \d{3}|\d{2} \d{6} [A-Z]
 
 PARTICLE = r"(?:(?:(?:de la|de los|de las|van der|van den|von der|von dem|zu|von|van|de|del|della|di|da|du|des|la|le|el|al|bin|ben|ter|ten)[ \t]|de l'|d'))"
 NAME_PART = rf"(?:O'|D'|Mc|Mac|L')?{CAP}(?:[a-zß-öø-ÿœ]+(?:'[a-z]+)?|[A-ZÀ-ÖØ-Þß]+)(?:-(?:O'|Mc)?{CAP}[\wß-ÿ]+){{0,2}}"
-INITIAL = rf"{CAP}\.(?:-?{CAP}\.)*"
+INITIAL = rf"{CAP}\.(?:-?{CAP}\.){{0,2}}"  # bounded, as all repetitions of names are, to stay linear
 GAP = r"[ \t]"
 NAMED = re.compile(
-    rf"(?<![\w'.@/\-])(?:(?P<given>{NAME_PART})(?:{GAP}{INITIAL}|{GAP}(?P<second>{NAME_PART}(?={GAP})))?|(?!M\.{GAP}(?:{NAME_PART}|{INITIAL}){GAP}(?:{PARTICLE})?{CAP})(?P<initials>{INITIAL}(?:{GAP}?{INITIAL})*)){GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)"
+    rf"(?<![\w'.@/\-])(?:(?P<given>{NAME_PART})(?:{GAP}{INITIAL}|{GAP}(?P<second>{NAME_PART}(?={GAP})))?|(?!M\.{GAP}(?:{NAME_PART}|{INITIAL}){GAP}(?:{PARTICLE})?{CAP})(?P<initials>{CAP}\.(?:{GAP}?-?{CAP}\.){{0,3}})){GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)"
 )
 SHORT = re.compile(rf"(?<![\w'.@/\-])(?P<given>{NAME_PART})(?:{GAP}{INITIAL})?{GAP}(?P<particle>{PARTICLE})?(?P<family>{NAME_PART})(?![\w@'/]|-\w|\.\w)")
 REVERSED = re.compile(rf"(?<![\w'.@/\-])(?P<particle>{PARTICLE})?(?P<family>{NAME_PART}),{GAP}(?P<given>{NAME_PART}|{INITIAL})(?:{GAP}{INITIAL})?(?![\w@'/]|-\w|\.\w)")
