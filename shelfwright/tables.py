@@ -28,6 +28,18 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     return back
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns of df, by their exact names, whatever other columns there are (also ones that differ in case only)."""
+    places = []
+    for n in names:
+        same = [i for i, c in enumerate(df.columns) if c == n] or [i for i, c in enumerate(df.columns) if c.lower() == n.lower()]
+        if not same:
+            raise ValueError(f"no column {n} among {df.columns}")
+        places.append(same[0])
+    bare = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return bare.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names)])
+
+
 def forget(*dfs: DataFrame | None) -> None:
     """Delete tables of cut() that no later step reads."""
     for df in dfs:
