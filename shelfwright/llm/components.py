@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwright.llm.common import cut, forget
+from shelfwright.llm.common import cut, forget, pick
 
 SALTS = 8
 MAX_DEPTH = 24
@@ -114,6 +114,7 @@ def _propagate(edges: DataFrame) -> DataFrame:
 
 def file_links(match_pairs: DataFrame, graph_nodes: DataFrame) -> DataFrame:
     """(a, b): links between files from true matches, and from nodes of kind duplicate_cluster or near_duplicate_text."""
+    match_pairs, graph_nodes = pick(match_pairs, "id_a", "id_b", "is_match"), pick(graph_nodes, "kind", "meta")
     pairs = match_pairs.where("is_match").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     nodes = graph_nodes.where(F.col("kind").isin("duplicate_cluster", "near_duplicate_text"))
     return pairs.union(star_links(nodes, "meta.file_ids"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm import tree_tokens
-from shelfwright.llm.common import cut
+from shelfwright.llm.common import cut, pick
 
 SHARDS = 16
 BLOCK_TOKENS = 20_000
@@ -79,6 +79,7 @@ def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
 def targets(mix_targets: DataFrame) -> DataFrame:
     """(mix_id, source, weight, cap): one row for each source of a mix."""
     w = F.when(~F.isnan("weight") & (F.col("weight") > 0), F.col("weight")).otherwise(0.0)
+    mix_targets = pick(mix_targets, "mix_id", "source", "weight", "max_repeats")
     rows = mix_targets.where("mix_id is not null").select("mix_id", source_name("source").alias("source"), w.alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap")).where("source is not null")
     return rows.groupBy("mix_id", "source").agg(F.sum("weight").alias("weight"), F.min("cap").alias("cap"))
 
@@ -86,7 +87,7 @@ def targets(mix_targets: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, shards: int = SHARDS, seed: int = 17, block_tokens: int = BLOCK_TOKENS, vocab_path: str = tree_tokens.VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(draws: mix_id, shard, order_key, source, doc_id, epoch, n_tokens; wanted: mix_id, source, weight, cap, quota, have)."""
     spark = documents.sparkSession
-    named = documents.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), source_name(F.col(f"`{source_col}`")).alias("source")).alias("d"), F.col(f"`{text_col}`").alias("text"))
+    named = pick(documents, id_col, source_col, text_col).toDF("doc_id", "source", "text").select(F.struct("doc_id", source_name("source").alias("source")).alias("d"), "text")
     sizes = tree_tokens.count_tokens(named, "d", "text", vocab_path)
     goals = targets(mix_targets)
     sizes = cut(sizes.select("d.doc_id", "d.source", "n_tokens").where("source is not null and n_tokens > 0"), "sizes")

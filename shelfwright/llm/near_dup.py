@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm import shingles
-from shelfwright.llm.common import cut, forget, ship
+from shelfwright.llm.common import cut, pick, ship
 from shelfwright.llm.shingles import U, mix
 from shelfwright.llm.sketch import count_items
 
@@ -135,7 +135,7 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     """Links between classes of equal texts whose weighted Jaccard similarity is threshold or more."""
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_id is not null and _text is not null")
+    docs = pick(df, id_col, text_col).toDF("_id", "_text").where("_id is not null and _text is not null")
 
     def slots(b: pa.RecordBatch, counts: np.ndarray) -> int:
         n = 0

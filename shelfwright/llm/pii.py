@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwright.llm.common import ship
+from shelfwright.llm.common import pick, ship
 from shelfwright.llm.mojibake import slots
 from shelfwright.llm.sketch import count_items
 
@@ -327,7 +327,7 @@ def given_counts(df: DataFrame, text_col: str, width: int = WIDTH) -> np.ndarray
     """The count sketch of marked given and family names (g:, f:) and of all capitalised words (t:)."""
     ship(df.sparkSession)
     half = width // 2
-    rows = df.select(F.col(f"`{text_col}`").alias("_text")).where("_text is not null")
+    rows = pick(df, text_col).toDF("_text").where("_text is not null")
 
     def add(b: pa.RecordBatch, counts: np.ndarray) -> int:
         seen: Counter[str] = Counter()
@@ -347,7 +347,7 @@ def given_counts(df: DataFrame, text_col: str, width: int = WIDTH) -> np.ndarray
 def masked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, masked, found: array<struct<start_pos, end_pos, kind>>) of every row; findings replaced by [EMAIL] and so on."""
     counts = df.sparkSession.sparkContext.broadcast(given_counts(df, text_col))
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = pick(df, id_col, text_col).toDF("_id", "_text")
     kind = pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

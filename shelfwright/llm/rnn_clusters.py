@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwright.llm.common import cut, forget, ship
+from shelfwright.llm.common import cut, forget, pick, ship
 from shelfwright.llm.near_dup import _buckets
 from shelfwright.llm.shingles import U, mix
 
@@ -51,7 +51,8 @@ def clean_set(col: Column, words: bool) -> Column:
 
 def points(df: DataFrame, id_col: str, files_col: str, terms_col: str) -> tuple[DataFrame, DataFrame]:
     """(members: id, c; points: c, n, files, terms): rows with equal sets are one point, named by the smallest id."""
-    rows = df.select(F.col(id_col).alias("id"), clean_set(F.col(files_col), False).alias("files"), clean_set(F.col(terms_col), True).alias("terms"))
+    df = pick(df, id_col, files_col, terms_col).toDF("id", "files", "terms")
+    rows = df.select("id", clean_set(F.col("files"), False).alias("files"), clean_set(F.col("terms"), True).alias("terms"))
     rows = rows.where("id is not null and (size(files) > 0 or size(terms) > 0)").withColumn("h", F.md5(F.to_json(F.struct("files", "terms"))))
     rows = cut(rows, "rows")
     one = cut(rows.groupBy("h").agg(F.min(F.struct("id", "files", "terms")).alias("m"), F.count("*").alias("n")).select("h", F.col("m.id").alias("c"), "n", F.col("m.files").alias("files"), F.col("m.terms").alias("terms")), "points")
@@ -182,5 +183,5 @@ def described(df: DataFrame, id_col: str = "result_id", files_col: str = "file_i
     near = own.join(vectors.withColumnRenamed("c", "root"), ["root", "side", "token"]).groupBy("c", "root", "side").agg(F.sum(F.col("x") * F.col("w") / F.col("n")).alias("sim")).groupBy("c", "root").agg(F.max("sim").alias("sim"))
     ranked = members.join(near, "c").withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.round("sim", 9)), "id"))).where(F.col("k") <= typical)
     top = ranked.groupBy(F.col("root").alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("typical"))  # typical rows at most
-    score = df.select(F.col(id_col).alias("id"), F.when((F.col(score_col) >= 0) & (F.col(score_col) <= 1), F.col(score_col)).alias("s")).join(labels, "id").groupBy("cluster_id").agg(F.round(F.avg("s"), 6).alias("mean_score"))
+    score = pick(df, id_col, score_col).toDF("id", "s").select("id", F.when((F.col("s") >= 0) & (F.col("s") <= 1), F.col("s")).alias("s")).join(labels, "id").groupBy("cluster_id").agg(F.round(F.avg("s"), 6).alias("mean_score"))
     return size.join(top, "cluster_id").join(score, "cluster_id", "left").select(F.col("low").alias("cluster_id"), "size", "mean_score", "typical")

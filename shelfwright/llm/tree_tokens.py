@@ -22,9 +22,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from shelfwright.llm.common import ship
+from shelfwright.llm.common import pick, ship
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF = 4096
@@ -137,7 +136,7 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, vocab_path: str = VO
 def _mapped(df: DataFrame, id_col: str, text_col: str, vocab_path: str, out: str, make) -> DataFrame:
     ship(df.sparkSession)
     vocab = df.sparkSession.sparkContext.broadcast(read_vocab(vocab_path))
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = pick(df, id_col, text_col).toDF("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocab.value)
