@@ -84,6 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH t AS (SELECT DISTINCT id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM snippets WHERE id IS NOT NULL AND text IS NOT NULL),
+        k AS (SELECT id, row_number() OVER () AS d, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 30),
+        u AS (SELECT d, id, len(s) AS n, unnest(s) AS sh FROM k)
+        SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.sh = b.sh AND a.id < b.id
+        GROUP BY a.d, b.d, a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))
+    """,
     "p2_found": """
         WITH r AS (
             SELECT f.*, s.trust FROM files f LEFT JOIN (SELECT scan_id, max(trust) AS trust FROM scans GROUP BY 1) s USING (scan_id)
