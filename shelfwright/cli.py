@@ -69,13 +69,13 @@ def main(argv: list[str] | None = None) -> int:
     from shelfwright.operators.categorize import http_chat
     from shelfwright.plans.pipeline import organize, write_documents
     from shelfwright.session import local_session
-    from shelfwright.sources.scan import scan
+    from shelfwright.sources.scan import image_fingerprints, scan
     from shelfwright.tables import cut
 
     began, spark = time.time(), local_session()
     rows = cut(scan(spark, a.path), "scan")
     chat = http_chat(a.endpoint, a.model, a.api_key) if a.endpoint and a.model else None
-    found = organize(rows.drop("text"), rows.select("id", "text").where("text is not null"), time.time(), a.rate, chat)
+    found = organize(rows.drop("text"), rows.select("id", "text").where("text is not null"), time.time(), a.rate, chat, image_fingerprints(rows))
     docs = write_documents(found, a.out, began)
     print("[OK] written to", a.out)
     print("[INFO]", json.dumps(docs["plan"]["summary"]))

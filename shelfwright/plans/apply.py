@@ -12,6 +12,15 @@ import shutil
 import time
 
 RETENTION_DAYS = 30
+LAST_PLAN = ".last-plan.json"
+
+
+def record_and_apply(plan: dict, root: str, **more) -> str:
+    """Leave the plan in the root as its last one, then apply it from there."""
+    path = os.path.join(root, LAST_PLAN)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(plan, f, indent=2)
+    return apply_plan(path, root, **more)
 
 
 def apply_plan(plan: dict | str, root: str, dry_run: bool = False, retention_days: int = RETENTION_DAYS, deletes_first: bool = False, distinct_names: bool = False, stamp: str | None = None) -> str:

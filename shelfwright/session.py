@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
@@ -29,16 +29,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session: their Python workers import it by name."""
+    """Give the executors this package, once a session, through the shared folder: their Python workers import it by name."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    zipped = Path(tempfile.mkdtemp(prefix="shelfwright-")) / "shelfwright.zip"  # read by the driver's file server only
-    with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as z:
+    from shelfwright.tables import shared_dir
+
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(zipped))
+    place = f"{shared_dir(spark)}/shelfwright-code/{app}/shelfwright.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(place)
     _SHIPPED.add(app)
 
 

@@ -12,9 +12,12 @@ import mimetypes
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from shelfwright.functions import text as tx
+from shelfwright.functions.fingerprint import with_phash
 from shelfwright.session import ship
 from shelfwright.sources import extract
 
@@ -83,6 +86,19 @@ class FileTree(DataSource):
         return TreeReader(self.options["path"], self.options.get("text", "true").lower() == "true")
 
 
+def image_fingerprints(files: DataFrame) -> DataFrame:
+    """(seq, id, fp) of the images among files that can be read; paths are opened on the executors."""
+    ship(files.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            pdf = pdf.assign(pixels=[extract.luma(p) for p in pdf["path"]])
+            yield pdf[pdf["pixels"].notna()][["seq", "id", "pixels"]]
+
+    images = files.where(tx.suffix(tx.basename("path")).isin(*tx.IMAGE_EXTENSIONS)).select("seq", "id", "path")
+    return with_phash(images.mapInPandas(run, "seq long, id string, pixels array<double>"), "pixels").select("seq", "id", "fp")
+
+
 def scan(spark: SparkSession, root: str, text: bool = True) -> DataFrame:
     """(seq, id, path, size, mtime, type, hash, text) of a tree that all executors see."""
     ship(spark)

@@ -6,9 +6,9 @@ import zipfile
 import pytest
 
 from shelfwright import cli
-from shelfwright.plans.apply import apply_plan
+from shelfwright.plans.apply import LAST_PLAN, apply_plan, record_and_apply
 from shelfwright.sources import documents, extract
-from shelfwright.sources.scan import scan
+from shelfwright.sources.scan import image_fingerprints, scan
 from shelfwright.streaming import landing
 
 
@@ -103,3 +103,23 @@ def test_landing(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("landed").collect()
     assert len(got) == 1 and got[0].ext == "txt" and got[0].id_ok and got[0].bucket == "Documents"
+
+
+def test_last_plan(tmp_path):
+    log = lines(record_and_apply({"moves": [], "deletes": []}, str(tmp_path), dry_run=True))
+    assert json.loads((tmp_path / LAST_PLAN).read_text()) == {"moves": [], "deletes": []} and len(log) == 1
+
+
+def test_images(spark, tmp_path):
+    write(tmp_path, "a.png", b"no image")
+    write(tmp_path, "b.txt", b"text")
+    assert image_fingerprints(scan(spark, str(tmp_path))).collect() == []
+
+
+def test_command_line(tmp_path, capsys, spark):
+    write(tmp_path, "in/a.txt", b"one two three")
+    write(tmp_path, "in/b.log", b"one two three")
+    assert cli.main(["--path", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--rate", "0.1"]) == 0
+    plan = json.loads((tmp_path / "out/plan.json").read_text())
+    assert sorted(d["reason"] for d in plan["deletes"]) == ["exact_duplicate", "near_duplicate_text:0", "temp_suffix"] and len(plan["moves"]) == 2 and plan["cluster_costs"]
+    assert cli.main(["--path", str(tmp_path / "in"), "--apply", str(tmp_path / "out/plan.json")]) == 0 and "[OK]" in capsys.readouterr().out
