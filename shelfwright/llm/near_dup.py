@@ -213,12 +213,17 @@ def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) ->
 NONE = 1 << 40  # no sample
 
 
-def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(a, b) of the members of large buckets whose samples agree often enough: chunk against chunk, each pair of chunks a task."""
+def _large(big: DataFrame, classes: DataFrame | None, least: int = 0) -> DataFrame:
+    """(a, b) of the members of large buckets (key, f1): chunk against chunk, each pair of chunks a task.
+
+    With classes (f1, sig, plain), only those whose samples agree often enough.
+    """
     size = big.groupBy("key").agg(F.count("*").alias("m"))
-    rows = big.join(size, "key").join(classes, "f1").withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
+    rows = big.join(size, "key")
+    signed = classes is not None
+    rows = (rows.join(classes, "f1") if signed else rows).withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = rows.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "f1", "sig", "plain")
+    cells = rows.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "f1", *(["sig", "plain"] if signed else []))
 
     def matrix(col: pa.Array) -> np.ndarray:
         width = max(1, int(np.max(col.value_lengths().to_numpy(zero_copy_only=False), initial=0)))
@@ -231,10 +236,10 @@ def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         cell = cell.combine_chunks()
         own, f1 = cell["own"].to_numpy(), cell["f1"].to_numpy()
         left, right = np.flatnonzero(own == cell["i"][0].as_py()), np.flatnonzero(own == cell["j"][0].as_py())
-        sigs = [matrix(cell[c].chunk(0)) for c in ("sig", "plain")]
+        sigs = [matrix(cell[c].chunk(0)) for c in ("sig", "plain")] if signed else []
         for at in range(0, len(left), 64):
             l = left[at : at + 64]  # noqa: E741
-            enough = np.zeros((len(l), len(right)), bool)
+            enough = np.full((len(l), len(right)), not signed)
             for m in sigs:
                 enough |= ((m[l][:, None, :] == m[right][None, :, :]) & (m[l] != NONE)[:, None, :]).sum(2) >= least
             p, q = np.nonzero(enough)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm.common import cut, forget, pick, ship
-from shelfwright.llm.near_dup import _buckets
+from shelfwright.llm.near_dup import CHUNK, _buckets, _large
 from shelfwright.llm.shingles import U, mix
 
 BANDS, ROWS = 20, 2
@@ -108,7 +108,11 @@ def cluster(members: DataFrame, pts: DataFrame, threshold: float = THRESHOLD, sl
         if known is not None:  # pairs that no merge has touched are as they were
             rows = cut(rows, "rows")
             rows = rows.join(rows.join(changed, "member", "left_semi").select("key").distinct(), "key", "left_semi")
-        pairs = _buckets(rows, None, None if last else WINDOW).select("a", "b").distinct()
+        if last:  # a key with very many clusters left is compared chunk against chunk, in tasks of their own
+            part = cut(_buckets(rows, CHUNK), "pairs")
+            pairs = part.where("not big").select("a", "b").union(_large(part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1")), None)).distinct()
+        else:
+            pairs = _buckets(rows, None, WINDOW).select("a", "b").distinct()
         if known is not None:
             one, two = changed.withColumnRenamed("member", "a").withColumn("x", F.lit(True)), changed.withColumnRenamed("member", "b").withColumn("y", F.lit(True))
             pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("x or y").select("a", "b")

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from shelfwright.llm import near_dup
 from shelfwright.llm import rnn_clusters as rc
 
 SCHEMA = "result_id long, label string, file_ids array<string>, top_terms array<string>, score double, c string, n string, side string"
@@ -24,7 +27,10 @@ def fixture(seed=1, groups=12, big=90):
     return out, truth
 
 
-def test_groups_are_found(spark):
+@pytest.mark.parametrize("chunk", [rc.CHUNK, 3])
+def test_groups_are_found(spark, chunk, monkeypatch):
+    monkeypatch.setattr(rc, "CHUNK", chunk)
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
     items, truth = fixture()
     got = {r.result_id: r.cluster_id for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
     by = {}
