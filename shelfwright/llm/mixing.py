@@ -7,8 +7,9 @@ node the draws of all sources that the left half gets are one multivariate hyper
 draw goes to exactly one shard and each shard is a fair sample of the mix. The leaves give each shard a range of each source's
 draws; documents find their shard by their block's rank, and each shard is shuffled by a hash on its own.
 
-Only figures of (mix, source) and of (mix, source, shard) are on the driver: rows of the targets times SHARDS, however much data.
-Documents meet the targets in a broadcast join of the targets' rows; what is shuffled is block sizes, and the result by shard.
+Only figures of (mix, source) and of (mix, source, shard) are on the driver: rows of the targets times at most MAX_SHARDS, however
+much data; there is a shard for SHARD_TOKENS of the largest mix, within bounds. Shards are looked up by block and pass, documents
+then join their block; what is shuffled is block sizes, that join, and the result by shard.
 
 Quotas: a mix has total_tokens tokens, by default as many as its sources with a positive weight have. Each gets its weight's share,
 but at most max_repeats times what it has; what is cut off goes to the others in proportion to their weights, as far as theirs allow.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from shelfwright.llm import tree_tokens
 from shelfwright.llm.common import cut, pick
 
-SHARDS = 16
+MIN_SHARDS, MAX_SHARDS, SHARD_TOKENS = 16, 4096, 2_000_000
 BLOCK_TOKENS = 20_000
 MAX_BLOCKS = 1 << 15
 
@@ -84,7 +85,7 @@ def targets(mix_targets: DataFrame) -> DataFrame:
     return rows.groupBy("mix_id", "source").agg(F.sum("weight").alias("weight"), F.min("cap").alias("cap"))
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, shards: int = SHARDS, seed: int = 17, block_tokens: int = BLOCK_TOKENS, vocab_path: str = tree_tokens.VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, shards: int | None = None, seed: int = 17, block_tokens: int = BLOCK_TOKENS, vocab_path: str = tree_tokens.VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(draws: mix_id, shard, order_key, source, doc_id, epoch, n_tokens; wanted: mix_id, source, weight, cap, quota, have)."""
     spark = documents.sparkSession
     named = pick(documents, id_col, source_col, text_col).toDF("doc_id", "source", "text").select(F.struct("doc_id", source_name("source").alias("source")).alias("d"), "text")
@@ -106,6 +107,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None
             plan.append([m, s, float(r["weight"]), int(r["cap"]), float(q[s]), tokens[s], n_blocks.get(s, 1), passes, max(0.0, q[s] - passes * tokens[s]) if passes < r["cap"] else 0.0])
     names = "mix_id int, source string, weight double, cap int, quota double, have long, blocks long, passes int, rest double"
     wanted = spark.createDataFrame(plan, names)
+    if shards is None:
+        largest = max((sum(p[4] for p in plan if p[0] == m) for m in {p[0] for p in plan}), default=0)
+        shards = int(min(MAX_SHARDS, max(MIN_SHARDS, -(-largest // SHARD_TOKENS))))
 
     # Blocks in random order, and where each mix's last, partial pass ends in it.
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))
@@ -126,15 +130,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None
             ranges.append([m, p[1], p[7], p[8], ends.get((m, p[1]), -1), used.get(p[1], 0), [int(x) for x in np.cumsum(got[:, j])]])
     spread = spark.createDataFrame(ranges, "mix_id int, source string, passes int, rest double, last int, used int, bounds array<long>")
 
-    placed = docs.join(blocks.select("source", "block", "rank", (F.col("upto") - F.col("size")).alias("before")), ["source", "block"]).join(F.broadcast(spread), "source")
+    of_pass = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda e: F.size(F.filter("bounds", lambda x: x <= e.cast("long") * F.col("used") + F.col("rank"))))
+    where = blocks.select("source", "block", "rank", (F.col("upto") - F.col("size")).alias("before")).join(F.broadcast(spread), "source")
+    placed = docs.join(where.withColumn("shards", of_pass).drop("bounds", "used"), ["source", "block"])
     partial = placed.where("rank = last")
     inside = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # one block
     partial = partial.withColumn("reps", F.col("passes") + (F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2 + F.col("before") <= F.col("rest")).cast("int"))
     rest = placed.where("rank <> last").withColumn("reps", F.col("passes") + (F.col("rank") < F.col("last")).cast("int"))
     drawn = rest.unionByName(partial).where("reps > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)))
-    draw = F.col("epoch").cast("long") * F.col("used") + F.col("rank")
-    shard = F.size(F.filter("bounds", lambda x: x <= draw)).cast("int")
-    out = drawn.select("mix_id", shard.alias("shard"), F.xxhash64("doc_id", "epoch", "mix_id", F.lit(seed)).alias("order_key"), "source", "doc_id", "epoch", "n_tokens")
+    out = drawn.select("mix_id", F.col("shards")[F.col("epoch")].alias("shard"), F.xxhash64("doc_id", "epoch", "mix_id", F.lit(seed)).alias("order_key"), "source", "doc_id", "epoch", "n_tokens")
     return out, wanted
 
 
