@@ -35,8 +35,9 @@ def query(f: Callable) -> Callable:
     return f
 
 
-def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.current(table(spark, sf, "files"))
+def catalogue(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """seq, id and the given columns, or path, size, mtime, type and hash; only these are read."""
+    return clusters.current(table(spark, sf, "files").select("seq", "id", *(cols or ("path", "size", "mtime", "type", "hash"))))
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +45,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(near_texts(catalogue(spark, sf), texts(spark, sf)), "near")
+    return cut(near_texts(table(spark, sf, "files").where("id is not null").groupBy("id").agg(F.max("seq").alias("seq")), texts(spark, sf)), "near")
 
 
 def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -75,27 +76,27 @@ def human_sizes(spark, sf):
 
 @query
 def exact_duplicate_clusters(spark, sf):
-    return clusters.exact_duplicates(catalogue(spark, sf)).groupBy("hash").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.sum("size").alias("bytes"))
+    return clusters.exact_duplicates(catalogue(spark, sf, "path", "size", "hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.sum("size").alias("bytes"))
 
 
 @query
 def exact_duplicate_members(spark, sf):
-    return clusters.exact_duplicates(catalogue(spark, sf)).select("hash", "id", "seq", "n", "is_first")
+    return clusters.exact_duplicates(catalogue(spark, sf, "path", "size", "hash")).select("hash", "id", "seq", "n", "is_first")
 
 
 @query
 def exact_duplicate_deletes(spark, sf):
-    return clusters.exact_duplicates(catalogue(spark, sf)).where("not is_first").select("id", "path", F.lit("exact_duplicate").alias("reason"), F.lit(0.99).alias("confidence"))
+    return clusters.exact_duplicates(catalogue(spark, sf, "path", "size", "hash")).where("not is_first").select("id", "path", F.lit("exact_duplicate").alias("reason"), F.lit(0.99).alias("confidence"))
 
 
 @query
 def type_clusters(spark, sf):
-    return clusters.type_clusters(catalogue(spark, sf))
+    return clusters.type_clusters(catalogue(spark, sf, "type", "size"))
 
 
 @query
 def age_clusters(spark, sf):
-    return clusters.age_clusters(catalogue(spark, sf), NOW)
+    return clusters.age_clusters(catalogue(spark, sf, "mtime", "size"), NOW)
 
 
 @query
@@ -107,13 +108,13 @@ def order_age_clusters(spark, sf):
 
 @query
 def temp_suffix_deletes(spark, sf):
-    rows = catalogue(spark, sf).where(tx.is_temp(tx.basename("path")))
+    rows = catalogue(spark, sf, "path").where(tx.is_temp(tx.basename("path")))
     return rows.select("id", "path", F.lit("temp_suffix").alias("reason"), F.lit(0.6).alias("confidence"))
 
 
 @query
 def dominant_extension(spark, sf):
-    rows = catalogue(spark, sf).select(tx.bucket("type").alias("bucket"), tx.suffix(tx.basename("path")).alias("ext"), "seq")
+    rows = catalogue(spark, sf, "type", "path").select(tx.bucket("type").alias("bucket"), tx.suffix(tx.basename("path")).alias("ext"), "seq")
     return clusters.dominant_extension(rows, "bucket")
 
 
@@ -150,7 +151,7 @@ def near_duplicate_clusters(spark, sf):
 
 @query
 def near_duplicate_deletes(spark, sf):
-    rows = near(spark, sf).where("seq <> leader_seq").join(catalogue(spark, sf).select("id", "path"), "id", "left")
+    rows = near(spark, sf).where("seq <> leader_seq").join(catalogue(spark, sf, "path").select("id", "path"), "id", "left")
     return rows.select("id", "path", F.concat(F.lit("near_duplicate_text:"), F.col("cluster_idx").cast("string")).alias("reason"), F.lit(0.7).alias("confidence"))
 
 
@@ -180,7 +181,7 @@ def html_tag_strip(spark, sf):
 
 @query
 def cluster_summaries(spark, sf):
-    files = catalogue(spark, sf)
+    files = catalogue(spark, sf, "path", "size", "type", "hash")
     members = clusters.exact_duplicates(files).select(F.concat(F.lit("dup:"), F.substring("hash", 1, 8)).alias("node_id"), "seq", "id")
     types = files.select(F.concat(F.lit("type:"), tx.bucket("type")).alias("node_id"), "seq", "id")
     return summarize.summaries(members.union(types), files, texts(spark, sf))
@@ -188,13 +189,13 @@ def cluster_summaries(spark, sf):
 
 @query
 def fallback_categories(spark, sf):
-    cats = categorize.fallback(catalogue(spark, sf))
+    cats = categorize.fallback(catalogue(spark, sf, "type", "size"))
     return categorize.fallback_summaries(cats)
 
 
 @query
 def cluster_costs(spark, sf):
-    return categorize.costs(categorize.fallback(catalogue(spark, sf)), RATE)
+    return categorize.costs(categorize.fallback(catalogue(spark, sf, "type", "size")), RATE)
 
 
 @query
@@ -204,7 +205,7 @@ def total_cost(spark, sf):
 
 @query
 def inventory_batches(spark, sf):
-    rows = categorize.inventory(catalogue(spark, sf), texts(spark, sf))
+    rows = categorize.inventory(catalogue(spark, sf, "path", "size", "type"), texts(spark, sf))
     return rows.select("bucket", "batch", "pos", "id", "name", "ext", "mime", "size", F.md5(F.coalesce("snippet", F.lit(""))).alias("snippet_md5"))
 
 
@@ -216,7 +217,7 @@ def answers(spark, sf) -> DataFrame:
 
 
 def offered(spark, sf) -> DataFrame:
-    return catalogue(spark, sf).where(tx.bucket("type") == "Documents").select(F.lit("Documents").alias("bucket"), "id")
+    return catalogue(spark, sf, "type").where(tx.bucket("type") == "Documents").select(F.lit("Documents").alias("bucket"), "id")
 
 
 @query
@@ -254,7 +255,7 @@ def json_recovery(spark, sf):
 @query
 def descriptor(spark, sf):
     name = tx.basename("path")
-    rows = catalogue(spark, sf).join(texts(spark, sf), "id", "left")
+    rows = catalogue(spark, sf, "path", "type").join(texts(spark, sf), "id", "left")
     return rows.select("id", tx.descriptor(name, tx.parent("path"), "type", tx.suffix(name), "text").alias("descriptor"))
 
 
@@ -265,7 +266,7 @@ def tfidf_weights(spark, sf):
 
 @query
 def autocat_clusters(spark, sf):
-    files = catalogue(spark, sf)
+    files = catalogue(spark, sf, "path", "size", "type")
     items = cut(categorize.inventory(files, texts(spark, sf)).select("bucket", "pos", "id", "ext", "name", "path", "mime", "snippet"), "inventory")
     described = items.select("id", tx.descriptor("name", tx.parent("path"), "mime", "ext", "snippet").alias("d"))
     return autocat.topics(items, autocat.tfidf(described, "id", "d"))
@@ -308,7 +309,7 @@ def plan_summary(spark, sf):
 
 @query
 def audit_dry_run(spark, sf):
-    return plan.audit(table(spark, sf, "plan_moves"), table(spark, sf, "plan_deletes"), catalogue(spark, sf), ROOT, QUARANTINE)
+    return plan.audit(table(spark, sf, "plan_moves"), table(spark, sf, "plan_deletes"), catalogue(spark, sf, "path"), ROOT, QUARANTINE)
 
 
 # Views
