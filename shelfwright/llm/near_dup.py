@@ -268,11 +268,8 @@ def _large(big: DataFrame, classes: DataFrame | None, least: int = 0) -> DataFra
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> DataFrame:
-    """(a, b, big) of rows (key, member): pairs of each key's members; of a key with more than most members (key, member, true) instead.
-
-    With a window, only members at most so many places apart in their key are paired.
-    """
+def _buckets(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b, big) of rows (key, member): pairs of each key's members; of a key with more than most members (key, member, true) instead."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = member = np.zeros(0, np.int64)
@@ -286,7 +283,7 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
             out_a, out_b, big_k, big_m, rest = [], [], [], [], 0
             if not last:
                 rest = size[-1]
-                if large == key[-1] or (most and rest > most):
+                if large == key[-1] or rest > most:
                     big_k.append(key[-rest:]), big_m.append(member[-rest:])
                     was, rest = large, 0
                     tail = key[-1]
@@ -300,7 +297,7 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
                     continue
                 runs = at[size == n]
                 is_big = key[runs] == was if was is not None else np.zeros(len(runs), bool)
-                if most and n > most:
+                if n > most:
                     is_big[:] = True
                 cells = runs[is_big][:, None] + np.arange(n)
                 if cells.size:
@@ -309,7 +306,7 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
                 if n < 2 or not len(runs):
                     continue
                 cells = member[runs[:, None] + np.arange(n)]
-                for i in range(1, min(n, window + 1 if window else n)):  # i places apart: n steps, whatever the number of runs
+                for i in range(1, n):  # i places apart: n steps, whatever the number of runs
                     out_a.append(cells[:, :-i].ravel()), out_b.append(cells[:, i:].ravel())
                     if sum(map(len, out_a)) > 200_000:
                         yield batch(out_a, out_b, False)
@@ -337,8 +334,7 @@ def _buckets(rows: DataFrame, most: int | None, window: int | None = None) -> Da
             x, y = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), big))], names=["a", "b", "big"])
 
-    order = ["key"] if window is None else ["key", "member"]  # a window's pairs hang on the order
-    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(emit, "a long, b long, big boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(emit, "a long, b long, big boolean")
 
 
 BLOOM_BITS = 1 << 23

@@ -8,13 +8,13 @@ cosines is the product of the clusters' mean vectors, so clusters are kept as su
 ever listed: merging adds rows up, linkage is exact average linkage.
 
 The sparse graph is made anew each round, from BANDS min-hash keys of ROWS values for either side of every member (members of
-cosine 0.6 share a key with probability 0.99). The first rounds take a few keys at a time and pair clusters within WINDOW places of
-a key: dense groups of any size collapse there, at a cost in proportion to their number. The last rounds take all keys, and pair all
-clusters that are left in a key; they are few, since like clusters have merged.
+cosine 0.6 share a key with probability 0.99). Every round takes all keys and pairs all clusters of a key, since a merge is for
+good: on a part of the graph, clusters would merge that are not each other's best. Pairs that no merge has touched are kept.
 
 Merging one mutual pair a round, a large cluster would take in its last members one by one. So a cluster whose best neighbour takes
-part in a mutual merge joins it in the same round if its similarity is within SLACK of that neighbour's best (the "good merges" of
-parallel hierarchical clustering; SLACK = 0 gives strict reciprocal pairs).
+part in a mutual merge joins it in the same round if its similarity to both halves is within SLACK of that neighbour's best (the
+"good merges" of parallel hierarchical clustering; SLACK = 0 gives strict reciprocal pairs), and if it is similar to all that join
+before it: one that is like a single half only would chain two groups.
 
 Defined results: rows with equal files and equal terms are one point of their number's weight; null, blank and repeated entries
 don't count, letter case, underscores and blanks don't either; a row without files is compared by terms, without terms by files,
@@ -36,8 +36,6 @@ from shelfwright.llm.near_dup import CHUNK, _buckets, _large
 from shelfwright.llm.shingles import U, mix
 
 BANDS, ROWS = 20, 2
-AT_ONCE = 4  # bands of either side in one of the first rounds
-WINDOW = 2
 THRESHOLD, SLACK = 0.5, 0.1
 MAX_ROUNDS = 60
 
@@ -98,21 +96,15 @@ def cluster(members: DataFrame, pts: DataFrame, threshold: float = THRESHOLD, sl
     side = lambda s, col: pts.where(F.size(col) > 0).select("c", F.lit(s).alias("side"), "n", F.explode(col).alias("token"), (F.col("n") / F.sqrt(F.size(col))).alias("w"))
     vectors = cut(side(0, "files").union(side(1, "terms")), "vectors")
     label = cut(pts.select("c", F.col("c").alias("root")), "labels")
-    steps = BANDS // AT_ONCE
-    known: DataFrame | None = None  # similar pairs of the last rounds, with all keys
+    known: DataFrame | None = None  # similar pairs of the rounds before
     changed: DataFrame | None = None
-    for i in range(MAX_ROUNDS):
-        last = i >= steps
-        use = keys if last else keys.where((F.pmod("band", F.lit(BANDS)) >= i * AT_ONCE) & (F.pmod("band", F.lit(BANDS)) < (i + 1) * AT_ONCE))
-        rows = use.join(label, "c").select("key", F.col("root").alias("member")).distinct()
+    for _ in range(MAX_ROUNDS):
+        rows = keys.join(label, "c").select("key", F.col("root").alias("member")).distinct()
         if known is not None:  # pairs that no merge has touched are as they were
             rows = cut(rows, "rows")
             rows = rows.join(rows.join(changed, "member", "left_semi").select("key").distinct(), "key", "left_semi")
-        if last:  # a key with very many clusters left is compared chunk against chunk, in tasks of their own
-            part = cut(_buckets(rows, CHUNK), "pairs")
-            pairs = part.where("not big").select("a", "b").union(_large(part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1")), None)).distinct()
-        else:
-            pairs = _buckets(rows, None, WINDOW).select("a", "b").distinct()
+        part = cut(_buckets(rows, CHUNK), "pairs")  # a key with very many clusters is compared chunk against chunk, in tasks of their own
+        pairs = part.where("not big").select("a", "b").union(_large(part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1")), None)).distinct()
         if known is not None:
             one, two = changed.withColumnRenamed("member", "a").withColumn("x", F.lit(True)), changed.withColumnRenamed("member", "b").withColumn("y", F.lit(True))
             pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("x or y").select("a", "b")
@@ -120,16 +112,13 @@ def cluster(members: DataFrame, pts: DataFrame, threshold: float = THRESHOLD, sl
         if known is not None:
             sims = known.unionByName(sims)
         sims = cut(sims, "sims")
-        parent = cut(_parents(_best(sims), slack), "parents")
+        parent = cut(_parents(_best(sims), sims, slack), "parents")
         if parent.isEmpty():
             forget(parent, sims)
-            if last:
-                break
-            continue
+            break
         changed = cut(parent.select(F.col("root").alias("member")).distinct(), "changed")
-        if last:
-            gone = parent.select("c").union(changed)
-            known = cut(sims.join(gone.withColumnRenamed("c", "a"), "a", "left_anti").join(gone.withColumnRenamed("c", "b"), "b", "left_anti").select("a", "b", "sim"), "known")
+        gone = parent.select("c").union(changed)
+        known = cut(sims.join(gone.withColumnRenamed("c", "a"), "a", "left_anti").join(gone.withColumnRenamed("c", "b"), "b", "left_anti").select("a", "b", "sim"), "known")
         new = cut(label.withColumnRenamed("root", "was").join(parent.withColumnRenamed("c", "was"), "was", "left").select("c", F.coalesce("root", "was").alias("root")), "labels")
         merged = vectors.join(parent, "c", "left").select(F.coalesce("root", "c").alias("c"), "side", "token", "w", F.col("c").alias("part"), "n")
         sizes = merged.select("c", "side", "part", "n").distinct().groupBy("c", "side").agg(F.sum("n").alias("n"))
@@ -156,14 +145,20 @@ def _best(sims: DataFrame) -> DataFrame:
     return top.select("c", (-F.col("t.low")).alias("other"), F.col("t.sim").alias("sim"))
 
 
-def _parents(best: DataFrame, slack: float) -> DataFrame:
-    """(c, root) of each cluster that is taken over: mutual best pairs, and those that come within slack of them."""
+def _parents(best: DataFrame, sims: DataFrame, slack: float) -> DataFrame:
+    """(c, root) of each cluster that is taken over: mutual best pairs, and those that come within slack of both halves and are similar to each other."""
     o = best.select(F.col("c").alias("other"), F.col("other").alias("back"), F.col("sim").alias("sim_o"))
     j = best.join(o, "other")
     mutual = F.col("back") == F.col("c")
     pair = j.where(mutual).select("c", F.least("c", "other").alias("root"))
-    loose = j.where(~mutual & (F.col("sim") >= (1 - slack) * F.col("sim_o"))).select("c", "other")
-    near = loose.join(pair.select(F.col("c").alias("other"), "root"), "other").select("c", "root")
+    loose = j.where(~mutual & (F.col("sim") >= (1 - slack) * F.col("sim_o"))).select("c", "sim", "sim_o", "other", "back")
+    loose = loose.join(pair.select(F.col("c").alias("other"), "root"), "other")
+    both = sims.union(sims.select("b", "a", "sim")).toDF("c", "back", "sim_back")
+    loose = loose.join(both, ["c", "back"]).where(F.col("sim_back") >= (1 - slack) * F.col("sim_o"))
+    loose = cut(loose.select("c", "root", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("sim"), "c")).alias("k")), "loose")
+    first = loose.toDF("back", "root", "first")
+    earlier = loose.join(both, "c").join(first, ["back", "root"]).where("first < k").groupBy("c", "root", "k").agg(F.count("*").alias("n"))
+    near = loose.where("k = 1").select("c", "root").union(earlier.where("n = k - 1").select("c", "root"))
     return pair.where("c <> root").union(near)
 
 

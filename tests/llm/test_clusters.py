@@ -66,3 +66,17 @@ def test_average_linkage_does_not_chain(spark):
     items = [(i, a if i % 2 else a[:9] + ["z"], None, None) for i in range(1, 9)] + [(i, b if i % 2 else b[:9] + ["y"], None, None) for i in range(11, 19)] + [(30, a[:5] + b[:5], None, None)]
     got = {r.result_id: r.cluster_id for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
     assert {got[i] for i in range(1, 9)} == {1} and {got[i] for i in range(11, 19)} == {11}
+
+
+def test_early_merges_are_between_best_neighbours(spark):
+    """Sets a1, a2, b1, b2 of 20: a1 a2 and b1 b2 share 12, a1 b1 11, the others 8; clusters are a1 a2 and b1 b2, whatever the order."""
+    items, want = [], set()
+    for g in range(150):
+        file = lambda kind, n: [f"{g}-{kind}-{k}" for k in range(n)]  # noqa: B023, E731
+        all_, aa, bb, ab = file("all", 8), file("aa", 4), file("bb", 4), file("ab", 3)
+        sets = [all_ + aa + ab + file("a1", 5), all_ + aa + file("a2", 8), all_ + bb + ab + file("b1", 5), all_ + bb + file("b2", 8)]
+        ids = random.Random(g).sample(range(4 * g, 4 * g + 4), 4)
+        items += [(i, s, None, None) for i, s in zip(ids, sets)]
+        want |= {(i, min(i, ids[m ^ 1])) for m, i in enumerate(ids)}
+    got = {tuple(r) for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
+    assert len(got & want) >= 0.9 * len(want)
