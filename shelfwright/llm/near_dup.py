@@ -9,7 +9,7 @@ Method: improved consistent weighted sampling (Ioffe 2010) over TF-IDF word shin
 3. Each representative gets SAMPLES consistent weighted samples (shingle, quantised weight). Two texts agree in a sample with a
    probability equal to their weighted Jaccard similarity. Where at least half of a text's shingles stand in more than COMMON of all
    texts (a large share of the corpus is near copies of one text), inverse frequencies would leave only the edits; such texts get a
-   second set of samples with weights tf alone.
+   second set of samples with weights tf alone. For near_pairs, every text gets a second set of samples with equal weights.
 4. BANDS keys, each of ROWS samples, are the blocking keys. One shuffle brings equal keys together; they are read as a stream,
    so no bucket is held in memory. A bucket of more than BUCKET classes is cut into chunks, and pairs of chunks are tasks of their
    own: there, signatures are compared block by block, and only pairs that agree often enough leave the task.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm import shingles
@@ -131,8 +131,11 @@ def _idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
     return (2 * np.log(np.log((2.0 + docs) / (1.0 + np.minimum(counts, docs))) + 1e-3)).astype(np.float32)
 
 
-def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1, samples: int = SAMPLES, rows: int = ROWS, bands: int = BANDS, width: int = WIDTH) -> NearDuplicates:
-    """Links between classes of equal texts whose weighted Jaccard similarity is threshold or more."""
+def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1, samples: int = SAMPLES, rows: int = ROWS, bands: int = BANDS, width: int = WIDTH, jaccard: float | None = None) -> NearDuplicates:
+    """Links between classes of equal texts whose weighted Jaccard similarity is threshold or more.
+
+    With jaccard, links are those of that plain Jaccard similarity instead, whatever the weighted one; every text is sampled as a set, too.
+    """
     spark = df.sparkSession
     ship(spark)
     docs = pick(df, id_col, text_col).toDF("_id", "_text").where("_id is not null and _text is not null")
@@ -166,7 +169,7 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
                     keep = np.repeat(keep, lens)
                     h, tf, starts = h[keep], tf[keep], np.append(0, np.cumsum(lens[ok]))
                 lw = two_ln_idf[_slot(h, width)]
-                often = np.add.reduceat((lw < common).astype(np.int64), starts[:-1]) * 2 >= np.diff(starts)
+                often = np.add.reduceat((lw < common).astype(np.int64), starts[:-1]) * 2 >= np.diff(starts) if jaccard is None else np.ones(len(ok), bool)
                 ln_tf = np.zeros(len(h), np.float32)
                 many = tf > 1
                 ln_tf[many] = np.log(tf[many]).astype(np.float32)
@@ -174,7 +177,7 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
                 plain = np.zeros((int(often.sum()), samples), np.uint32)
                 if often.any():
                     keep = np.repeat(often, np.diff(starts))
-                    plain = sample(h[keep], ln_tf[keep], np.append(0, np.cumsum(np.diff(starts)[often])))
+                    plain = sample(h[keep], ln_tf[keep] if jaccard is None else np.zeros(len(h), np.float32), np.append(0, np.cumsum(np.diff(starts)[often])))
                 x = mix(h + tf.astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 f1, f2 = np.add.reduceat(x, starts[:-1]), np.add.reduceat(mix(x ^ U(0x51)), starts[:-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * samples), pa.array(sig.reshape(-1).view(np.int32)))
@@ -192,7 +195,7 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
     likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least) | (agree("plain_a", "plain_b") >= least)).select("a", "b"), "likely")
-    links = _verify(docs, classes, likely, table, float(common), k, threshold, width)
+    links = _verify(docs, classes, likely, table, float(common), k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
     several = classes.where("n > 1").select("f1", "f2", "rep")
     copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select("rep", "id").distinct(), "copies")
     return NearDuplicates(members, links, copies, (signed, classes, likely, *parts))
@@ -340,7 +343,7 @@ def _buckets(rows: DataFrame, most: int) -> DataFrame:
 BLOOM_BITS = 1 << 23
 
 
-def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, common: float, k: int, threshold: float, width: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, common: float, k: int, enough: Column, width: int) -> DataFrame:
     """Exact similarities of the likely pairs, by representatives."""
     spark = docs.sparkSession
     ends = likely.select(F.col("a").alias("f1")).union(likely.select("b")).distinct()
@@ -416,16 +419,17 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, commo
     x = bags.select(F.col("f1").alias("a"), F.col("rep").alias("x"), F.col("bag").alias("bag_x"))
     y = bags.select(F.col("f1").alias("b"), F.col("rep").alias("y"), F.col("bag").alias("bag_y"))
     both = likely.join(x, "a").join(y, "b").select("x", "y", "bag_x", "bag_y").where("x <> y")
-    return both.mapInArrow(similar, f"x {id_type}, y {id_type}, weighted double, jaccard double").where(F.col("weighted") >= threshold).select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "weighted", "jaccard").distinct()
+    return both.mapInArrow(similar, f"x {id_type}, y {id_type}, weighted double, jaccard double").where(enough).select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "weighted", "jaccard").distinct()
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, jaccard: float = 0.6, weighted: float = 0.45, min_words: int = 30) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of different ids whose shingle sets have a Jaccard similarity of jaccard or more.
 
-    Candidates are the links of find() at the weighted similarity; the plain Jaccard similarity is checked exactly on top.
+    Candidates agree in bands of the weighted samples or of the samples as sets, so that pairs are found whatever share of the corpus
+    their shingles stand in; the plain Jaccard similarity is checked exactly.
     """
-    near = find(df, id_col, text_col, k, weighted, min_words)
-    links = near.links.where(F.col("jaccard") >= jaccard).select("rep_a", "rep_b")
+    near = find(df, id_col, text_col, k, weighted, min_words, jaccard=jaccard)
+    links = near.links.select("rep_a", "rep_b")
     # All ids of a class of copies are pairs, and each of them a pair with the ids of linked classes.
     within = near.copies.join(near.copies.select("rep", F.col("id").alias("id_b")), "rep").select(F.col("id").alias("id_a"), "id_b")
     x, y = near.copies.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), near.copies.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))

@@ -138,3 +138,19 @@ def test_group_of_near_copies_that_is_a_large_share_of_all(spark, others, monkey
     got = {tuple(r) for r in near_dup.near_pairs(spark.createDataFrame(texts, "id string, text string"), "id", "text").collect()}
     want = brute(texts, 3, 0.6, 30)
     assert len(want) > 3000 and not got - want and len(want - got) <= 0.02 * len(want)
+
+
+def test_pairs_of_a_family_of_one_percent(spark):
+    """Shingles of a large family weigh less than the edits of each copy, but the plain Jaccard similarity counts."""
+    rng = random.Random(3)
+    base, family = words(rng, 100), []
+    for v in range(25):
+        w = base[:]
+        for at in range(5 + v % 12, 100, 25):
+            w[at] = f"own{v}x{at}"
+        family.append((f"f{v:02d}", " ".join(w)))
+    others = [(f"o{i:04d}", " ".join(words(rng, 40))) for i in range(2000)]
+    got = {tuple(r) for r in near_dup.near_pairs(spark.createDataFrame(rows(family + others), SCHEMA), "id", "text").collect()}
+    want = brute(family, 3, 0.6, 30)
+    assert len(want) == 300 and not got - want
+    assert len(want & got) >= 0.95 * len(want)
