@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -253,12 +254,54 @@ def slots(s: str, half: int) -> tuple[int, int]:
     return zlib.crc32(b) & (half - 1), half + (zlib.adler32(b[::-1]) * 0x9E3779B1 >> 7 & (half - 1))
 
 
-def _lost_sequences(text: str) -> list[tuple[int, int, str]]:
-    """Sequences with one lost byte of which only typographic signs can be meant: (start, end, most common sign)."""
+def _lost_sequences(text: str, words: Words) -> list[tuple[int, int, str]]:
+    """Sequences with one lost byte: (start, end, character). Typographic signs are the most common ones, letters those of the most frequent word."""
     out = []
     for m in re.finditer(f"(вЂ|â€|ÔÇ|ΓÇ|‚Ä){LOST}", text):
         opens = m.end() < len(text) and text[m.end()].isalnum() and (m.start() == 0 or not text[m.start() - 1].isalnum())
         out.append((m.start(), m.end(), "‘" if opens else "”"))
+    if LOST in text:
+        out += _lost_letters(text, words, out)
+    return out
+
+
+def _lost_letters(text: str, words: Words, signs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Letters with lost continuation bytes, each reader's whole words over the 64 values of each such byte, by the corpus frequency of the word they make."""
+    out = []
+    for t in TOKEN.finditer(text):
+        token, at = t.group(), t.start()
+        if LOST not in token or any(at <= i < t.end() for i, _, _ in signs):
+            continue
+        best: tuple[tuple[int, int], list] = ((2, 0), [])
+        for name in READERS:
+            table = MAPS[name]
+            parts = []
+            for m in LOST_SEQUENCES[name].finditer(token):
+                known = [table.get(ord(c)) for c in m.group()]
+                fits = []
+                for v in product(range(0x80, 0xC0), repeat=known.count(None)):
+                    lost = iter(v)
+                    try:
+                        c = bytes(next(lost) if b is None else b for b in known).decode()
+                    except UnicodeDecodeError:
+                        continue
+                    if c.isalpha():
+                        fits.append(c)
+                if fits:
+                    parts.append((*m.span(), fits))
+            if not any(LOST in token[i:j] for i, j, _ in parts):
+                continue
+            beam, end = [("", 0.0, [])], 0
+            for i, j, fits in parts:
+                beam = [(w + token[end:i] + c, p + math.log(words.count("\0" + ((w + token[end:i])[-1:] + c).lower()) + 0.05), [*e, (at + i, at + j, c)]) for w, p, e in beam for c in fits]
+                beam = sorted(beam, key=lambda x: -x[1])[: 4 * BEAM]
+                end = j
+            for w, _, e in beam:
+                made = [x for x in WORD.findall(w + token[end:]) if not x.isascii()]
+                n = min((words.count(x.lower()) for x in made), default=0), -sum(not (x.islower() or x.isupper() or x.istitle()) for x in made)
+                if n > best[0]:
+                    best = (n, e)
+        out += best[1]
     return out
 
 
@@ -271,7 +314,7 @@ def restore(text: str | None, words: Words) -> tuple[str | None, list[tuple[int,
     for layer in range(3):
         if not ANY.search(whole) and LOST not in whole:
             break
-        edits: list[tuple[int, int, str, str]] = [(i, j, c, "lost byte") for i, j, c in _lost_sequences(whole)]
+        edits: list[tuple[int, int, str, str]] = [(i, j, c, "lost byte") for i, j, c in _lost_sequences(whole, words)]
         by = sorted(((len(s), -k, n, s) for k, n in enumerate(READERS) if (s := sequences(whole, n))), reverse=True)
         taken = [(i, j) for i, j, _, _ in edits]
         for _, _, name, found in by:

@@ -54,6 +54,11 @@ def test_lost_letters_are_filled_from_the_corpus(lm):
     assert spans and got == "naïve façade, Größe, xq�zz"
 
 
+@pytest.mark.parametrize("bad,good", [("dÃ�jÃ\xa0 vÃ©rifiÃ©e", "déjà vérifiée"), ("GrÃ�ÃŸe", "Größe"), ("РџСЂРѕСЃСЊР�Р°", "Просьба")])
+def test_lost_bytes_of_letters_are_restored(lm, bad, good):
+    assert mojibake.restore(bad, lm)[0] == good
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "plain", *CLEAN[:6], "╔══╗ ║17║ ╚══╝ ▒▒▒", "├── Папка\n│   └── größe.txt", "√45 ≈ 6,7 ± 0,2 µm; Ø 17 mm", "INFORMAÇÃO “MAÇÔ, AMANHÃ…", "caf&eacute; %C3%A9t%C3%A9", "日本語 🗂️ Ž Ş Đ Ł", "Það er í lagi", "«ВСЁ» — СЁСТРЫ…"])
 def test_right_texts_stay(lm, text):
     assert mojibake.restore(text, lm) == (text, [])
