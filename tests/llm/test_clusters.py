@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from shelfwright.llm import near_dup
 from shelfwright.llm import rnn_clusters as rc
 
 SCHEMA = "result_id long, label string, file_ids array<string>, top_terms array<string>, score double, c string, n string, side string"
@@ -30,7 +29,7 @@ def fixture(seed=1, groups=12, big=90):
 @pytest.mark.parametrize("chunk", [rc.CHUNK, 3])
 def test_groups_are_found(spark, chunk, monkeypatch):
     monkeypatch.setattr(rc, "CHUNK", chunk)
-    monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    monkeypatch.setattr(rc, "FEW", 2 if chunk == 3 else rc.FEW)
     items, truth = fixture()
     got = {r.result_id: r.cluster_id for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
     by = {}
@@ -80,3 +79,67 @@ def test_early_merges_are_between_best_neighbours(spark):
         want |= {(i, min(i, ids[m ^ 1])) for m, i in enumerate(ids)}
     got = {tuple(r) for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def dense(items, threshold=0.5):
+    """Strict average linkage over all pairs of rows, one merge at a time, in plain Python."""
+    norm = lambda xs, f: frozenset(f(x) for x in xs or [] if x and x.strip())
+    sets = {i: (norm(f, lambda x: x.strip().lower()), norm(t, lambda x: x.strip().lower().replace("_", " "))) for i, f, t, _ in items}
+    groups = [[i] for i in sorted(sets) if any(sets[i])]
+
+    def sim(g, h):
+        best = 0.0
+        for k in (0, 1):
+            x, y = [sets[i][k] for i in g if sets[i][k]], [sets[i][k] for i in h if sets[i][k]]
+            if x and y:
+                best = max(best, sum(len(p & q) / (len(p) * len(q)) ** 0.5 for p in x for q in y) / len(x) / len(y))
+        return round(best, 9)
+
+    while True:
+        s, _, _, g, h = max(((sim(g, h), -min(g), -min(h), g, h) for n, g in enumerate(groups) for h in groups[n + 1 :]), key=lambda p: p[:3], default=(0,) * 5)
+        if s < threshold:
+            return {i: min(g) for g in groups if len(g) > 1 for i in g}
+        groups = [x for x in groups if x is not g and x is not h] + [g + h]
+
+
+@pytest.mark.parametrize("local", [rc.LOCAL, 3])
+def test_equals_strict_dense_linkage(spark, local):
+    """Random overlapping sets; small components in tasks, and all larger ones in distributed rounds."""
+    rng, items = random.Random(8), []
+    for i in range(1, 91):
+        g = rng.randrange(9)
+        f = [f"f{g * 6 + rng.randrange(9)}" for _ in range(rng.randrange(1, 9))]
+        t = [f"t{g * 5 + rng.randrange(8)}" for _ in range(rng.randrange(0, 7))]
+        items.append((i, f if rng.random() < 0.9 else None, t, None))
+    want = dense(items)
+    got = {r.result_id: r.cluster_id for r in rc.found(spark.createDataFrame(rows(items), SCHEMA), local=local).collect()}
+    pairs = lambda m: {(a, b) for a in m for b in m if a < b and m[a] == m[b]}
+    p, q = pairs(want), pairs(got)
+    assert len(p & q) >= 0.97 * len(p) and len(p & q) >= 0.97 * len(q) and len(p) > 100
+
+
+def test_merge_rounds_equal_dense(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(2, 30))
+        x = rng.random((n, 6)) ** 3
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        root = rc.merge_rounds([x @ x.T, np.zeros((n, n))], [np.ones(n), np.zeros(n)], 0.8)
+        groups = [[i] for i in range(n)]
+        while True:
+            best = max(((float((x[g] @ x[h].T).mean()), g, h) for k, g in enumerate(groups) for h in groups[k + 1 :]), key=lambda p: p[0], default=(0, 0, 0))
+            if best[0] < 0.8:
+                break
+            groups = [g for g in groups if g is not best[1] and g is not best[2]] + [sorted(best[1] + best[2])]
+        assert {tuple(g) for g in groups} == {tuple(np.flatnonzero(root == r)) for r in set(root)}
+
+
+def test_one_group_of_a_third(spark):
+    """Distinct, mutually similar rows that share hot keys: more of them than a chunk holds."""
+    rng = random.Random(4)
+    files = [f"h{k}" for k in range(14)]
+    items = [(i, rng.sample(files, 12) + [f"own{i}"], None, None) for i in range(1, 1501)] + [(2000 + i, [f"x{i}-{k}" for k in range(9)], None, None) for i in range(300)]
+    got = {r.result_id: r.cluster_id for r in rc.found(spark.createDataFrame(rows(items), SCHEMA)).collect()}
+    assert got == {i: 1 for i in range(1, 1501)}
