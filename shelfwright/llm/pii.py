@@ -12,10 +12,14 @@ Found are e-mail addresses, phone numbers, identity numbers, street addresses wi
   "tax" or "DNI" before, or "call", "tel" for phones.
 * Names are a given name or initials with a family name, in either order. Where a title, a label, an address or number after it
   marks a name, any capitalised words will do. Elsewhere the first word must be known as a given name: the corpus itself teaches
-  those, by how often a word stands as given name in marked places among all its capitalised uses, counted in a sketch of
-  fixed size over all texts.
+  those, by how often a word stands as given name in marked places among all its capitalised uses.
 * Longer kinds win over shorter ones where they overlap: e-mail, address, identity number, phone, name.
 
+Every text is looked at once. That look finds what a text tells by itself, lists its candidates for names with what marks them, and
+counts marked and capitalised words; a detector runs on those texts only that the native expression of its form (without what stands
+around it) finds something in. The counts are added up exactly by word, joined to the candidates' words, and names are settled from
+the lists alone.
+
 Defined results: null and empty texts have nothing to find; a text without findings is returned as it is; positions count code
 points from 0. Repeated rows have results each; in found() rows are distinct. Extra columns are ignored.
 """
@@ -23,21 +27,23 @@ points from 0. Repeated rows have results each; in found() rows are distinct. Ex
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwright.llm.common import pick, ship
-from shelfwright.llm.mojibake import slots
-from shelfwright.llm.sketch import count_items
+from shelfwright.llm.common import cut, pick, ship
 
-WIDTH = 1 << 20
+FLUSH = 200_000  # different words that a task counts before it hands them on
 KINDS = ("email", "address", "id_number", "phone", "name")
 
 # --- Transducers -----------------------------------------------------------------------------------------------------------------
@@ -54,6 +60,7 @@ DIGITS = {
     ]) for w in ws.split()
 }
 SPELLED = re.compile(r"(?i)\b(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:[\s,.-]{1,3}(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")){5,}\b")
+OTHER = re.compile("[Ͱ-ԯ]")
 MIXED = re.compile(r"(?<![A-Za-z])[A-Za-z]++[Ͱ-ԯ]+\w*|(?<![Ͱ-ԯ])[Ͱ-ԯ]++[A-Za-z]+\w*")
 AT = r"(?:\s*[\[({<]\s*(?:at|@|ät|arroba|arobase|chez)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+(?=[\w-]+\s*(?:[\[({]\s*(?:dot|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s)))"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
@@ -86,30 +93,57 @@ class Plain:
         self.text, self.at, self.to = "".join([*out, self.text[p:]]), new_at + at[p:], new_to + to[p:]
 
 
-def plain(text: str) -> Plain:
-    """The chain of transducers."""
+@lru_cache(1)
+def _unusual() -> re.Pattern:
+    """The characters beyond ASCII that _plain_char rewrites."""
+    found = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if _plain_char(c) is not None]
+    spans: list[list[str]] = []
+    for c in found:
+        if spans and ord(spans[-1][1]) + 1 == ord(c):
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(x)}-{re.escape(y)}" for x, y in spans) + "]")
+
+
+def _plain_char(c: str) -> str | None:
+    """What a character beyond ASCII is rewritten to, or none."""
+    if c in INVISIBLE:
+        return ""
+    if c.isspace():
+        return " " if c not in "\u2028\u2029\x85" else None
+    if c in "‐‑‒−﹘﹣":
+        return "-"
+    if "！" <= c <= "～" or "①" <= c <= "⓿" or "\U0001d400" <= c <= "\U0001d7ff":
+        return unicodedata.normalize("NFKC", c)
+    if c in "’ʼ":
+        return "'"
+    if unicodedata.category(c) == "Nd":
+        return str(unicodedata.digit(c))
+    return None
+
+
+def _rewritten(text: str) -> Plain:
+    """The first transducers: compatibility forms, blanks, invisible characters and look-alike letters."""
     p = Plain(text)
     if not text.isascii():
-        edits = []
-        for i, c in enumerate(text):
-            if c < "\x80":
-                continue
-            if c in INVISIBLE:
-                edits.append((i, i + 1, ""))
-            elif c.isspace():
-                if c != " " and c not in "  \x85":
-                    edits.append((i, i + 1, " "))
-            elif "！" <= c <= "～" or "①" <= c <= "⓿" or "\U0001d400" <= c <= "\U0001d7ff" or c in "‐‑‒−﹘﹣":
-                edits.append((i, i + 1, "-" if c in "‐‑‒−﹘﹣" else unicodedata.normalize("NFKC", c)))
-            elif c in "’ʼ":
-                edits.append((i, i + 1, "'"))
-            elif c.isdigit() and unicodedata.digit(c, None) is not None and unicodedata.category(c) == "Nd":
-                edits.append((i, i + 1, str(unicodedata.digit(c))))
-        p.edit(edits)
-        p.edit([(m.start(), m.end(), m.group().translate(LOOKALIKES)) for m in MIXED.finditer(p.text)])
-    p.edit([(m.start(), m.end(), "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", m.group()))) for m in SPELLED.finditer(p.text)])
+        p.edit([(m.start(), m.end(), _plain_char(m.group())) for m in _unusual().finditer(text)])
+        if OTHER.search(p.text):
+            p.edit([(m.start(), m.end(), m.group().translate(LOOKALIKES)) for m in MIXED.finditer(p.text)])
+    return p
+
+
+def plain(text: str) -> Plain:
+    """The chain of transducers."""
+    return _undisguised(_rewritten(text))
+
+
+def _undisguised(p: Plain, spelled: bool = True, disguised: bool = True) -> Plain:
+    """The last transducers: digits written out, and at and dot in disguise."""
+    if spelled:
+        p.edit([(m.start(), m.end(), "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", m.group()))) for m in SPELLED.finditer(p.text)])
     edits = []
-    for m in DISGUISED.finditer(p.text):
+    for m in DISGUISED.finditer(p.text) if disguised else ():
         whole = m.group()
         if "@" in whole and not re.search(r"[\s\[({<]", whole):
             continue
@@ -179,30 +213,6 @@ NOT_PERSON = set("street road lane close row avenue drive court terrace place sq
 NOT_GIVEN = set("the a an der die das le la les el los las un une on in at for since only after before while if when today every please check dear hello hallo hola bonjour hi open age ask bitte demander consultar am im zur zum von bei seit für ob unter möglicherweise ältere früher während zusätzlich laut selon según according no not new old north south east west san santa saint mr mrs ms miss mx dr prof sir dame herr herrn frau mme mlle monsieur madame don doña señor señora sr sra sig signora".split())
 
 
-class Given:
-    """What the corpus teaches about given names."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.half = counts, len(counts) // 2
-        self.known = lru_cache(1 << 16)(self._known)
-
-    def count(self, s: str) -> int:
-        a, b = slots(s, self.half)
-        return int(min(self.counts[a], self.counts[b]))
-
-    def _known(self, word: str) -> bool:
-        """Whether a word stands as a marked given name at least twice, and in a tenth of its capitalised uses."""
-        w = word.lower()
-        if w in NOT_GIVEN:
-            return False
-        return all((n := self.count("g:" + x)) >= 2 and n * 10 >= self.count("t:" + x) for x in w.split("-"))
-
-
-    def family(self, word: str) -> bool:
-        """Whether a word stands as a marked family name at least twice, and in a tenth of its capitalised uses."""
-        return all((n := self.count("f:" + x)) >= 2 and n * 10 >= self.count("t:" + x) for x in word.lower().split("-"))
-
-
 def _marked(text: str, start: int, end: int) -> bool:
     before = text[max(0, start - 28) : start]
     return bool(TITLE.search(before) or LABEL.search(before) or MARK_AFTER.match(text[end : end + 40]))
@@ -212,80 +222,218 @@ def _name_like(m: re.Match) -> bool:
     g, f = m.group("given") or "", m.group("family")
     if f.lower() in NOT_PERSON or g.lower() in NOT_GIVEN or f.lower() in NOT_GIVEN or g.lower() in NOT_PERSON:
         return False
-    return not (len(f) < 3 or (f.isupper() and g and not g.isupper()))
+    return not (f.isupper() and g and not g.isupper() and len(f) > 2)
 
 
-def marked_names(text: str) -> Iterator[str]:
-    """Given and family names of the marked names of a text, as g: and f: with the lower-case word."""
-    for rx in (NAMED, REVERSED):
-        for m in rx.finditer(text):
-            g = m.group("given")
-            if g and not g.endswith(".") and _name_like(m) and _marked(text, *m.span()):
-                yield from ("g:" + x for x in g.lower().split("-"))
-                yield from ("f:" + x for x in m.group("family").lower().split("-"))
+CAPS = re.compile(rf"(?<![\w'.@/\-])(?:{NAME_PART})(?![\w@'/])")
+#: Places where a name of capitalised words may begin: a capital, and after its word a blank and another one or a particle.
+BEGIN = re.compile(rf"{CAP}(?<![\w'.@/\-].)(?=[\w'.\-]*+[ \t](?:[ \t]?-?{CAP}|d[eiua']|von |van |zu |l[aeo]|el |al |bin |ben |ter |ten ))")
+COMMA = re.compile(rf",[ \t](?={CAP})")
+TAIL = re.compile(r"[\w'-]+\Z")
+
+
+def _reversed(t: str) -> list[re.Match]:
+    """All matches of REVERSED, one for each place where one begins."""
+    out, last = [], -1
+    for m in COMMA.finditer(t):
+        k = m.start()
+        while k > 0 and (t[k - 1].isalnum() or t[k - 1] in "_'-"):
+            k -= 1
+        for i in range(max(last + 1, k - 8), k + 1):
+            if (i == k or t[i] in "dvzulabet") and (x := REVERSED.match(t, i)):
+                out.append(x)
+                last = i
+    return out
+
+
+def _beginnings(t: str, rxs: tuple[re.Pattern, ...]) -> list[list[re.Match]]:
+    out: list[list[re.Match]] = [[] for _ in rxs]
+    for b in BEGIN.finditer(t):
+        for found, rx in zip(out, rxs):
+            if m := rx.match(t, b.start()):
+                found.append(m)
+    return out
+
+
+def _marked_words(found: list[re.Match], marked: Callable[[re.Match], bool]) -> Iterator[str]:
+    """Given and family names of the marked names among matches, each from behind the one before, as g: and f: with the lower-case word."""
+    end = 0
+    for m in found:
+        if m.start() < end:
+            continue
+        end = m.end()
+        g = m.group("given")
+        if g and not g.endswith(".") and _name_like(m) and marked(m):
+            yield from ("g:" + x for x in g.lower().split("-"))
+            yield from ("f:" + x for x in m.group("family").lower().split("-"))
 
 
-CAPS = re.compile(rf"(?<![\w'.@/\-])(?:{NAME_PART})(?![\w@'/])")
+@dataclass
+class Candidate:
+    """A match that may be a name. Places are of the plain form; kind 0 reversed, 1 given and family name, 2 with more between."""
 
+    kind: int
+    start: int
+    end: int
+    second_start: int  # of the second given name, -1 if there is none
+    given: str
+    second: str
+    family: str
+    marked: bool
+    beside: int  # end of what stands between the match and what may mark it, -1 if nothing does
+    free: int  # bits: initials may stand here if the name is marked (1), if it isn't (2)
 
-def findings(text: str | None, given: Given) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points of the source, ascending, without overlaps."""
-    if not text:
-        return []
-    p = plain(text)
-    t, out = p.text, []
-    taken = bytearray(len(t))
+
+@dataclass
+class Look:
+    """What one text tells by itself. spans: start, end (plain form), kind; names: Counter of marked words."""
+
+    plain: Plain
+    spans: list[tuple[int, int, str]] = field(default_factory=list)
+    candidates: list[Candidate] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+
+
+ALL = frozenset(("address_en", "address_caps", "address_de", "address_fr", "address_es", "strong", "weak", "phone"))
+ADDRESSES = {"address_en": ADDRESS_EN, "address_caps": ADDRESS_EN_CAPS, "address_de": ADDRESS_DE, "address_fr": ADDRESS_FR, "address_es": ADDRESS_ES}
+
+
+class Taken:
+    """Disjoint stretches."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for i, j, *_ in sorted(spans):
+            self.starts.append(i), self.ends.append(j)
+
+    def hit(self, i: int, j: int) -> bool:
+        """Whether a stretch overlaps i to before j."""
+        k = bisect_right(self.ends, i)
+        return i < j and k < len(self.starts) and self.starts[k] < j
+
+    def add(self, i: int, j: int) -> None:
+        k = bisect_left(self.starts, i)
+        self.starts.insert(k, i), self.ends.insert(k, j)
+
+
+def look(p: Plain, forms: frozenset[str] | set[str] = ALL) -> Look:
+    """Everything but the decision about names. forms: those whose native expression found something."""
+    t, out = p.text, Look(p)
+    taken = Taken()
 
     def add(i: int, j: int, kind: str) -> None:
-        if not any(taken[i:j]):
-            taken[i:j] = b"\1" * (j - i)
-            out.append((i, j, kind))
+        if not taken.hit(i, j):
+            taken.add(i, j)
+            out.spans.append((i, j, kind))
 
     if "@" in t:
         for m in EMAIL.finditer(t):
             i = m.start() + (7 if m.group().lower().startswith("mailto:") else 0)
             add(i, m.end(), "email")
-    for rx in (ADDRESS_EN, ADDRESS_EN_CAPS, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES):
-        for m in rx.finditer(t):
-            if rx is ADDRESS_DE and _weekday(m.group()):
-                continue
-            add(m.start(), m.end(), "address")
-    for m in ID_STRONG.finditer(t):
+    for name, rx in ADDRESSES.items():
+        if name in forms:
+            for m in rx.finditer(t):
+                if rx is ADDRESS_DE and _weekday(m.group()):
+                    continue
+                add(m.start(), m.end(), "address")
+    for m in ID_STRONG.finditer(t) if "strong" in forms else ():
         before = t[max(0, m.start() - 90) : m.start()]
         if NOT_NUMBER.search(before) or AFTER_NOT.match(t[m.end() : m.end() + 12]):
             continue
         add(m.start(), m.end(), "id_number")
-    for m in ID_WEAK.finditer(t):
-        if any(c.isdigit() for c in m.group()):
+    for m in ID_WEAK.finditer(t) if "weak" in forms else ():
+        if sum(map(str.isdigit, m.group())) >= 6 and not DATE.match(m.group()):
             before = t[max(0, m.start() - 90) : m.start()]
-            if ID_WORDS.search(before) and not NOT_NUMBER.search(before) and not CALL.search(before[-28:]) and not AFTER_NOT.match(t[m.end() : m.end() + 12]) and sum(map(str.isdigit, m.group())) >= 6 and not DATE.match(m.group()):
+            if ID_WORDS.search(before) and not NOT_NUMBER.search(before) and not CALL.search(before[-28:]) and not AFTER_NOT.match(t[m.end() : m.end() + 12]):
                 add(m.start(), m.end(), "id_number")
-    for m in PHONE.finditer(t):
+    for m in PHONE.finditer(t) if "phone" in forms else ():
         if is_phone(m.group(), t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 14]):
             add(m.start(), m.end(), "phone")
-    for rx in (REVERSED, SHORT, NAMED):
-        next_ = 0
-        while m := rx.search(t, next_):
-            next_ = m.start() + 1  # from the next word on, unless this is a name
-            if any(taken[m.start() : m.end()]) or not _name_like(m):
-                continue
+
+    known: dict[tuple[int, int], bool] = {}
+
+    def marked(m: re.Match) -> bool:
+        if (at := m.span()) not in known:
+            known[at] = _marked(t, *at)
+        return known[at]
+
+    turned = _reversed(t)
+    short, named = _beginnings(t, (SHORT, NAMED))
+    out.names = [*_marked_words(named, marked), *_marked_words(turned, marked)]
+    for kind, found in enumerate((turned, short, named)):
+        for m in found:
             i, j = m.span()
-            g = m.group("given")
-            if rx is not REVERSED and _weekday(m.group()):
+            if not _name_like(m) or taken.hit(i, j) or (kind and _weekday(m.group())):
                 continue
-            if rx is SHORT and given.known(m.group("family")):
-                continue  # two given names: the family comes later
-            sure = _marked(t, i, j) or bool((beside := BESIDE.match(t, j)) and any(taken[j : beside.end() + 1])) or t[max(0, i - 2) : i] == "/ "
-            if g and not g.endswith("."):
-                ok = given.known(g) or (sure and not given.known(m.group("family")))
-                if not ok and rx is NAMED and m.group("second") and given.known(m.group("second")):
-                    i, ok = m.start("second"), True
-            else:  # initials: the family must be known, or the name marked
-                ok = (sure or given.family(m.group("family"))) and not re.search(r"[º°][ \t]?\Z|\w\.\Z" if sure else r"[º°\d][ \t]?\Z|\w\.\Z", t[max(0, i - 3) : i])
-            if ok:
-                add(i, j, "name")
-                next_ = j
-    return sorted((*p.source(i, j), k) for i, j, k in out)
+            b = BESIDE.match(t, j)
+            before, second = t[max(0, i - 3) : i], m.group("second") if kind == 2 else None
+            free = (not NO_INITIAL_MARKED.search(before)) + 2 * (not NO_INITIAL.search(before))
+            out.candidates.append(Candidate(kind, i, j, m.start("second") if second else -1, m.group("given") or "", second or "", m.group("family"), marked(m) or t[max(0, i - 2) : i] == "/ ", b.end() + 1 if b else -1, free))
+    return out
+
+
+NO_INITIAL_MARKED = re.compile(r"[º°][ \t]?\Z|\w\.\Z")
+NO_INITIAL = re.compile(r"[º°\d][ \t]?\Z|\w\.\Z")
+
+
+def settle(spans: list[tuple[int, int]], candidates: list[Candidate], given: set[str], family: set[str]) -> list[tuple[int, int]]:
+    """(candidate's number, whether from its second given name) of the candidates that are names. given, family: the known parts of words."""
+    taken, out = Taken(spans), []
+
+    def is_given(word: str) -> bool:
+        w = word.lower()
+        return w not in NOT_GIVEN and all(x in given for x in w.split("-"))
+
+    was, next_ = -1, 0
+    for n, c in enumerate(candidates):
+        if c.kind != was:
+            was, next_ = c.kind, 0
+        if c.start < next_ or taken.hit(c.start, c.end):
+            continue
+        if c.kind == 1 and is_given(c.family):
+            continue  # two given names: the family comes later
+        sure, second = c.marked or (c.beside >= 0 and taken.hit(c.end, c.beside)), 0
+        if c.given and not c.given.endswith("."):
+            ok = is_given(c.given) or (sure and not is_given(c.family))
+            if not ok and c.second and is_given(c.second):
+                ok, second = True, 1
+        else:  # initials: the family must be known, or the name marked
+            ok = sure and c.free & 1 or c.free & 2 and all(x in family for x in c.family.lower().split("-"))
+        if ok:
+            out.append((n, second))
+            taken.add(c.second_start if second else c.start, c.end)
+            next_ = c.end
+    return out
+
+
+def words_of(c: Candidate) -> Iterator[str]:
+    """The words whose standing in the corpus decides about a candidate."""
+    for w in (c.given, c.second, c.family):
+        if w and not w.endswith("."):
+            yield from w.lower().split("-")
+
+
+def known_words(counts: Counter) -> tuple[set[str], set[str]]:
+    """(given names, family names): words that stand so, marked, at least twice and in a tenth of their capitalised uses."""
+    find = lambda k: {w[2:] for w, n in counts.items() if w[:2] == k and n >= 2 and n * 10 >= counts["t:" + w[2:]]}
+    return find("g:"), find("f:")
+
+
+def counted(text: str) -> Iterator[str]:
+    """What a text adds to the corpus' counts: g:, f: of marked names, t: of capitalised words."""
+    p = plain(text)
+    yield from look(p).names
+    for w in CAPS.findall(p.text):
+        yield from ("t:" + x for x in w.lower().split("-"))
+
+
+def findings(text: str | None, known: tuple[set[str], set[str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points of the source, ascending, without overlaps."""
+    if not text:
+        return []
+    found = look(plain(text))
+    names = [(c.second_start if second else c.start, c.end, "name") for n, second in settle([s[:2] for s in found.spans], found.candidates, *known) for c in [found.candidates[n]]]
+    return sorted((*found.plain.source(i, j), k) for i, j, k in [*found.spans, *names])
 
 
 #: What may stand between a name and the address or number that marks it.
@@ -298,7 +446,7 @@ def _weekday(s: str) -> bool:
 
 def is_phone(s: str, before: str, after: str) -> bool:
     digits = re.sub(r"\D", "", s)
-    if not 8 <= len(digits) <= 15 or NOT_NUMBER.search(before) or AFTER_NOT.match(after) or DATE.match(s) or re.search(r"\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|\b(?:19|20)\d\d-\d\d-\d\d", s):
+    if not 8 <= len(digits) <= 15 or DATE.match(s) or AFTER_NOT.match(after) or NOT_NUMBER.search(before) or re.search(r"\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d\b|\b(?:19|20)\d\d-\d\d-\d\d", s):
         return False
     if re.match(r"^\s?\d\d?:\d\d", after) or re.search(r"\bINV-[\d-]*$|\bTicket [\d-]*$", before):
         return False
@@ -323,45 +471,194 @@ def is_phone(s: str, before: str, after: str) -> bool:
 # --- Operators -------------------------------------------------------------------------------------------------------------------
 
 
-def given_counts(df: DataFrame, text_col: str, width: int = WIDTH) -> np.ndarray:
-    """The count sketch of marked given and family names (g:, f:) and of all capitalised words (t:)."""
+def native(pattern: str, ignore_case: bool = False) -> str:
+    """A pattern in the native expression language that finds something wherever pattern does: without lookarounds and atomic repeats.
+
+    Word ends know ASCII letters only there, so they must stand beside one: then there are more of them, never fewer."""
+    letters, blanks = r"\pL\pN_", r"\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{2028}\x{2029}"
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith(("(?<!", "(?<=", "(?!", "(?="), i) and not inside:
+            depth, in_class = 0, False
+            while True:
+                x = pattern[i]
+                if x == "\\":
+                    i += 1
+                elif in_class:
+                    in_class = x != "]"
+                elif x == "[":
+                    in_class = True
+                elif x in "()":
+                    depth += 1 if x == "(" else -1
+                i += 1
+                if not depth:
+                    break
+            continue
+        if c == "\\":
+            e = pattern[i + 1]
+            out.append({"w": letters if inside else f"[{letters}]", "s": blanks if inside else f"[{blanks}]"}.get(e, c + e))
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "+" and i and pattern[i - 1] in "+*":
+            i += 1
+            continue
+        out.append(c)
+        i += 1
+    return ("(?i)" if ignore_case else "") + "".join(out)
+
+
+_DIGIT_WORDS = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+_B = r"[\s\v\x{85}\x{a0}\x{2028}\x{2029}]"
+#: Forms that the transducers and detectors look for, in the native expression language.
+NATIVE = {
+    "spelled": rf"(?i){_DIGIT_WORDS}(?:(?:{_B}|[,.-]){{1,3}}{_DIGIT_WORDS}){{5}}",
+    "disguised": rf"(?i)@{_B}|{_B}@|[\[({{<]{_B}*(?:at|@|ät|arroba|arobase|chez|dot|punkt|punto|point|\.){_B}*[\])}}>]|@[\pL\pN_-]+{_B}+(?:dot|punkt|punto|point){_B}|{_B}(?:dot|punkt|punto|point){_B}+[\pL\pN_%+-]+@|{_B}(?:at|arroba|arobase){_B}+[\pL\pN_-]+{_B}*(?:[\[({{]{_B}*|{_B})(?:dot|punkt|punto|point)",
+    **{k: native(rx.pattern, bool(rx.flags & re.I)) for k, rx in ADDRESSES.items()},
+    "strong": native(ID_STRONG.pattern),
+    "weak": native(ID_WEAK.pattern),
+    "id_words": native(ID_WORDS.pattern.removesuffix(r"[^\n]{0,70}$")),
+    "phone": r"\d(?:[ \t.\-/()]{0,4}\d){6}",
+}
+
+
+def looks(texts: list[str | None]) -> list[Look | None]:
+    """look() of many texts."""
+    first = [_rewritten(t) if t else None for t in texts]
+    col = pa.array([p.text if p else None for p in first], pa.string())
+    has = lambda col, k: pc.match_substring_regex(col, NATIVE[k]).to_pylist()
+    plains = [_undisguised(p, s, d) if p else None for p, s, d in zip(first, has(col, "spelled"), has(col, "disguised"))]
+    col = pa.array([p.text if p else None for p in plains], pa.string())
+    forms = sorted(ALL)
+    hits = [has(col, k) for k in forms]
+    hits[forms.index("weak")] = [x and y for x, y in zip(hits[forms.index("weak")], has(col, "id_words"))]
+    hits = zip(*hits)
+    return [look(p, {k for k, y in zip(forms, h) if y}) if p else None for p, h in zip(plains, hits)]
+
+
+SPAN = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]))
+CANDIDATE = pa.list_(pa.struct([("kind", pa.int8()), ("i", pa.int32()), ("j", pa.int32()), ("second_i", pa.int32()), ("given", pa.string()), ("second", pa.string()), ("family", pa.string()), ("marked", pa.bool_()), ("beside", pa.int32()), ("free", pa.int8()), ("start_pos", pa.int64()), ("second_pos", pa.int64()), ("end_pos", pa.int64())]))
+SPAN_DDL = "array<struct<i: int, j: int, start_pos: long, end_pos: long, kind: string>>"
+CANDIDATE_DDL = "array<struct<kind: tinyint, i: int, j: int, second_i: int, given: string, second: string, family: string, marked: boolean, beside: int, free: tinyint, start_pos: long, second_pos: long, end_pos: long>>"
+
+
+def _looked(df: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """(row, _id, _text, spans, candidates, words) of each row, and (word, n) of what it was counted; only _text is optional.
+
+    row numbers the rows; a row without spans and candidates is left out unless its text is kept. words: what decides about its candidates.
+    """
     ship(df.sparkSession)
-    half = width // 2
-    rows = pick(df, text_col).toDF("_text").where("_text is not null")
+    rows = pick(df, id_col, text_col).toDF("_id", "_text")
+    rows = rows if keep_text else rows.where("_text is not null")
 
-    def add(b: pa.RecordBatch, counts: np.ndarray) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         seen: Counter[str] = Counter()
-        for t in b.column(0).to_pylist():
-            t = plain(t).text
-            seen.update(marked_names(t))
-            for m in CAPS.finditer(t):
-                seen.update("t:" + x for x in m.group().lower().split("-"))
-        for w, n in seen.items():
-            for q in slots(w, half):
-                counts[q] += n
-        return b.num_rows
+        caps: Counter[str] = Counter()
+        id_type = None
+
+        def counts() -> pa.RecordBatch:
+            for w, n in caps.items():
+                for x in w.lower().split("-"):
+                    seen["t:" + x] += n
+            k = len(seen)
+            none = lambda t: pa.nulls(k, t)
+            out = pa.RecordBatch.from_arrays([none(pa.int64()), none(id_type), none(pa.string()), none(SPAN), none(CANDIDATE), none(pa.list_(pa.string())), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=NAMES)
+            seen.clear(), caps.clear()
+            return out
+
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                texts = part.column(1).to_pylist()
+                kept, spans, candidates, words = [], [], [], []
+                for n, x in enumerate(looks(texts)):
+                    if x is not None:
+                        seen.update(x.names)
+                        caps.update(CAPS.findall(x.plain.text))
+                    if not keep_text and (x is None or not (x.spans or x.candidates)):
+                        continue
+                    kept.append(n)
+                    source = x.plain.source if x else None
+                    spans.append([(i, j, *source(i, j), k) for i, j, k in x.spans] if x else [])
+                    candidates.append([(c.kind, c.start, c.end, c.second_start, c.given, c.second, c.family, c.marked, c.beside, c.free, source(c.start, c.end)[0], source(c.second_start, c.end)[0] if c.second else -1, source(c.start, c.end)[1]) for c in x.candidates] if x else [])
+                    words.append(sorted({w for c in x.candidates for w in words_of(c)}) if x else [])
+                k = len(kept)
+                place = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at + i for i in kept], pa.int64()), part.column(0).take(place), part.column(1).take(place) if keep_text else pa.nulls(k, pa.string()), _structs(spans, SPAN), _structs(candidates, CANDIDATE), pa.array(words, pa.list_(pa.string())), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=NAMES
+                )
+                at += part.num_rows
+                if len(seen) + len(caps) > FLUSH:
+                    yield counts()
+        if seen or caps:
+            yield counts()
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row long, _id {kind}, _text string, spans {SPAN_DDL}, candidates {CANDIDATE_DDL}, words array<string>, word string, n long")
+
+
+NAMES = ["row", "_id", "_text", "spans", "candidates", "words", "word", "n"]
+
+
+def _structs(lists: list[list[tuple]], kind: pa.ListType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs."""
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    flat = [x for one in lists for x in one]
+    cols = list(zip(*flat)) if flat else [[] for _ in fields]
+    starts = [0]
+    for one in lists:
+        starts.append(starts[-1] + len(one))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], fields=fields), type=kind)
+
+
+FOUND = "array<struct<start_pos: long, end_pos: long, kind: string>>"
+
+
+def _settled(df: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """(_id, _text, found) of every row, or without keep_text of those in which something may be found."""
+    looked = cut(_looked(df, id_col, text_col, keep_text), "looked")
+    count = looked.where("word is not null").groupBy(F.substring("word", 3, 1 << 30).alias("w")).agg(*[F.coalesce(F.sum(F.when(F.col("word").startswith(k + ":"), F.col("n"))), F.lit(0)).alias(k) for k in "gft"])
+    stands = lambda c: (F.col(c) >= 2) & (F.col(c) * 10 >= F.col("t"))
+    names = count.select("w", stands("g").alias("given"), stands("f").alias("family")).where("given or family")
+    rows = looked.where("row is not null")
+    known = rows.where("size(words) > 0").select("row", F.explode("words").alias("w")).join(names, "w").groupBy("row").agg(F.collect_set(F.when(F.col("given"), F.col("w"))).alias("given"), F.collect_set(F.when(F.col("family"), F.col("w"))).alias("family"))  # words of one row
+    open_ = rows.where("size(candidates) > 0").join(known, "row", "left").select("_id", "_text", "spans", "candidates", "given", "family")
 
-    return count_items(rows, add, width)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]))
+        for b in batches:
+            out = []
+            for spans, candidates, given, family in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+                cs = [Candidate(c["kind"], c["i"], c["j"], c["second_i"], c["given"], c["second"], c["family"], c["marked"], c["beside"], c["free"]) for c in candidates]
+                found = [(x["start_pos"], x["end_pos"], x["kind"]) for x in spans]
+                for n, second in settle([(x["i"], x["j"]) for x in spans], cs, set(given or ()), set(family or ())):
+                    c = candidates[n]
+                    found.append((c["second_pos"] if second else c["start_pos"], c["end_pos"], "name"))
+                out.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _structs(out, kind)], names=["_id", "_text", "found"])
+
+    settled = open_.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text string, found {FOUND}")
+    rest = rows.where("size(candidates) = 0").select("_id", "_text", F.array_sort(F.transform("spans", lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), x["kind"].alias("kind")))).alias("found"))
+    return settled.unionByName(rest)
 
 
 def masked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, masked, found: array<struct<start_pos, end_pos, kind>>) of every row; findings replaced by [EMAIL] and so on."""
-    counts = df.sparkSession.sparkContext.broadcast(given_counts(df, text_col))
-    rows = pick(df, id_col, text_col).toDF("_id", "_text")
-    kind = pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]))
+    rows = _settled(df, id_col, text_col, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = Given(counts.value)
         for b in batches:
-            new, found = [], []
-            for t in b.column(1).to_pylist():
-                f = findings(t, given)
-                found.append([{"start_pos": i, "end_pos": j, "kind": k} for i, j, k in f])
-                new.append(mask(t, f))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array(found, kind)], names=["_id", "masked", "found"])
+            found = b.column(2).to_pylist()
+            new = [mask(t, [(x["start_pos"], x["end_pos"], x["kind"]) for x in f]) for t, f in zip(b.column(1).to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), b.column(2)], names=["_id", "masked", "found"])
 
-    out = f"_id {rows.schema['_id'].dataType.simpleString()}, masked string, found array<struct<start_pos: long, end_pos: long, kind: string>>"
-    return rows.mapInArrow(run, out).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, masked string, found {FOUND}").withColumnRenamed("_id", id_col)
 
 
 def mask(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
@@ -376,5 +673,5 @@ def mask(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, kind, start_pos): one row for each occurrence."""
-    rows = masked(df, id_col, text_col).select(id_col, F.explode("found").alias("f"))
+    rows = _settled(df, id_col, text_col, False).select(F.col("_id").alias(id_col), F.explode("found").alias("f"))
     return rows.select(id_col, F.col("f.kind").alias("kind"), F.col("f.start_pos").alias("start_pos")).distinct()
