@@ -9,12 +9,16 @@ lattice of bytes and reads the bytes again. Two kinds of channels are searched.
 * One single-byte encoding read as another. Words are scored by their frequency in the whole corpus under each channel, and a
   Viterbi search over the words of a text chooses the channel of each, with a price for every change of channel.
 
-Lost bytes (replacement characters) are wildcards. In a sequence of the first kind they stand for any continuation byte; in a word,
-for any letter beyond ASCII. Fillings are ranked by the frequency of the word they make, and by letter pairs where it makes none; a
-beam keeps the best BEAM fillings of the lattice. Where the corpus knows none, the stretch is reported but not restored.
+Every text goes through both, so that a text may be damaged in several ways. A stretch without blanks is cut at ASCII punctuation,
+and a very long one without any at LONGEST characters: one character is one byte there, so a cut loses nothing but a word across it.
 
-Corpus word frequencies are a count sketch of fixed size over all texts (two rows, the smaller count holds), words with letters
-beyond ASCII and their letter pairs only, since no other can come out of a restoration. It is broadcast.
+Lost bytes (replacement characters) are wildcards of the lattice. In a sequence of the first kind they stand for any continuation
+byte, in a word for any letter beyond ASCII of its alphabet. Fillings are ranked by the frequency of the word they make, and by letter
+pairs on the way there (a beam of BEAM); a sign by how often it stands between such neighbours. Where the corpus knows none, or less is
+left of a word than is lost, the stretch is reported but not restored.
+
+Corpus frequencies are a count sketch of fixed size over all texts (two rows, the smaller count holds): words with letters beyond
+ASCII, their letter pairs, and signs beyond ASCII by their neighbours, since nothing else can come out of a restoration. It is broadcast.
 
 Defined results: null and empty texts have no garbled stretch; a C1 control other than NEL is garbled; entities, percent codes, other
 scripts and rare but right characters are not. Repeated rows have one result each. Extra columns are ignored.
@@ -25,22 +29,26 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm.common import pick, ship
 from shelfwright.llm.sketch import count_items
+from shelfwright.llm.spans import Taken
 
 WIDTH = 1 << 20
 BEAM = 24
-LONGEST = 512  # characters; a longer stretch without blanks is no word, and only multi-byte sequences are looked for in it
+LONGEST = 512  # characters of a stretch that are scored at once
 #: Encodings that UTF-8 is read with by mistake.
 READERS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866", "koi8_r", "cp1254", "cp1257", "iso8859_2", "iso8859_15"]
 #: (true, read) pairs of single-byte encodings.
@@ -51,13 +59,13 @@ SINGLE = [
 ]
 SWITCH, BACK = 8.0, 1.0  # prices of entering a channel, and of leaving one for none, in nats
 LOST = "�"
-HIGH = re.compile(r"[^\x00-\x7f]")
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: A stretch between blanks that has a character beyond ASCII; linear in a text's length.
 TOKEN = re.compile(r"(?<![^ \t\r\n\f\v])[!-~\x00-\x08\x0e-\x1f\x7f]*+[^\x00-\x7f][^ \t\r\n\f\v]*")
 WORD = re.compile(r"[^\W\d_]+")
 DAMAGED = re.compile(rf"(?:[^\W\d_]|{LOST})+")
-MOST_LOST = 8  # letters of one word; with more of them lost, the word is not restored
+SIGN = re.compile(rf"[^\w\s\x00-\x9f{LOST}]")
+PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 BOX = re.compile("[─-╿▀-▟]")
 
 
@@ -77,6 +85,7 @@ def _to_byte(name: str) -> dict[str, int]:
 
 TABLES = {n: _to_byte(n) for n in {*READERS, *(r for _, r in SINGLE)}}
 MAPS = {n: {ord(c): b for c, b in t.items()} for n, t in TABLES.items()}
+CHARS = {n: frozenset([*map(chr, range(128)), *t]) for n, t in TABLES.items()}
 
 
 def _class(name: str, lo: int, hi: int) -> str:
@@ -166,6 +175,7 @@ class Words:
         self.counts, self.half = counts, len(counts) // 2
         self.total = max(1.0, float(counts.sum()) / 2)
         self.word = lru_cache(1 << 16)(self._word)
+        self.pair = lru_cache(1 << 16)(self._pair)
         self.fill = lru_cache(1 << 14)(self._fill)
         self.token = lru_cache(1 << 16)(self._token)
 
@@ -173,6 +183,10 @@ class Words:
         a, b = slots(s, self.half)
         return int(min(self.counts[a], self.counts[b]))
 
+    def _pair(self, two: str) -> float:
+        """Log count of a letter pair."""
+        return math.log(self.count("\0" + two.lower()) + 0.05)
+
     def _word(self, w: str) -> float:
         """Log probability of a word with a letter beyond ASCII, 0 for others."""
         if w.isascii():
@@ -181,8 +195,8 @@ class Words:
         n = self.count(w)
         if n:
             return math.log(n / self.total)
-        pairs = sum(math.log((self.count("\0" + w[i : i + 2]) + 0.05) / self.total) for i in range(len(w) - 1) if not w[i : i + 2].isascii())
-        return -math.log(self.total) - 3 + max(-12.0, pairs / 4)
+        pairs = sum(self.pair(w[i : i + 2]) - math.log(self.total) for i in range(len(w) - 1) if not w[i : i + 2].isascii())
+        return -math.log(self.total) - 3 + max(-12.0 * max(1.0, len(w) / 16), pairs / 4)
 
     def score(self, token: str) -> float:
         """Log probability of a token's words; signs inside words, and letters of two scripts in one word, cost extra."""
@@ -198,23 +212,20 @@ class Words:
     def undo(token: str, k: int) -> str | None:
         """A token read by channel k's true encoding, if it can be."""
         true, read = SINGLE[k]
-        table = MAPS[read]
         try:
-            return bytes(ord(c) if c < "\x80" else table[ord(c)] for c in token).decode(true)
-        except (KeyError, UnicodeDecodeError):
+            return token.translate(MAPS[read]).encode("latin-1").decode(true) if CHARS[read].issuperset(token) else None
+        except UnicodeDecodeError:
             return None
 
     def _token(self, token: str) -> tuple[tuple[int, float, str], ...]:
         """(channel, score, restored) of a token under each channel that applies; channel -1 is none."""
-        if len(token) > LONGEST:
-            return ((-1, 0.0, token),)
         own = self.score(token)
         out = [(-1, own, token)]
         for k in range(len(SINGLE)):
             o = self.undo(token, k)
             if o is None or o == token or not any(c.isalpha() and c > "\x7f" for c in o):
                 continue
-            s = self.score(o)
+            s = self.score(o) - 2 * sum(c > "\x7f" and c.isalpha() and not (x.isalpha() or x.isspace()) for c, x in zip(token, o))  # letters read as signs
             if not any(len(w) > 1 and not w.isascii() and self.count(w.lower()) > 2 for w in WORD.findall(o)):
                 s -= 12  # no word that the corpus knows
             if s > own - 8:
@@ -223,20 +234,43 @@ class Words:
 
     def _fill(self, word: str) -> str | None:
         """A word whose lost letters are filled in, if the corpus knows one."""
-        if word.count(LOST) > MOST_LOST or len(word) > 64:
-            return None
-        beam = [("", 0.0)]
-        for c in word:
-            options = LETTERS if c == LOST else (c,)
-            beam = [(w + x, s + (0.0 if (w[-1:] + x).isascii() or not w else math.log(self.count("\0" + (w[-1] + x).lower()) + 0.05))) for w, s in beam for x in options]
-            beam.sort(key=lambda p: -p[1])
-            del beam[BEAM * len(LETTERS) if word.count(LOST) <= 2 else BEAM :]
-        known = [(self.count(w.lower()), s, w) for w, s in beam]
-        best = max(known, default=(0, 0.0, ""))
-        return best[2] if best[0] > 2 and not best[2].isascii() else None
+        lost = word.count(LOST)
+        if 2 * lost > len(word):
+            return None  # less is left than is lost
+        letters = alphabet(word)
+        width = BEAM * (len(letters) if lost <= 2 else 4)
+        beam: list[tuple[float, tuple | None, str]] = [(0.0, None, "")]  # score, fillings so far, last letter
+        for i, c in enumerate(word):
+            if c == LOST:
+                beam = nlargest(width, ((p + (self.pair(last + x) if last else 0.0), (fills, x), x) for p, fills, last in beam for x in letters), key=lambda b: b[0])
+            elif i and word[i - 1] == LOST:
+                beam = [(p + self.pair(last + c), fills, c) for p, fills, last in beam]
+            else:
+                beam = [(p, fills, c) for p, fills, _ in beam]
+        best = (0, 0.0, "")
+        parts = word.split(LOST)
+        for p, fills, _ in beam:
+            made = []
+            while fills:
+                fills, x = fills
+                made.append(x)
+            whole = "".join(a + b for a, b in zip(parts, [*reversed(made), ""]))
+            best = max(best, (self.count(whole.lower()), p, whole))
+        return best[2] if best[0] > 2 else None
+
+
+#: Letters beyond ASCII of the alphabets that lost letters are looked for in. Fixed values.
+LETTERS = tuple("áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿßąćęłńóśźżčďěňřšťůžőűÁÀÂÄÃÅÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÜ")
+CYRILLIC = tuple(map(chr, [*range(0x410, 0x450), 0x401, 0x451, 0x404, 0x454, 0x406, 0x456, 0x407, 0x457, 0x490, 0x491]))
+GREEK = tuple(map(chr, [0x386, 0x388, 0x389, 0x38A, 0x38C, 0x38E, 0x38F, *range(0x391, 0x3A2), *range(0x3A3, 0x3CF)]))
+
+
+def alphabet(word: str) -> tuple[str, ...]:
+    """The letters beyond ASCII that may be lost in a word, by those that it has."""
+    kinds = {_script(c) for c in word if c.isalpha()}
+    return CYRILLIC if 1 in kinds else GREEK if 2 in kinds else LETTERS
 
 
-LETTERS = tuple("áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿßąćęłńóśźżčďěňřšťůžőűÁÀÂÄÃÅÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÜ")
 INNER = re.compile(r"[^\W\d_][¡-©«-´¶-¹»-¿×÷‚„†‡‰‹›€™]+[^\W\d_]")
 
 
@@ -254,46 +288,67 @@ def slots(s: str, half: int) -> tuple[int, int]:
     return zlib.crc32(b) & (half - 1), half + (zlib.adler32(b[::-1]) * 0x9E3779B1 >> 7 & (half - 1))
 
 
-def _lost_sequences(text: str, words: Words) -> list[tuple[int, int, str]]:
-    """Sequences with one lost byte: (start, end, character). Typographic signs are the most common ones, letters those of the most frequent word."""
+def between(text: str, i: int, j: int) -> str:
+    """Whether letters or digits stand before and after text[i:j]."""
+    return "01"[i > 0 and text[i - 1].isalnum()] + "01"[j < len(text) and text[j].isalnum()]
+
+
+def _readings(s: str, table: dict[int, int]) -> list[str]:
+    """The characters that a multi-byte sequence may be, its lost bytes standing for any continuation byte; of three lost ones nothing is told."""
+    known = [table.get(ord(c)) for c in s]
+    if known.count(None) > 2:
+        return []
     out = []
-    for m in re.finditer(f"(вЂ|â€|ÔÇ|ΓÇ|‚Ä){LOST}", text):
-        opens = m.end() < len(text) and text[m.end()].isalnum() and (m.start() == 0 or not text[m.start() - 1].isalnum())
-        out.append((m.start(), m.end(), "‘" if opens else "”"))
-    if LOST in text:
-        out += _lost_letters(text, words, out)
+    for v in product(range(0x80, 0xC0), repeat=known.count(None)):
+        lost = iter(v)
+        try:
+            out.append(bytes(next(lost) if b is None else b for b in known).decode())
+        except UnicodeDecodeError:
+            pass
     return out
 
 
-def _lost_letters(text: str, words: Words, signs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _lost_sequences(text: str, words: Words) -> list[tuple[int, int, str]]:
+    """Sequences with lost bytes: (start, end, character). Letters are those of the most frequent word, signs those most frequent in such a place."""
+    if LOST not in text:
+        return []
+    out = _lost_letters(text, words)
+    taken = Taken(out)
+    best: dict[tuple[int, int], tuple[int, str]] = {}
+    for name in READERS:
+        for m in LOST_SEQUENCES[name].finditer(text):
+            if LOST in m.group() and not taken.hit(*m.span()):
+                place = "\1" + between(text, *m.span())
+                for c in _readings(m.group(), MAPS[name]):
+                    if not c.isalnum() and (n := words.count(place + c)) > max(2, best.get(m.span(), (0, ""))[0]):
+                        best[m.span()] = (n, c)
+    for (i, j), (_, c) in sorted(best.items(), key=lambda x: -x[1][0]):
+        if not taken.hit(i, j):
+            taken.add(i, j)
+            out.append((i, j, c))
+    return out
+
+
+def _lost_letters(text: str, words: Words) -> list[tuple[int, int, str]]:
     """Letters with lost continuation bytes, each reader's whole words over the 64 values of each such byte, by the corpus frequency of the word they make."""
     out = []
     for t in TOKEN.finditer(text):
         token, at = t.group(), t.start()
-        if LOST not in token or any(at <= i < t.end() for i, _, _ in signs):
+        if LOST not in token:
             continue
         best: tuple[tuple[int, int], list] = ((2, 0), [])
         for name in READERS:
             table = MAPS[name]
             parts = []
             for m in LOST_SEQUENCES[name].finditer(token):
-                known = [table.get(ord(c)) for c in m.group()]
-                fits = []
-                for v in product(range(0x80, 0xC0), repeat=known.count(None)):
-                    lost = iter(v)
-                    try:
-                        c = bytes(next(lost) if b is None else b for b in known).decode()
-                    except UnicodeDecodeError:
-                        continue
-                    if c.isalpha():
-                        fits.append(c)
+                fits = [c for c in _readings(m.group(), table) if c.isalpha()]
                 if fits:
                     parts.append((*m.span(), fits))
             if not any(LOST in token[i:j] for i, j, _ in parts):
                 continue
             beam, end = [("", 0.0, [])], 0
             for i, j, fits in parts:
-                beam = [(w + token[end:i] + c, p + math.log(words.count("\0" + ((w + token[end:i])[-1:] + c).lower()) + 0.05), [*e, (at + i, at + j, c)]) for w, p, e in beam for c in fits]
+                beam = [(w + token[end:i] + c, p + words.pair((w + token[end:i])[-1:] + c), [*e, (at + i, at + j, c)]) for w, p, e in beam for c in fits]
                 beam = sorted(beam, key=lambda x: -x[1])[: 4 * BEAM]
                 end = j
             for w, _, e in beam:
@@ -305,53 +360,85 @@ def _lost_letters(text: str, words: Words, signs: list[tuple[int, int, str]]) ->
     return out
 
 
-def restore(text: str | None, words: Words) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """(restored text, stretches): each stretch is (start, end in the given text, the channel); where none, the text itself."""
+def _source(p: int, layers: list[list[tuple[int, int, int, int]]], end: bool = False) -> int:
+    """The place in the given text of a place (or an end) in the text after some layers of edits (start, end after; start, end before)."""
+    for edits in reversed(layers):
+        k = bisect_right(edits, (p - end, math.inf)) - 1
+        if k >= 0:
+            i, j, x, y = edits[k]
+            p = (y if end else x) if p - end < j else y + p - j
+    return p
+
+
+def restore(text: str | None, words: Words, sequences_too: bool = True) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """(restored text, stretches): each stretch is (start, end in the given text, the channel); where none, the text itself.
+
+    Without sequences_too, the text is known to hold no multi-byte sequence.
+    """
     if not text or text.isascii():
         return text, []
     spans: list[tuple[int, int, str]] = []
+    layers: list[list[tuple[int, int, int, int]]] = []
     whole = text
     for layer in range(3):
-        if not ANY.search(whole) and LOST not in whole:
+        if not (sequences_too and ANY.search(whole)) and LOST not in whole:
             break
         edits: list[tuple[int, int, str, str]] = [(i, j, c, "lost byte") for i, j, c in _lost_sequences(whole, words)]
         by = sorted(((len(s), -k, n, s) for k, n in enumerate(READERS) if (s := sequences(whole, n))), reverse=True)
-        taken = [(i, j) for i, j, _, _ in edits]
+        taken = Taken(e[:2] for e in edits)
         for _, _, name, found in by:
             for i, j, c in found:
-                if all(j <= x or i >= y for x, y in taken[-400:]):
-                    taken.append((i, j))
+                if not taken.hit(i, j):
+                    taken.add(i, j)
                     edits.append((i, j, c, f"utf_8 as {name}"))
         if not edits:
             break
         edits.sort()
         if layer == 0:
             spans += [(i, j, n) for i, j, _, n in edits]
-        out, at = [], 0
+        out, steps, at, n = [], [], 0, 0
         for i, j, c, _ in edits:
-            if i < at:
-                continue
             out += [whole[at:i], c]
+            n += i - at
+            steps.append((n, n + len(c), i, j))
+            n += len(c)
             at = j
+        layers.append(steps)
         whole = "".join([*out, whole[at:]])
-    if not spans or LOST in whole or C1.search(whole):
-        more, whole = _single(whole, words)
-        if not spans:
-            spans += more
+    more, whole = _single(whole, words)
+    taken = Taken(spans)
+    lost = [(m.start(), m.end(), "lost") for m in re.finditer(LOST + "+", text)] if LOST in text else []
+    for i, j, n in [*((_source(i, layers), _source(j, layers, True), n) for i, j, n in more), *lost]:
+        if not taken.hit(i, j):
+            taken.add(i, j)
+            spans.append((i, j, n))
     if not spans:
-        spans = [(m.start(), m.end(), "lost") for m in re.finditer(LOST + "+", text)] or [(m.start(), m.end(), "control") for m in C1.finditer(text)]
-    return whole, spans
+        spans = [(m.start(), m.end(), "control") for m in C1.finditer(text)]
+    return whole, sorted(spans)
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches between blanks that hold a character beyond ASCII, long ones in pieces."""
+    out = []
+    for m in TOKEN.finditer(text):
+        i, j = m.span()
+        while j - i > LONGEST:
+            cut = max((p.end() for p in PUNCTUATION.finditer(text, i, i + LONGEST)), default=i + LONGEST)
+            out.append((i, cut))
+            i = cut
+        out.append((i, j))
+    return [(i, j) for i, j in out if not text[i:j].isascii()]
 
 
 def _single(text: str, words: Words) -> tuple[list[tuple[int, int, str]], str]:
     """Stretches of one single-byte encoding read as another, by Viterbi over the tokens; lost letters are filled in."""
-    marks = list(TOKEN.finditer(text))
+    marks = _stretches(text)
     if not marks:
         return [], text
-    options = [words.token(m.group()) for m in marks]
-    plain = all(len(o) == 1 for o in options)
+    tokens = [text[i:j] for i, j in marks]
+    options = [words.token(t) for t in tokens]
     path = [-1] * len(marks)
-    if not plain:
+    if any(len(o) > 1 for o in options):
         cost = {-1: 0.0}
         back: list[dict[int, int]] = []
         for o in options:
@@ -370,28 +457,33 @@ def _single(text: str, words: Words) -> tuple[list[tuple[int, int, str]], str]:
             path[i] = k
             k = back[i][k]
     spans, out, at = [], [], 0
-    for m, o, k in zip(marks, options, path):
-        new = next((x for c, _, x in o if c == k), None) or (words.undo(m.group(), k) if k >= 0 else None) or m.group()
-        if k >= 0 and new != m.group():
-            spans.append((m.start(), m.end(), "{} as {}".format(*SINGLE[k])))
+    for (i, j), t, o, k in zip(marks, tokens, options, path):
+        new = t if k < 0 else next((x for c, _, x in o if c == k), None) or words.undo(t, k) or t
+        if new != t:
+            spans.append((i, j, "{} as {}".format(*SINGLE[k])))
         elif LOST in new:
             new = DAMAGED.sub(lambda w: (words.fill(w.group()) if LOST in w.group() else None) or w.group(), new)
-        out += [text[at : m.start()], new]
-        at = m.end()
+        out += [text[at:i], new]
+        at = j
     return spans, "".join([*out, text[at:]])
 
 
 def word_counts(df: DataFrame, text_col: str, width: int = WIDTH) -> np.ndarray:
-    """The count sketch of all words with letters beyond ASCII, and of their letter pairs."""
+    """The count sketch of all words with letters beyond ASCII, of their letter pairs, and of signs in their places."""
     ship(df.sparkSession)
     half = width // 2
     rows = pick(df, text_col).toDF("_text").where("_text is not null")
 
     def add(b: pa.RecordBatch, counts: np.ndarray) -> int:
         seen: Counter[str] = Counter()
+        signs: Counter[str] = Counter()
         for t in b.column(0).to_pylist():
             if not t.isascii():
                 seen.update(w for x in TOKEN.findall(t) for w in WORD.findall(x))
+                signs.update(between(t, *m.span()) + m.group() for m in SIGN.finditer(t))
+        for w, n in signs.items():
+            for p in slots("\1" + w, half):
+                counts[p] += n
         for w, n in seen.items():
             if w.isascii():
                 continue
@@ -413,8 +505,9 @@ def repaired(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         words = Words(counts.value)
         for b in batches:
             keep, new, n, how = [], [], [], []
+            some = pc.match_substring_regex(b.column(1), ANY.pattern).to_pylist()
             for i, t in enumerate(b.column(1).to_pylist()):
-                whole, spans = restore(t, words)
+                whole, spans = restore(t, words, some[i])
                 if spans:
                     keep.append(i), new.append(whole), n.append(len(spans)), how.append(sorted({s[2] for s in spans}))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(new, pa.string()), pa.array(n, pa.int32()), pa.array(how, pa.list_(pa.string()))], names=["_id", "restored", "n_stretches", "channels"])

@@ -29,7 +29,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm.common import cut, pick, ship
+from shelfwright.llm.spans import Taken
 
 FLUSH = 200_000  # different words that a task counts before it hands them on
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -298,24 +298,6 @@ ALL = frozenset(("address_en", "address_caps", "address_de", "address_fr", "addr
 ADDRESSES = {"address_en": ADDRESS_EN, "address_caps": ADDRESS_EN_CAPS, "address_de": ADDRESS_DE, "address_fr": ADDRESS_FR, "address_es": ADDRESS_ES}
 
 
-class Taken:
-    """Disjoint stretches."""
-
-    def __init__(self, spans=()):
-        self.starts, self.ends = [], []
-        for i, j, *_ in sorted(spans):
-            self.starts.append(i), self.ends.append(j)
-
-    def hit(self, i: int, j: int) -> bool:
-        """Whether a stretch overlaps i to before j."""
-        k = bisect_right(self.ends, i)
-        return i < j and k < len(self.starts) and self.starts[k] < j
-
-    def add(self, i: int, j: int) -> None:
-        k = bisect_left(self.starts, i)
-        self.starts.insert(k, i), self.ends.insert(k, j)
-
-
 def look(p: Plain, forms: frozenset[str] | set[str] = ALL) -> Look:
     """Everything but the decision about names. forms: those whose native expression found something."""
     t, out = p.text, Look(p)

@@ -18,6 +18,9 @@ def words():
                     for s in {w, *("\0" + w[i : i + 2] for i in range(len(w) - 1))}:
                         for p in mojibake.slots(s, half):
                             counts[p] += 1
+        for m in mojibake.SIGN.finditer(t):
+            for p in mojibake.slots("\1" + mojibake.between(t, *m.span()) + m.group(), half):
+                counts[p] += 1
     return mojibake.Words(counts)
 
 
@@ -61,6 +64,43 @@ def test_lost_bytes_of_letters_are_restored(lm, bad, good):
     assert mojibake.restore(bad, lm)[0] == good
 
 
+def test_several_kinds_of_damage_in_one_text(lm):
+    """UTF-8 read as one encoding, Cyrillic read as another, and a lost letter."""
+    wrong = lambda t: t.encode("cp1251").decode("cp1252")
+    clean = "La révision déjà vérifiée. " + CLEAN[3] + " naïve façade"
+    bad = "La rÃ©vision dÃ©jÃ\xa0 vÃ©rifiÃ©e. " + wrong(CLEAN[3]) + " na�ve façade"
+    got, spans = mojibake.restore(bad, lm)
+    assert got == clean
+    assert {n for _, _, n in spans} >= {"utf_8 as cp1252", "cp1251 as cp1252", "lost"}
+    places = [(i, j) for i, j, _ in spans]
+    assert places == sorted(places) and all(j <= x for (_, j), (x, _) in zip(places, places[1:]))
+    assert all(not bad[i:j].isascii() for i, j in places)
+
+
+@pytest.mark.parametrize("join", [",", ";", "\xa0"])
+def test_long_stretches_without_blanks(lm, join):
+    """10,000 characters without a blank: still searched under the single-byte channels."""
+    clean = join.join(["сохранить", "копию", "отчёта", "окончания", "проверки", "хранилища"] * 200)
+    got, spans = mojibake.restore(clean.encode("koi8_r").decode("cp1251"), lm)
+    assert spans and got == clean
+
+
+def test_lost_letters_of_other_alphabets(lm):
+    assert mojibake.restore("Просьба сохран�ть ко�ию", lm)[0] == "Просьба сохранить копию"
+
+
+def test_lost_signs_are_those_of_the_corpus(lm):
+    assert mojibake.restore("naïve â€�ok” ±3", lm)[0] in ("naïve “ok” ±3", "naïve ”ok” ±3")
+
+
+def test_runs_of_lost_characters_end(lm):
+    import time
+
+    began = time.time()
+    text = "�" * 50_000 + " " + "a�" * 20_000 + " " + "ab�" * 3_000
+    assert mojibake.restore(text, lm)[1] and time.time() - began < 60
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "plain", *CLEAN[:6], "╔══╗ ║17║ ╚══╝ ▒▒▒", "├── Папка\n│   └── größe.txt", "√45 ≈ 6,7 ± 0,2 µm; Ø 17 mm", "INFORMAÇÃO “MAÇÔ, AMANHÃ…", "caf&eacute; %C3%A9t%C3%A9", "日本語 🗂️ Ž Ş Đ Ł", "Það er í lagi", "«ВСЁ» — СЁСТРЫ…"])
 def test_right_texts_stay(lm, text):
     assert mojibake.restore(text, lm) == (text, [])
