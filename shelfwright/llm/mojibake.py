@@ -64,6 +64,7 @@ C1 = re.compile("[\x80-\x84\x86-\x9f]")
 TOKEN = re.compile(r"(?<![^ \t\r\n\f\v])[!-~\x00-\x08\x0e-\x1f\x7f]*+[^\x00-\x7f][^ \t\r\n\f\v]*")
 WORD = re.compile(r"[^\W\d_]+")
 DAMAGED = re.compile(rf"(?:[^\W\d_]|{LOST})+")
+MANY = 8  # lost letters of a word from which as many must be left
 SIGN = re.compile(rf"[^\w\s\x00-\x9f{LOST}]")
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
 BOX = re.compile("[─-╿▀-▟]")
@@ -235,7 +236,7 @@ class Words:
     def _fill(self, word: str) -> str | None:
         """A word whose lost letters are filled in, if the corpus knows one."""
         lost = word.count(LOST)
-        if 2 * lost > len(word):
+        if lost == len(word) > 1 or lost > MANY and 2 * lost > len(word):
             return None  # less is left than is lost
         letters = alphabet(word)
         width = BEAM * (len(letters) if lost <= 2 else 4)
@@ -259,6 +260,8 @@ class Words:
         return best[2] if best[0] > 2 else None
 
 
+#: Signs of one byte beyond ASCII.
+SIGNS = [c for c in TABLES["cp1252"] if not c.isalnum() and not c.isspace() and c.isprintable()]
 #: Letters beyond ASCII of the alphabets that lost letters are looked for in. Fixed values.
 LETTERS = tuple("áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿßąćęłńóśźżčďěňřšťůžőűÁÀÂÄÃÅÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÜ")
 CYRILLIC = tuple(map(chr, [*range(0x410, 0x450), 0x401, 0x451, 0x404, 0x454, 0x406, 0x456, 0x407, 0x457, 0x490, 0x491]))
@@ -289,8 +292,30 @@ def slots(s: str, half: int) -> tuple[int, int]:
 
 
 def between(text: str, i: int, j: int) -> str:
-    """Whether letters or digits stand before and after text[i:j]."""
-    return "01"[i > 0 and text[i - 1].isalnum()] + "01"[j < len(text) and text[j].isalnum()]
+    """What stands before and after text[i:j]: 1 a digit, 2 a letter, 0 anything else."""
+    return "".join("1" if c.isdigit() else "2" if c.isalpha() else "0" for c in (text[i - 1 : i], text[j : j + 1]))
+
+
+def _lost_sign(text: str, i: int, words: Words) -> str | None:
+    """The sign of one byte that stands in such a place far more often than others, but between letters, where letters are lost."""
+    place = between(text, i, i + 1)
+    if place == "22" or text[i - 1 : i] == LOST or text[i + 1 : i + 2] == LOST:
+        return None
+    (n, c), (m, _) = nlargest(2, ((words.count("\1" + place + c), c) for c in SIGNS))
+    return c if n > 2 and n >= 3 * m else None
+
+
+def _filled(text: str, m: re.Match, words: Words) -> str:
+    """A word with lost letters filled in, or the sign that a lone lost one is."""
+    w = m.group()
+    if LOST not in w:
+        return w
+    i, j = m.span()
+    if w != LOST or between(text, i, j) == "00":
+        if new := words.fill(w):
+            return new
+    ends = {k for k in (i, j - 1) if text[k] == LOST}
+    return "".join((k in ends and _lost_sign(text, k, words)) or c for k, c in enumerate(w, i))
 
 
 def _readings(s: str, table: dict[int, int]) -> list[str]:
@@ -430,6 +455,16 @@ def _stretches(text: str) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out if not text[i:j].isascii()]
 
 
+def _parts(text: str, i: int, j: int) -> Iterator[tuple[int, int, re.Match | None]]:
+    """The words with lost letters of text[i:j], and what lies between them."""
+    at = i
+    for m in DAMAGED.finditer(text, i, j):
+        yield at, m.start(), None
+        yield *m.span(), m
+        at = m.end()
+    yield at, j, None
+
+
 def _single(text: str, words: Words) -> tuple[list[tuple[int, int, str]], str]:
     """Stretches of one single-byte encoding read as another, by Viterbi over the tokens; lost letters are filled in."""
     marks = _stretches(text)
@@ -462,7 +497,7 @@ def _single(text: str, words: Words) -> tuple[list[tuple[int, int, str]], str]:
         if new != t:
             spans.append((i, j, "{} as {}".format(*SINGLE[k])))
         elif LOST in new:
-            new = DAMAGED.sub(lambda w: (words.fill(w.group()) if LOST in w.group() else None) or w.group(), new)
+            new = "".join(_filled(text, m, words) if m else text[x:y] for x, y, m in _parts(text, i, j))
         out += [text[at:i], new]
         at = j
     return spans, "".join([*out, text[at:]])

@@ -1,14 +1,15 @@
 """Problem 2: the best representative of each duplicate group, field by field.
 
 Method: iterative truth discovery. A claim says that a source gives a field of a record a value. In turn, (1) every value gets the
-sum of its sources' weights as support, once a source however often it repeats itself, and the value of the highest support wins;
-(2) every source's reliability for a field is its smoothed share of claims that won, its weight the log odds of that. It ends when
-no reliability moves by more than tol. Cells with one value are counted once beforehand and don't take part in the rounds.
+sum of its claims' weights as support, a source counting once however often it repeats itself, and the value of the highest support
+wins; (2) every voter's reliability is its share of the disputed claims that won, its weight the log odds of that. It ends when no
+reliability moves by more than tol. Cells with one value tell nothing about whom to believe and don't take part.
 
-Fields may be anchored: a claim carries a preference (trust, recency, confidence), and the value preferred most gets ANCHOR extra
-votes, more than all sources together can give. Then the most trusted or recent value is the one of the highest support, and
-the sources are measured against it. Claims that can't be right (an impossible time, a hash that is none) are not eligible: they
-win nothing.
+A voter is a source in one of two standings: its claim is the one most preferred of its cell (highest trust, latest time, latest
+sighting, highest confidence), or it is another. How far preference can be believed is thus estimated like everything else, source by
+source, from a prior: PRIORS are the claims, won and lost, that each standing starts with. Preference wins a cell as long as it keeps
+winning elsewhere; a source whose preferred claims stand against many others, again and again, loses its weight, and the votes of the
+others decide. Claims that can't be right (an impossible time, a hash that is none) are not eligible: they win nothing.
 
 Everything is an aggregation with map-side combine over (record, field, value, source): a record that holds a third of all rows
 is combined before the shuffle, and no group is collected. Source weights are a table of (sources x fields) rows; Spark joins it
@@ -21,13 +22,14 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm.common import cut, forget, pick
 
-ANCHOR = 1e6
+#: (won, lost) of other claims and of preferred ones before anything is counted.
+PRIORS = ((3.0, 2.0), (19.0, 1.0))
+LEAST = 0.05  # weight of a voter that is wrong more often than right
 #: Reasons that say nothing, in lower case; so do those without a letter or digit. Fixed values.
 FILLERS = ["unknown", "n/a", "na", "none", "null", "nil", "tbd", "tba", "todo", "unspecified", "undefined", "no reason", "not available", "not known", "not set"]
 
@@ -39,39 +41,36 @@ def claims(df: DataFrame, record: str, source: Column, seq: str, fields: dict[st
     return rows.where("c.ok and c.value is not null").select("record", "c.field", "c.value", "source", "seq", "c.pref")
 
 
-def resolve(claimed: DataFrame, anchored: bool, max_rounds: int = 20, tol: float = 1e-3) -> DataFrame:
-    """(record, field, value, support, seq): the surviving value of each field, and the row it comes from."""
-    best = F.struct("pref", (-F.col("seq")).alias("low"))
-    facts = cut(claimed.groupBy("record", "field", "value", "source").agg(F.max(best).alias("best")), "facts")
-    cells = facts.groupBy("record", "field").agg((F.min("value") != F.max("value")).alias("disputed"), F.max_by("value", "best").alias("anchor"))
-    facts = cut(facts.join(cells, ["record", "field"]), "cells")
-    settled = facts.where("not disputed").groupBy("source", "field").agg(F.count("*").alias("n")).select("source", "field", F.col("n").alias("won0"), F.col("n").alias("n0"))
-    settled = cut(settled, "settled")
+def resolve(claimed: DataFrame, standings: bool = True, max_rounds: int = 20, tol: float = 1e-3) -> DataFrame:
+    """(record, field, value, support, seq): the surviving value of each field, and the row it comes from. Without standings, preference breaks ties only."""
+    facts = cut(claimed.groupBy("record", "field", "value", "source").agg(F.max(F.struct("pref", (-F.col("seq")).alias("low"))).alias("best")), "facts")
+    cells = facts.groupBy("record", "field").agg((F.min("value") != F.max("value")).alias("disputed"), F.max("best").alias("top"))
+    preferred = (F.col("best") == F.col("top")) if standings else F.lit(False)
+    facts = cut(facts.join(cells, ["record", "field"]).select("record", "field", "value", "source", "best", "disputed", preferred.cast("int").alias("standing")), "cells")
     open_ = facts.where("disputed")
-    odds = F.greatest(F.log(F.col("rel") / (1 - F.col("rel"))), F.lit(0.05))
-    start = facts.select("source", "field").distinct().withColumn("rel", F.lit(0.8))
-    rel = cut(start, "reliability")
+    own = lambda k: F.when(F.col("standing") == 1, PRIORS[1][k]).otherwise(PRIORS[0][k])
+    start = facts.select("source", "field", "standing").distinct()
+    rel = cut(start.withColumn("rel", own(0) / (own(0) + own(1))), "reliability")
     for _ in range(max_rounds):
-        won = _winners(open_, rel, odds, anchored)
-        seen = open_.join(won.select("record", "field", F.col("value").alias("winner")), ["record", "field"]).groupBy("source", "field").agg(F.sum((F.col("value") == F.col("winner")).cast("long")).alias("won1"), F.count("*").alias("n1"))
+        won = _winners(open_, rel)
+        seen = open_.join(won.select("record", "field", F.col("value").alias("winner")), ["record", "field"]).groupBy("source", "field", "standing").agg(F.sum((F.col("value") == F.col("winner")).cast("long")).alias("won"), F.count("*").alias("n"))
         zero = lambda c: F.coalesce(c, F.lit(0))
-        new = rel.withColumnRenamed("rel", "was").join(settled, ["source", "field"], "left").join(seen, ["source", "field"], "left")
-        new = cut(new.select("source", "field", ((zero("won0") + zero("won1") + 4.0) / (zero("n0") + zero("n1") + 5.0)).alias("rel"), "was"), "reliability")
+        new = rel.withColumnRenamed("rel", "was").join(seen, ["source", "field", "standing"], "left")
+        new = cut(new.select("source", "field", "standing", ((zero("won") + own(0)) / (zero("n") + own(0) + own(1))).alias("rel"), "was"), "reliability")
         moved = new.agg(F.max(F.abs(F.col("rel") - F.col("was")))).first()[0]
         forget(rel)
-        rel, path = new.select("source", "field", "rel"), new._shelfwright_path
+        rel, path = new.drop("was"), new._shelfwright_path
         rel._shelfwright_path = path
         if moved is None or moved <= tol:
             break
-    won = _winners(facts, rel, odds, anchored)
+    won = _winners(facts, rel)
     rows = facts.join(won, ["record", "field", "value"]).groupBy("record", "field", "value", "support").agg(F.max("best").alias("b"))
     return rows.select("record", "field", "value", "support", (-F.col("b.low")).alias("seq"))
 
 
-def _winners(facts: DataFrame, rel: DataFrame, odds: Column, anchored: bool) -> DataFrame:
-    votes = facts.join(rel.select("source", "field", odds.alias("w")), ["source", "field"]).groupBy("record", "field", "value").agg(F.sum("w").alias("support"), F.max("best").alias("best"), F.max(F.col("value") == F.col("anchor")).alias("preferred"))
-    if anchored:
-        votes = votes.withColumn("support", F.col("support") + F.when(F.col("preferred"), ANCHOR).otherwise(0.0))
+def _winners(facts: DataFrame, rel: DataFrame) -> DataFrame:
+    odds = F.greatest(F.log(F.col("rel") / (1 - F.col("rel"))), F.lit(LEAST))
+    votes = facts.join(rel.select("source", "field", "standing", odds.alias("w")), ["source", "field", "standing"]).groupBy("record", "field", "value").agg(F.sum("w").alias("support"), F.max("best").alias("best"))
     top = votes.groupBy("record", "field").agg(F.max(F.struct(F.round("support", 9).alias("support"), "best", "value")).alias("t"))
     return top.select("record", "field", "t.value", "t.support")
 
@@ -97,17 +96,17 @@ def file_claims(files: DataFrame, scans: DataFrame, plan_deletes: DataFrame) ->
 
 
 def surviving_rows(files: DataFrame, scans: DataFrame, plan_deletes: DataFrame) -> DataFrame:
-    """(id, path_seq, mtime_seq, hash_seq, reason_seq): the rows that the anchored survivors come from, 0 where there is none."""
+    """(id, path_seq, mtime_seq, hash_seq, reason_seq): the rows that the surviving values come from, 0 where there is none."""
     claimed, several = file_claims(files, scans, plan_deletes)
-    won = resolve(claimed, anchored=True)
+    won = resolve(claimed)
     wide = won.groupBy(F.col("record").alias("id")).agg(*[F.max(F.when(F.col("field") == f, F.col("seq"))).alias(f"{f}_seq") for f in ("path", "mtime", "hash", "reason")])
     return several.join(wide, "id", "left").select("id", *[F.coalesce(f"{f}_seq", F.lit(0)).cast("long").alias(f"{f}_seq") for f in ("path", "mtime", "hash", "reason")])
 
 
-def surviving_values(files: DataFrame, scans: DataFrame, plan_deletes: DataFrame) -> DataFrame:
-    """(id, path, mtime, hash, reason, support): one record for each id, by votes alone; support is the least of its fields."""
+def surviving_values(files: DataFrame, scans: DataFrame, plan_deletes: DataFrame, standings: bool = True) -> DataFrame:
+    """(id, path, mtime, hash, reason, support): one record for each id; support is the least of its fields. Without standings, by votes of sources alone."""
     claimed, several = file_claims(files, scans, plan_deletes)
-    won = resolve(claimed, anchored=False)
+    won = resolve(claimed, standings)
     value = {f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("path", "mtime", "hash", "reason")}
     wide = won.groupBy(F.col("record").alias("id")).agg(value["path"], value["mtime"].cast("double").alias("mtime"), value["hash"], value["reason"], F.min("support").alias("support"))
     return several.join(wide, "id", "left")

@@ -93,6 +93,10 @@ def test_lost_signs_are_those_of_the_corpus(lm):
     assert mojibake.restore("naïve â€�ok” ±3", lm)[0] in ("naïve “ok” ±3", "naïve ”ok” ±3")
 
 
+def test_lone_lost_bytes(lm):
+    assert mojibake.restore("at �5 or café �t� não �", lm)[0] == "at �5 or café été não —"  # £ and ± stand before digits equally often there
+
+
 def test_runs_of_lost_characters_end(lm):
     import time
 
