@@ -7,15 +7,15 @@ Method: improved consistent weighted sampling (Ioffe 2010) over TF-IDF word shin
    strangers look alike.
 2. Texts with one bag of shingles are one class; later steps see one representative of each class.
 3. Each representative gets SAMPLES consistent weighted samples (shingle, quantised weight). Two texts agree in a sample with a
-   probability equal to their weighted Jaccard similarity. Where at least half of a text's shingles stand in more than COMMON of all
-   texts (a large share of the corpus is near copies of one text), inverse frequencies would leave only the edits; such texts get a
-   second set of samples with weights tf alone. For near_pairs, every text gets a second set of samples with equal weights.
-4. BANDS keys, each of ROWS samples, are the blocking keys. One shuffle brings equal keys together; they are read as a stream,
-   so no bucket is held in memory. A bucket of more than BUCKET classes is cut into chunks, and pairs of chunks are tasks of their
-   own: there, signatures are compared block by block, and only pairs that agree often enough leave the task.
+   probability equal to their weighted Jaccard similarity. Where a large share of the corpus is near copies of one text, inverse
+   frequencies would leave only the edits; so every text gets a second set of samples: with weights tf alone, or equal weights where
+   the plain Jaccard similarity is asked for.
+4. BANDS keys, each of ROWS samples, of either set are the blocking keys. One shuffle brings equal keys together; they are read as a
+   stream, so no bucket is held in memory. A bucket of more than BUCKET classes is cut into chunks, and pairs of chunks are tasks of
+   their own: there, signatures are compared block by block, and only pairs that agree often enough leave the task. Keys that a
+   sketch of all keys shows to hold far more than others never come together in one task, but go to the chunks at once.
 5. Candidate pairs whose samples agree too rarely are dropped by a binomial bound, the rest are verified exactly on their
-   shingles: weighted Jaccard (between texts of common shingles the higher of that and the one by tf), and the plain Jaccard of
-   the sets.
+   shingles: weighted Jaccard by TF-IDF or by tf, whichever is higher, and the plain Jaccard of the sets.
 
 Defined results: null, empty and wordless texts, and texts of fewer than min_words words, are in no group; a text of fewer than
 k words is one shingle; an id given twice with one text is one record; an id with two texts belongs to the classes of both.
@@ -29,25 +29,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm import shingles
-from shelfwright.llm.common import cut, pick, ship
+from shelfwright.llm.common import cut, forget, pick, ship
+from shelfwright.llm.runs import whole_runs
 from shelfwright.llm.shingles import U, mix
 from shelfwright.llm.sketch import count_items
 
 SAMPLES, ROWS, BANDS = 28, 3, 28
 WIDTH = 1 << 20  # counters of the document frequency sketch
-BUCKET, CHUNK = 64, 4096
-COMMON = 0.02
+BUCKET, CHUNK = 64, 1 << 14
+HOT = 1 << 16  # classes of a key that one task may read, or eight times the mean load of the keys' sketch
 CELLS = 1 << 13  # shingles sampled at once
 TABLE = 1024
 
 
 @dataclass
 class NearDuplicates:
-    """members: id, class_id (hash of the class), rep (its smallest id). links: rep_a, rep_b, weighted, jaccard, rep_a < rep_b. copies: rep, id of the classes of several rows."""
+    """members: id, class_id (hash of the class), rep (its smallest id). links: class_a, class_b, rep_a, rep_b, weighted, jaccard, each pair of classes once. copies: class_id, id of the classes of several rows."""
 
     members: DataFrame
     links: DataFrame
@@ -127,8 +128,9 @@ def _slot(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
-    """2 ln idf of each slot."""
-    return (2 * np.log(np.log((2.0 + docs) / (1.0 + np.minimum(counts, docs))) + 1e-3)).astype(np.float32)
+    """2 ln idf of each slot; what a slot counts for others, on average, is taken off."""
+    own = np.clip(counts - counts.mean(), 1, docs) if docs else counts
+    return (2 * np.log(np.log((2.0 + docs) / (1.0 + own)) + 1e-3)).astype(np.float32)
 
 
 def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1, samples: int = SAMPLES, rows: int = ROWS, bands: int = BANDS, width: int = WIDTH, jaccard: float | None = None) -> NearDuplicates:
@@ -151,7 +153,6 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
 
     counts, n_docs = count_items(docs.select("_text"), slots, width)
     table = spark.sparkContext.broadcast(_idf_table(counts, n_docs))  # 4 bytes a slot, whatever the corpus
-    common = np.float32(2 * np.log(np.log((2.0 + n_docs) / (1.0 + COMMON * n_docs)) + 1e-3))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, two_ln_idf = sampler(samples), table.value
@@ -169,19 +170,14 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
                     keep = np.repeat(keep, lens)
                     h, tf, starts = h[keep], tf[keep], np.append(0, np.cumsum(lens[ok]))
                 lw = two_ln_idf[_slot(h, width)]
-                often = np.add.reduceat((lw < common).astype(np.int64), starts[:-1]) * 2 >= np.diff(starts) if jaccard is None else np.ones(len(ok), bool)
                 ln_tf = np.zeros(len(h), np.float32)
                 many = tf > 1
                 ln_tf[many] = np.log(tf[many]).astype(np.float32)
                 sig = sample(h, lw + ln_tf, starts)
-                plain = np.zeros((int(often.sum()), samples), np.uint32)
-                if often.any():
-                    keep = np.repeat(often, np.diff(starts))
-                    plain = sample(h[keep], ln_tf[keep] if jaccard is None else np.zeros(len(h), np.float32), np.append(0, np.cumsum(np.diff(starts)[often])))
+                plain = sample(h, ln_tf if jaccard is None else np.zeros(len(h), np.float32), starts)
                 x = mix(h + tf.astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 f1, f2 = np.add.reduceat(x, starts[:-1]), np.add.reduceat(mix(x ^ U(0x51)), starts[:-1])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * samples), pa.array(sig.reshape(-1).view(np.int32)))
-                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(often)).astype(np.int32) * samples), pa.array(plain.reshape(-1).view(np.int32)))
+                lists, more = (pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * samples), pa.array(x.reshape(-1).view(np.int32))) for x in (sig, plain))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok + at)), pa.array(mix(f1).view(np.int64)), pa.array(mix(f2).view(np.int64)), lists, more], names=["_id", "f1", "f2", "sig", "plain"])
 
     id_type = docs.schema["_id"].dataType.simpleString()
@@ -195,78 +191,83 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
     likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least) | (agree("plain_a", "plain_b") >= least)).select("a", "b"), "likely")
-    links = _verify(docs, classes, likely, table, float(common), k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
+    links, bags = _verify(docs, classes, likely, table, k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
     several = classes.where("n > 1").select("f1", "f2", "rep")
-    copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select("rep", "id").distinct(), "copies")
-    return NearDuplicates(members, links, copies, (signed, classes, likely, *parts))
+    copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select(F.col("f1").alias("class_id"), "id").distinct(), "copies")
+    return NearDuplicates(members, links, copies, (signed, classes, likely, copies, bags, *parts))
 
 
 def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Distinct pairs (a < b) of class hashes that share a band, and the tables they are made of."""
-    key = lambda sig, tag: [F.xxhash64(F.lit(tag + j), *[F.col(sig)[i] for i in s]) for j, s in enumerate(sets)]
-    both = F.when(F.size("plain") > 0, F.concat(F.array(*key("sig", 0)), F.array(*key("plain", 1000)))).otherwise(F.array(*key("sig", 0)))
-    part = cut(_buckets(classes.select(F.explode(both).alias("key"), "f1"), BUCKET), "pairs")
+
+    def keys(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, rows they belong to) of the bands of either set of samples."""
+        for side in (1, 2):
+            v = b.column(side).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1)
+            for j, s in enumerate(sets if v.shape[1] else ()):
+                key = np.full(len(v), 1000 * side + j, np.uint64)
+                for i in s:
+                    key = mix(key * U(31) + v[:, i])
+                yield key.view(np.int64), np.arange(len(v))
+
+    def add(b: pa.RecordBatch, counts: np.ndarray) -> int:
+        for key, _ in keys(b):
+            counts += np.bincount(_slot(key.view(np.uint64), WIDTH), minlength=WIDTH)
+        return b.num_rows
+
+    load, _ = count_items(classes, add, WIDTH)
+    over = load > max(HOT, 8 * load.mean())
+    hot = classes.sparkSession.sparkContext.broadcast(np.flatnonzero(over))  # an eighth of the counters at most
+
+    def keyed(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
+        is_hot = np.zeros(WIDTH, bool)
+        is_hot[hot.value] = True
+        for b in batches:
+            f1 = b.column(0).to_numpy(zero_copy_only=False)
+            for key, row in keys(b):
+                keep = is_hot[_slot(key.view(np.uint64), WIDTH)] == want
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(f1[row[keep]])], names=["key", "f1"])
+
+    rows = lambda want: classes.mapInArrow(lambda b: keyed(b, want), "key long, f1 long")
+    part = cut(_buckets(rows(False), BUCKET), "pairs")
     small = part.where("not big").select("a", "b")
     big = part.where("big").select(F.col("a").alias("key"), F.col("b").alias("f1"))
-    if big.isEmpty():
+    if over.any():
+        big = big.union(rows(True))
+    elif big.isEmpty():
         return small.distinct(), [part]
     return small.union(_large(big, classes, least)).distinct(), [part]
 
 
-NONE = 1 << 40  # no sample
-
-
-def _large(big: DataFrame, classes: DataFrame | None, least: int = 0) -> DataFrame:
-    """(a, b) of the members of large buckets (key, f1): chunk against chunk, each pair of chunks a task.
-
-    With classes (f1, sig, plain), only those whose samples agree often enough.
-    """
+def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the members of large buckets (key, f1) whose samples (classes: f1, sig, plain) agree often enough: chunk against chunk, each pair of chunks a task."""
     size = big.groupBy("key").agg(F.count("*").alias("m"))
-    rows = big.join(size, "key")
-    signed = classes is not None
-    rows = (rows.join(classes, "f1") if signed else rows).withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
+    rows = big.join(size, "key").join(classes, "f1").withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = rows.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "f1", *(["sig", "plain"] if signed else []))
-
-    def matrix(col: pa.Array) -> np.ndarray:
-        width = max(1, int(np.max(col.value_lengths().to_numpy(zero_copy_only=False), initial=0)))
-        out = np.full((len(col), width), NONE, np.int64)
-        lens = col.value_lengths().to_numpy(zero_copy_only=False)
-        out[lens > 0] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        return out
+    cells = rows.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "f1", "sig", "plain")
 
     def compare(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = cell.combine_chunks()
         own, f1 = cell["own"].to_numpy(), cell["f1"].to_numpy()
         left, right = np.flatnonzero(own == cell["i"][0].as_py()), np.flatnonzero(own == cell["j"][0].as_py())
-        sigs = [matrix(cell[c].chunk(0)) for c in ("sig", "plain")] if signed else []
+        sigs = [m for m in (np.array(cell[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(f1), -1) for c in ("sig", "plain")) if m.shape[1]]
         for at in range(0, len(left), 64):
             l = left[at : at + 64]  # noqa: E741
-            enough = np.full((len(l), len(right)), not signed)
-            for m in sigs:
-                enough |= ((m[l][:, None, :] == m[right][None, :, :]) & (m[l] != NONE)[:, None, :]).sum(2) >= least
-            p, q = np.nonzero(enough)
-            a, b = f1[l[p]], f1[right[q]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
+            for to in range(0, len(right), 4096):
+                r = right[to : to + 4096]
+                enough = np.zeros((len(l), len(r)), bool)
+                for m in sigs:
+                    same = np.zeros((len(l), len(r)), np.uint8)
+                    for k in range(m.shape[1]):
+                        same += m[l, k][:, None] == m[r, k][None, :]
+                    enough |= same >= least
+                p, q = np.nonzero(enough)
+                a, b = f1[l[p]], f1[r[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of one cell: two chunks at most
-        now = None
-        for b in batches:
-            ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            at = 0
-            while at < len(ids):
-                if ids[at] != now:
-                    if held:
-                        yield from compare(pa.Table.from_batches(held))
-                    held, now = [], ids[at]
-                to = at
-                while to < len(ids) and ids[to] == now:
-                    to += 1
-                held.append(b.slice(at, to - at))
-                at = to
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for t, starts in whole_runs(batches, 3):  # a cell holds two chunks at most
+            for lo, hi in zip(starts, np.append(starts[1:], t.num_rows)):
+                yield from compare(t.slice(lo, hi - lo))
 
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
@@ -343,8 +344,8 @@ def _buckets(rows: DataFrame, most: int) -> DataFrame:
 BLOOM_BITS = 1 << 23
 
 
-def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, common: float, k: int, enough: Column, width: int) -> DataFrame:
-    """Exact similarities of the likely pairs, by representatives."""
+def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, k: int, enough: Column, width: int) -> tuple[DataFrame, DataFrame]:
+    """((class_a, class_b, rep_a, rep_b, weighted, jaccard) of the likely pairs that are similar enough, worked out exactly; the table of their bags)."""
     spark = docs.sparkSession
     ends = likely.select(F.col("a").alias("f1")).union(likely.select("b")).distinct()
     wanted = classes.join(ends, "f1", "left_semi").select("f1", "f2", "rep")
@@ -393,14 +394,12 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, commo
             if not n:
                 continue
             each = []
-            often = np.ones(n, bool)
             for c in (2, 3):
                 lens = b.column(c).value_lengths().to_numpy(zero_copy_only=False)
                 v = b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 h = v >> U(20)
                 at, tf = _slot(h, width), (v & U((1 << 20) - 1)).astype(np.float64)
                 p = np.repeat(np.arange(n), lens)
-                often &= np.bincount(p[two_ln_idf[at] < common], minlength=n) * 2 >= lens
                 each.append((p, h, tf * idf2[at], tf, lens))
             (pa_, ha, wa, ta, la), (pb, hb, wb, tb, lb) = each
             p, h, w, tf = np.concatenate([pa_, pb]), np.concatenate([ha, hb]), np.concatenate([wa, wb]), np.concatenate([ta, tb])
@@ -413,13 +412,13 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, commo
                 low = np.bincount(p[same], np.minimum(w[same], w[same + 1]), minlength=n)
                 return low / np.maximum(np.bincount(p, w, minlength=n) - low, 1e-300)
 
-            weighted = np.where(often, np.maximum(jaccard(w), jaccard(tf)), jaccard(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weighted), pa.array(common_n / (la + lb - common_n))], names=["x", "y", "weighted", "jaccard"])
+            weighted = np.maximum(jaccard(w), jaccard(tf))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(weighted), pa.array(common_n / (la + lb - common_n))], names=["class_a", "class_b", "rep_a", "rep_b", "weighted", "jaccard"])
 
     x = bags.select(F.col("f1").alias("a"), F.col("rep").alias("x"), F.col("bag").alias("bag_x"))
     y = bags.select(F.col("f1").alias("b"), F.col("rep").alias("y"), F.col("bag").alias("bag_y"))
-    both = likely.join(x, "a").join(y, "b").select("x", "y", "bag_x", "bag_y").where("x <> y")
-    return both.mapInArrow(similar, f"x {id_type}, y {id_type}, weighted double, jaccard double").where(enough).select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "weighted", "jaccard").distinct()
+    both = likely.join(x, "a").join(y, "b").select("a", "b", "bag_x", "bag_y", "x", "y")
+    return both.mapInArrow(similar, f"class_a long, class_b long, rep_a {id_type}, rep_b {id_type}, weighted double, jaccard double").where(enough), bags
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, jaccard: float = 0.6, weighted: float = 0.45, min_words: int = 30) -> DataFrame:
@@ -429,13 +428,15 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 3, jaccard: f
     their shingles stand in; the plain Jaccard similarity is checked exactly.
     """
     near = find(df, id_col, text_col, k, weighted, min_words, jaccard=jaccard)
-    links = near.links.select("rep_a", "rep_b")
+    links = near.links.select("class_a", "class_b", "rep_a", "rep_b")
     # All ids of a class of copies are pairs, and each of them a pair with the ids of linked classes.
-    within = near.copies.join(near.copies.select("rep", F.col("id").alias("id_b")), "rep").select(F.col("id").alias("id_a"), "id_b")
-    x, y = near.copies.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), near.copies.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    across = links.join(x, "rep_a", "left").join(y, "rep_b", "left").select(F.coalesce("x", "rep_a").alias("x"), F.coalesce("y", "rep_b").alias("y"))
+    within = near.copies.join(near.copies.select("class_id", F.col("id").alias("id_b")), "class_id").select(F.col("id").alias("id_a"), "id_b")
+    x, y = near.copies.toDF("class_a", "x"), near.copies.toDF("class_b", "y")
+    across = links.join(x, "class_a", "left").join(y, "class_b", "left").select(F.coalesce("x", "rep_a").alias("x"), F.coalesce("y", "rep_b").alias("y"))
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return within.union(across).where("id_a < id_b").distinct()
+    out = cut(within.union(across).where("id_a < id_b").distinct(), "near_pairs")
+    forget(*near.parts)
+    return out
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
@@ -443,9 +444,12 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold
     from shelfwright.llm.components import connected
 
     near = find(df, id_col, text_col, k, threshold, min_words)
-    links = cut(near.links.select("rep_a", "rep_b"), "links")
-    groups = connected(links.toDF("a", "b")).select(F.col("id").alias("rep"), "group_id")
-    both = links.select(F.col("rep_a").alias("rep")).union(links.select("rep_b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    m = near.members.withColumn("copies", F.count("*").over(Window.partitionBy("rep")))
-    out = m.join(groups, "rep", "left").join(both, "rep", "left").where("group_id is not null or copies > 1")
-    return out.select("id", F.coalesce("group_id", "rep").alias("group_id"), F.col("rep").alias("class_rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links = cut(near.links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).where("a <> b").distinct(), "links")
+    groups = connected(links).select(F.col("id").alias("rep"), "group_id")
+    both = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    several = near.members.groupBy("rep").agg((F.count("*") > 1).alias("several"))  # combined before the shuffle, joined back to a row a class
+    of = several.join(groups, "rep", "left").join(both, "rep", "left").where("group_id is not null or several")
+    out = near.members.join(of, "rep")
+    out = cut(out.select("id", F.coalesce("group_id", "rep").alias("group_id"), F.col("rep").alias("class_rep"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near_groups")
+    forget(links, *near.parts)
+    return out

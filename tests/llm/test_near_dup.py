@@ -104,7 +104,7 @@ def test_edge_cases(spark):
     assert near_dup.near_pairs(empty, "id", "text").collect() == [] and near_dup.near_groups(empty, "id", "text").collect() == []
 
 
-@pytest.mark.parametrize("most", [None, 4, 10])
+@pytest.mark.parametrize("most", [4, 10, 100])
 def test_buckets(spark, most):
     rng = random.Random(4)
     data = [(k, 100 * k + m) for k in range(30) for m in range(rng.choice([1, 2, 3, 7, 12]))]
@@ -154,3 +154,39 @@ def test_pairs_of_a_family_of_one_percent(spark):
     want = brute(family, 3, 0.6, 30)
     assert len(want) == 300 and not got - want
     assert len(want & got) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("hot_keys", [False, True])
+def test_one_text_with_edits_in_a_third_of_the_rows(spark, hot_keys, monkeypatch):
+    """Groups are linear: one row a record, whatever the size of the group; hot keys go to chunks without passing one task."""
+    if hot_keys:
+        monkeypatch.setattr(near_dup, "HOT", 8)
+    monkeypatch.setattr(near_dup, "CHUNK", 64)
+    rng = random.Random(9)
+    base = words(rng, 300)
+    texts = []
+    for v in range(150):
+        w = base[:]
+        w[rng.randrange(300)] = f"v{v}"
+        texts.append((f"k{v:03d}", " ".join(w)))
+    texts += [(f"c{v:03d}", " ".join(base)) for v in range(150)]  # and exact copies
+    texts += [(f"o{v:03d}", " ".join(words(rng, 60))) for v in range(600)]
+    got = near_dup.near_groups(spark.createDataFrame(texts, "id string, text string"), "id", "text").collect()
+    assert len(got) == 300 and {r.group_id for r in got} == {"c000"} and sum(r.class_rep == "c000" for r in got) == 150
+
+
+def test_an_id_with_two_texts(spark):
+    """The smallest id of both classes: its two texts are not taken for copies of each other."""
+    rng = random.Random(12)
+    a, b = words(rng, 50), words(rng, 50)
+    texts = [("a", " ".join(a)), ("a", " ".join(b)), ("p", " ".join(a)), ("q", " ".join(b))]
+    got = {tuple(r) for r in near_dup.near_pairs(spark.createDataFrame(texts, "id string, text string"), "id", "text").collect()}
+    assert got == {("a", "p"), ("a", "q")}
+
+
+def test_recall_of_groups(spark):
+    """near_groups (five words, 0.8) against all pairs of a corpus compared by brute force, linked through others or directly."""
+    texts = corpus(seed=21, groups=60)
+    got = {r.id: r.group_id for r in near_dup.near_groups(spark.createDataFrame(rows(texts), SCHEMA), "id", "text").collect()}
+    want = brute(texts, 5, 0.8, 1)
+    assert len(want) > 20 and sum(got.get(i, 0) == got.get(j, 1) for i, j in want) >= 0.95 * len(want)
