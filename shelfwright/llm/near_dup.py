@@ -39,6 +39,7 @@ from shelfwright.llm.shingles import U, mix
 from shelfwright.llm.sketch import count_items
 
 SAMPLES, ROWS, BANDS = 28, 3, 28
+PLAIN_ROWS, PLAIN_BANDS = 5, 40  # of the second set of samples: many texts share a little boilerplate, so its keys are longer
 WIDTH = 1 << 20  # counters of the document frequency sketch
 BUCKET, CHUNK = 64, 1 << 14
 HOT = 1 << 16  # classes of a key that one task may read, or eight times the mean load of the keys' sketch
@@ -186,25 +187,27 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     members = signed.select("_id", "f1", "f2").join(classes.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(F.col("_id").alias("id"), F.col("f1").alias("class_id"), F.coalesce("rep", "_id").alias("rep")).distinct()
 
     #: Agreements out of `samples` that a pair just at the threshold misses with a probability under 0.01, and one 0.15 above it under 1e-4.
-    least = int(max(rows, np.floor(samples * threshold - 2.5 * np.sqrt(samples * threshold * (1 - threshold)))))
-    pairs, parts = _candidates(classes.select("f1", "sig", "plain"), band_samples(samples, rows, bands), least)
+    enough = lambda x, r: int(max(r, np.floor(samples * x - 2.5 * np.sqrt(samples * x * (1 - x)))))
+    sets = (band_samples(samples, rows, bands), band_samples(samples, PLAIN_ROWS, PLAIN_BANDS))
+    least = (enough(threshold, rows), enough(threshold if jaccard is None else jaccard, PLAIN_ROWS))
+    pairs, parts = _candidates(classes.select("f1", "sig", "plain"), sets, least)
     a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
     agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
-    likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least) | (agree("plain_a", "plain_b") >= least)).select("a", "b"), "likely")
+    likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least[0]) | (agree("plain_a", "plain_b") >= least[1])).select("a", "b"), "likely")
     links, bags = _verify(docs, classes, likely, table, k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
     several = classes.where("n > 1").select("f1", "f2", "rep")
     copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select(F.col("f1").alias("class_id"), "id").distinct(), "copies")
     return NearDuplicates(members, links, copies, (signed, classes, likely, copies, bags, *parts))
 
 
-def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) -> tuple[DataFrame, list[DataFrame]]:
+def _candidates(classes: DataFrame, sets: tuple[list[tuple[int, ...]], ...], least: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
     """Distinct pairs (a < b) of class hashes that share a band, and the tables they are made of."""
 
     def keys(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(keys, rows they belong to) of the bands of either set of samples."""
         for side in (1, 2):
             v = b.column(side).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1)
-            for j, s in enumerate(sets if v.shape[1] else ()):
+            for j, s in enumerate(sets[side - 1]):
                 key = np.full(len(v), 1000 * side + j, np.uint64)
                 for i in s:
                     key = mix(key * U(31) + v[:, i])
@@ -239,7 +242,7 @@ def _candidates(classes: DataFrame, sets: list[tuple[int, ...]], least: int) ->
     return small.union(_large(big, classes, least)).distinct(), [part]
 
 
-def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def _large(big: DataFrame, classes: DataFrame, least: tuple[int, ...]) -> DataFrame:
     """(a, b) of the members of large buckets (key, f1) whose samples (classes: f1, sig, plain) agree often enough: chunk against chunk, each pair of chunks a task."""
     size = big.groupBy("key").agg(F.count("*").alias("m"))
     rows = big.join(size, "key").join(classes, "f1").withColumn("parts", F.ceil(F.col("m") / CHUNK).cast("int"))
@@ -249,17 +252,17 @@ def _large(big: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     def compare(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         own, f1 = cell["own"].to_numpy(), cell["f1"].to_numpy()
         left, right = np.flatnonzero(own == cell["i"][0].as_py()), np.flatnonzero(own == cell["j"][0].as_py())
-        sigs = [m for m in (np.array(cell[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(f1), -1) for c in ("sig", "plain")) if m.shape[1]]
+        sigs = [np.array(cell[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(f1), -1) for c in ("sig", "plain")]
         for at in range(0, len(left), 64):
             l = left[at : at + 64]  # noqa: E741
             for to in range(0, len(right), 4096):
                 r = right[to : to + 4096]
                 enough = np.zeros((len(l), len(r)), bool)
-                for m in sigs:
+                for m, n in zip(sigs, least):
                     same = np.zeros((len(l), len(r)), np.uint8)
                     for k in range(m.shape[1]):
                         same += m[l, k][:, None] == m[r, k][None, :]
-                    enough |= same >= least
+                    enough |= same >= n
                 p, q = np.nonzero(enough)
                 a, b = f1[l[p]], f1[r[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
