@@ -39,7 +39,7 @@ from shelfwright.llm.shingles import U, mix
 from shelfwright.llm.sketch import count_items
 
 SAMPLES, ROWS, BANDS = 28, 3, 28
-PLAIN_ROWS, PLAIN_BANDS = 5, 40  # of the second set of samples: many texts share a little boilerplate, so its keys are longer
+PLAIN_ROWS, PLAIN_BANDS = 4, 40  # of the second set of samples: many texts share a little boilerplate, so its keys are longer
 WIDTH = 1 << 20  # counters of the document frequency sketch
 BUCKET, CHUNK = 64, 1 << 14
 HOT = 1 << 16  # classes of a key that one task may read, or eight times the mean load of the keys' sketch
@@ -191,15 +191,33 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     sets = (band_samples(samples, rows, bands), band_samples(samples, PLAIN_ROWS, PLAIN_BANDS))
     least = (enough(threshold, rows), enough(threshold if jaccard is None else jaccard, PLAIN_ROWS))
     pairs, parts = _candidates(classes.select("f1", "sig", "plain"), sets, least)
-    a, b = classes.select(F.col("f1").alias("a"), F.col("sig").alias("sig_a"), F.col("plain").alias("plain_a")), classes.select(F.col("f1").alias("b"), F.col("sig").alias("sig_b"), F.col("plain").alias("plain_b"))
-    agree = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda u: u))
-    likely = cut(pairs.join(a, "a").join(b, "b").where((agree("sig_a", "sig_b") >= least[0]) | (agree("plain_a", "plain_b") >= least[1])).select("a", "b"), "likely")
+    likely = cut(_agreeing(pairs, classes, samples, least), "likely")
     links, bags = _verify(docs, classes, likely, table, k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
     several = classes.where("n > 1").select("f1", "f2", "rep")
     copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select(F.col("f1").alias("class_id"), "id").distinct(), "copies")
     return NearDuplicates(members, links, copies, (signed, classes, likely, copies, bags, *parts))
 
 
+def _agreeing(pairs: DataFrame, classes: DataFrame, samples: int, least: tuple[int, ...]) -> DataFrame:
+    """The pairs (a, b) whose samples of either set agree often enough. What is joined to a pair is a byte of each sample: one in 256 agrees by chance."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, samples) for k in (1, 2)]
+            flat = np.ascontiguousarray(np.concatenate(both, axis=1)).reshape(-1)
+            at = np.arange(b.num_rows + 1, dtype=np.int32) * (2 * samples)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(flat)])], names=["f1", "low"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, 2, samples) for k in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array(((x == y).sum(2) >= np.array(least)[None, :]).any(1)))
+
+    short = cut(classes.select("f1", "sig", "plain").mapInArrow(low, "f1 long, low binary"), "low")
+    rows = pairs.join(short.toDF("a", "low_a"), "a").join(short.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
+    return rows.mapInArrow(test, "a long, b long")
+
+
 def _candidates(classes: DataFrame, sets: tuple[list[tuple[int, ...]], ...], least: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
     """Distinct pairs (a < b) of class hashes that share a band, and the tables they are made of."""
 
