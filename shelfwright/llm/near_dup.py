@@ -39,7 +39,7 @@ from shelfwright.llm.shingles import U, mix
 from shelfwright.llm.sketch import count_items
 
 SAMPLES, ROWS, BANDS = 28, 3, 28
-PLAIN_ROWS, PLAIN_BANDS = 4, 40  # of the second set of samples: many texts share a little boilerplate, so its keys are longer
+PLAIN_ROWS, PLAIN_BANDS = 4, 36  # of the second set of samples: many texts share a little boilerplate, so its keys are longer
 WIDTH = 1 << 20  # counters of the document frequency sketch
 BUCKET, CHUNK = 64, 1 << 14
 HOT = 1 << 16  # classes of a key that one task may read, or eight times the mean load of the keys' sketch
@@ -184,36 +184,39 @@ def find(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float
     id_type = docs.schema["_id"].dataType.simpleString()
     signed = cut(docs.mapInArrow(signatures, f"_id {id_type}, f1 long, f2 long, sig array<int>, plain array<int>"), "signatures")
     classes = cut(signed.groupBy("f1", "f2").agg(F.min(F.struct("_id", "sig", "plain")).alias("m"), F.count("*").alias("n")).select("f1", "f2", F.col("m._id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.plain").alias("plain"), "n"), "classes")
-    members = signed.select("_id", "f1", "f2").join(classes.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(F.col("_id").alias("id"), F.col("f1").alias("class_id"), F.coalesce("rep", "_id").alias("rep")).distinct()
+    who = cut(signed.select("_id", "f1", "f2"), "who")
+    forget(signed)
+    members = who.join(classes.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left").select(F.col("_id").alias("id"), F.col("f1").alias("class_id"), F.coalesce("rep", "_id").alias("rep")).distinct()
 
     #: Agreements out of `samples` that a pair just at the threshold misses with a probability under 0.01, and one 0.15 above it under 1e-4.
     enough = lambda x, r: int(max(r, np.floor(samples * x - 2.5 * np.sqrt(samples * x * (1 - x)))))
     sets = (band_samples(samples, rows, bands), band_samples(samples, PLAIN_ROWS, PLAIN_BANDS))
     least = (enough(threshold, rows), enough(threshold if jaccard is None else jaccard, PLAIN_ROWS))
     pairs, parts = _candidates(classes.select("f1", "sig", "plain"), sets, least)
-    likely = cut(_agreeing(pairs, classes, samples, least), "likely")
+    tested = {"sig": least[0], "plain": least[1]} if jaccard is None else {"plain": least[1]}  # what decides in the end
+    likely = cut(_agreeing(pairs, classes, samples, tested), "likely")
     links, bags = _verify(docs, classes, likely, table, k, F.col("weighted") >= threshold if jaccard is None else F.col("jaccard") >= jaccard, width)
     several = classes.where("n > 1").select("f1", "f2", "rep")
-    copies = cut(signed.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select(F.col("f1").alias("class_id"), "id").distinct(), "copies")
-    return NearDuplicates(members, links, copies, (signed, classes, likely, copies, bags, *parts))
+    copies = cut(who.select("f1", "f2", F.col("_id").alias("id")).join(several, ["f1", "f2"]).select(F.col("f1").alias("class_id"), "id").distinct(), "copies")
+    return NearDuplicates(members, links, copies, (who, classes, likely, copies, bags, *parts))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, samples: int, least: tuple[int, ...]) -> DataFrame:
-    """The pairs (a, b) whose samples of either set agree often enough. What is joined to a pair is a byte of each sample: one in 256 agrees by chance."""
+def _agreeing(pairs: DataFrame, classes: DataFrame, samples: int, tested: dict[str, int]) -> DataFrame:
+    """The pairs (a, b) whose samples of one of the tested sets agree often enough. What is joined to a pair is a byte of each sample: one in 256 agrees by chance."""
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, samples) for k in (1, 2)]
-            flat = np.ascontiguousarray(np.concatenate(both, axis=1)).reshape(-1)
-            at = np.arange(b.num_rows + 1, dtype=np.int32) * (2 * samples)
+            each = [b.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, samples) for k in tested]
+            flat = np.ascontiguousarray(np.concatenate(each, axis=1)).reshape(-1)
+            at = np.arange(b.num_rows + 1, dtype=np.int32) * (len(tested) * samples)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(flat)])], names=["f1", "low"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, 2, samples) for k in (2, 3))
-            yield b.select(["a", "b"]).filter(pa.array(((x == y).sum(2) >= np.array(least)[None, :]).any(1)))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, len(tested), samples) for k in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array(((x == y).sum(2) >= np.array(list(tested.values()))[None, :]).any(1)))
 
-    short = cut(classes.select("f1", "sig", "plain").mapInArrow(low, "f1 long, low binary"), "low")
+    short = cut(classes.select("f1", *tested).mapInArrow(low, "f1 long, low binary"), "low")
     rows = pairs.join(short.toDF("a", "low_a"), "a").join(short.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
     return rows.mapInArrow(test, "a long, b long")
 
