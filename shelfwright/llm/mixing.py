@@ -8,7 +8,8 @@ draw goes to exactly one shard and each shard is a fair sample of the mix. The l
 draws; documents find their shard by their block's rank, and each shard is shuffled by a hash on its own.
 
 Only figures of (mix, source) and of (mix, source, shard) are on the driver: rows of the targets times at most MAX_SHARDS, however
-much data; there is a shard for SHARD_TOKENS of the largest mix, within bounds. Shards are looked up by block and pass, documents
+much data; there is a shard for SHARD_TOKENS of the largest mix. Beyond MAX_SHARDS, the leaves of the tree are cut further, each draw
+of a leaf going to one of its parts by a hash. Shards are looked up by block and pass, documents
 then join their block; what is shuffled is block sizes, that join, and the result by shard.
 
 Quotas: a mix has total_tokens tokens, by default as many as its sources with a positive weight have. Each gets its weight's share,
@@ -109,7 +110,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None
     wanted = spark.createDataFrame(plan, names)
     if shards is None:
         largest = max((sum(p[4] for p in plan if p[0] == m) for m in {p[0] for p in plan}), default=0)
-        shards = int(min(MAX_SHARDS, max(MIN_SHARDS, -(-largest // SHARD_TOKENS))))
+        shards = int(max(MIN_SHARDS, -(-largest // SHARD_TOKENS)))
+    parts = -(-shards // MAX_SHARDS)  # of a leaf
+    shards = -(-shards // parts)
 
     # Blocks in random order, and where each mix's last, partial pass ends in it.
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))
@@ -138,7 +141,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None
     partial = partial.withColumn("reps", F.col("passes") + (F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2 + F.col("before") <= F.col("rest")).cast("int"))
     rest = placed.where("rank <> last").withColumn("reps", F.col("passes") + (F.col("rank") < F.col("last")).cast("int"))
     drawn = rest.unionByName(partial).where("reps > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)))
-    out = drawn.select("mix_id", F.col("shards")[F.col("epoch")].alias("shard"), F.xxhash64("doc_id", "epoch", "mix_id", F.lit(seed)).alias("order_key"), "source", "doc_id", "epoch", "n_tokens")
+    out = drawn.select("mix_id", (F.col("shards")[F.col("epoch")] * parts + F.pmod(F.xxhash64("mix_id", "doc_id", "epoch", F.lit(seed + 3)), F.lit(parts)).cast("int")).alias("shard"), F.xxhash64("doc_id", "epoch", "mix_id", F.lit(seed)).alias("order_key"), "source", "doc_id", "epoch", "n_tokens")
     return out, wanted
 
 

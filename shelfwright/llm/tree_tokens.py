@@ -1,13 +1,15 @@
 """Problem 6: encoding of a corpus with a public byte-level BPE tokenizer.
 
 Method: monoid tree reduction. A text is halved down to leaves of LEAF characters, each leaf is encoded on its own, and
-neighbours are joined up the tree. A join re-encodes a window around the seam that grows on either side until it meets a place where
-the tokenizer's pre-splitting breaks in every context: then no token outside the window can depend on what lies inside, and the
-join is exact. Joining is associative with the empty text as neutral element, so any tree gives the same ids. Decoding
+neighbours are joined up the tree. A join re-splits a window around the seam and re-encodes it. On the left the window begins at the
+last piece of the pre-splitting that what follows can't change any more: one that ends at least `reach` characters before the seam, the
+farthest that the pattern looks beyond a piece. To the right it grows piece by piece until the text's pieces and those of the right
+side alone end at the same place: from there on the pre-splitting, which looks ahead only, sees the same text in both, so no token
+outside the window can differ. Joining is associative with the empty text as neutral element, so any tree gives the same ids. Decoding
 concatenates up the same tree.
 
-Sure breaks: white space after a character that is none; ASCII letter or digit, ideograph or kana before ASCII punctuation; an
-ASCII letter beside an ASCII digit. The pre-splitting pattern never joins the two sides of any of these in one piece.
+This holds for any pattern that doesn't look behind. Places beside characters that this Python doesn't know are no such ends, since
+the tokenizer's tables of letters may be newer.
 
 The vocabulary (under 1 MB, fixed) is read on the driver from a path that is a parameter, and broadcast. Texts are encoded whole.
 
@@ -18,6 +20,8 @@ are kept as they are: one row out for each row in. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,35 +34,55 @@ LEAF = 4096
 #: The published pre-splitting pattern of this family of byte-level tokenizers. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CACHE: dict[int, Encoder] = {}
-_PUNCT = set("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+REACH = 3
+BLANKS = 100_000
+LONG_BLANK = re.compile(rf"\s{{{BLANKS}}}")
 
 
 class Encoder:
     """Leaves by the tokenizer library, joins by seams. vocab: the lines of a rank file, base64 of the bytes and the id."""
 
-    def __init__(self, vocab: bytes, leaf: int = LEAF, pattern: str = PATTERN):
+    def __init__(self, vocab: bytes, leaf: int = LEAF, pattern: str = PATTERN, reach: int = REACH):
+        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocab.splitlines() if line)}
-        self.flat = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
-        self.leaf = leaf
+        self.leaf, self.reach, self.pieces = leaf, reach, regex.compile(pattern).finditer
+
+    def flat(self, text: str) -> list[int]:
+        """The ids by the tokenizer library; its expression engine gives up on very long runs of blanks, which are split here instead."""
+        if len(text) < BLANKS or not LONG_BLANK.search(text):
+            return self.tokenizer.encode_ordinary(text)
+        return [i for m in self.pieces(text) for i in self.tokenizer._encode_single_piece(m.group())]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(text) <= self.leaf:
-            return self.flat(text)
-        half = len(text) // 2
-        return self.join(text[:half], self.encode(text[:half]), text[half:], self.encode(text[half:]))
-
-    def join(self, a: str, ids_a: list[int], b: str, ids_b: list[int]) -> list[int]:
-        """The ids of a + b from those of a and of b."""
-        if not a or not b:
-            return ids_a or ids_b
-        p, q = last_break(a), first_break(b)
-        return self._head(ids_a, len(a[p:].encode())) + self.flat(a[p:] + b[:q]) + self._tail(ids_b, len(b[:q].encode()))
+        return self.flat(text) if len(text) <= self.leaf else self._node(text, 0, len(text))[0]
+
+    def _node(self, text: str, lo: int, hi: int) -> tuple[list[int], int]:
+        """(ids of text[lo:hi], the last end of a piece in it that what follows can't change)."""
+        if hi - lo <= self.leaf:
+            firm = lo
+            for m in self.pieces(text, lo, hi):
+                if m.end() <= hi - self.reach:
+                    firm = m.end()
+            return self.flat(text[lo:hi]), firm
+        mid = (lo + hi) // 2
+        (ids_a, firm_a), (ids_b, firm_b) = self._node(text, lo, mid), self._node(text, mid, hi)
+        whole, right = self.pieces(text, firm_a, hi), self.pieces(text, mid, hi)
+        end, own, firm = firm_a, mid, firm_a  # ends of pieces: of the text's, and of the right side's alone
+        while end < hi and (end != own or not _known(text, end)):
+            if end <= own:
+                end = next(whole).end()
+                firm = end if end <= hi - self.reach else firm
+            else:
+                own = next(right).end()
+        ids = self._head(ids_a, len(text[firm_a:mid].encode())) + self.flat(text[firm_a:end]) + self._tail(ids_b, len(text[mid:end].encode()))
+        return ids, max(firm, firm_b) if end <= firm_b else firm
 
     def _head(self, ids: list[int], cut: int) -> list[int]:
         """ids without those of the last cut bytes."""
@@ -87,27 +111,9 @@ class Encoder:
         return self._bytes(ids, lo, mid) + self._bytes(ids, mid, hi)
 
 
-def _firm(c: str) -> bool:
-    """A letter or digit in every version of Unicode."""
-    return c.isascii() and c.isalnum() or "ぁ" <= c <= "ゖ" or "ァ" <= c <= "ヺ" or "一" <= c <= "龥" or "가" <= c <= "힣"
-
-
-def is_break(x: str, y: str) -> bool:
-    """Whether the pre-splitting breaks between x and y whatever lies around them."""
-    if y in " \n\t\r":
-        return not x.isspace()
-    if _firm(x) and y in _PUNCT:
-        return True
-    return x.isascii() and y.isascii() and (x.isalpha() and y.isdigit() or x.isdigit() and y.isalpha())
-
-
-def last_break(a: str) -> int:
-    """The last place of a that surely breaks, 0 where there is none: the window grows to the left up to there."""
-    return next((i for i in range(len(a) - 1, 0, -1) if is_break(a[i - 1], a[i])), 0)
-
-
-def first_break(b: str) -> int:
-    return next((i for i in range(1, len(b)) if is_break(b[i - 1], b[i])), len(b))
+def _known(text: str, i: int) -> bool:
+    """Whether the characters at both sides of a place are known to this Python."""
+    return all(unicodedata.category(c) != "Cn" for c in text[max(0, i - 1) : i + 1])
 
 
 def encoder(vocab: bytes) -> Encoder:

@@ -24,6 +24,22 @@ def test_tree_equals_whole_at_random(text):
     assert ids == WHOLE.encode(text) and SMALL.decode(ids) == text
 
 
+@pytest.mark.parametrize("text", ["！？、" * 350_000, "字" * 1_000_001, " " * 1_000_000, "'l" * 500_000, "9" * 1_000_000])
+def test_a_million_characters_without_a_plain_break(text):
+    """No white space beside words, no ASCII punctuation: windows grow until the pieces agree."""
+    ids = tree_tokens.Encoder(VOCAB, leaf=1 << 17).encode(text)
+    assert ids == WHOLE.encode(text)
+
+
+def test_another_pattern():
+    """The joins follow from the pattern: here numbers split in threes, and line ends with the blanks before them."""
+    pattern = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+    small, whole = tree_tokens.Encoder(VOCAB, leaf=5, pattern=pattern), tree_tokens.Encoder(VOCAB, leaf=1 << 30, pattern=pattern)
+    rng = random.Random(3)
+    for text in [*ODD, *("".join(rng.choice("ab1234567  \n\r'ls.é") for _ in range(200)) for _ in range(200))]:
+        assert small.encode(text) == whole.encode(text)
+
+
 def test_against_the_other_library():
     from tokenizers import Tokenizer
 
@@ -87,6 +103,20 @@ def test_mix(spark):
     assert all(small[1, s].tokens == cap * have[s] for s, cap in (("mail", 1), ("wiki", 2), ("memo", 4)))  # every cap binds
 
 
+def test_a_hundred_shards_and_parts_of_leaves(spark, monkeypatch):
+    """Every draw in one shard, each shard a fair sample; with more shards than leaves, leaves are cut further."""
+    docs, targets = fixture(spark)
+    want = sorted((r.mix_id, r.doc_id, r.epoch) for r in mixing.mixed(docs, targets, shards=5, block_tokens=60).collect())
+    for most in (mixing.MAX_SHARDS, 30):
+        monkeypatch.setattr(mixing, "MAX_SHARDS", most)
+        rows = mixing.mixed(docs, targets, shards=100, block_tokens=60).collect()
+        assert sorted((r.mix_id, r.doc_id, r.epoch) for r in rows) == want
+        size = {}
+        for r in rows:
+            size[r.mix_id, r.shard] = size.get((r.mix_id, r.shard), 0) + 1
+        assert len({k for m, k in size if m == 1}) > 80 and max(k for _, k in size) < 120
+
+
 def test_mix_of_nothing(spark):
     docs, targets = fixture(spark)
     assert mixing.mixed(docs.limit(0), targets).collect() == [] and mixing.mixed(docs, targets.limit(0)).collect() == []
