@@ -218,11 +218,11 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, samples: int, tested: dict[s
 
     short = cut(classes.select("f1", *tested).mapInArrow(low, "f1 long, low binary"), "low")
     rows = pairs.join(short.toDF("a", "low_a"), "a").join(short.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
-    return rows.mapInArrow(test, "a long, b long")
+    return rows.mapInArrow(test, "a long, b long").distinct()
 
 
 def _candidates(classes: DataFrame, sets: tuple[list[tuple[int, ...]], ...], least: tuple[int, ...]) -> tuple[DataFrame, list[DataFrame]]:
-    """Distinct pairs (a < b) of class hashes that share a band, and the tables they are made of."""
+    """Pairs (a < b) of class hashes that share a band, once for each such band, and the tables they are made of."""
 
     def keys(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(keys, rows they belong to) of the bands of either set of samples."""
@@ -259,8 +259,8 @@ def _candidates(classes: DataFrame, sets: tuple[list[tuple[int, ...]], ...], lea
     if over.any():
         big = big.union(rows(True))
     elif big.isEmpty():
-        return small.distinct(), [part]
-    return small.union(_large(big, classes, least)).distinct(), [part]
+        return small, [part]
+    return small.union(_large(big, classes, least)), [part]
 
 
 def _large(big: DataFrame, classes: DataFrame, least: tuple[int, ...]) -> DataFrame:
