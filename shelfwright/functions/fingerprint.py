@@ -14,7 +14,7 @@ from shelfwright.session import ship
 
 #: FNV-1a, 64 bits. Fixed values.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-WORDS = re.compile(r"[a-z0-9_]+")
+WORDS = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
 
 
@@ -50,7 +50,7 @@ def fnv1a_spans(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 
 def simhash_batch(texts: list[str], k: int = 3) -> np.ndarray:
     """SimHash of each text: sign of the bit votes of its k-word shingles, with multiplicity; ties set the bit."""
-    joined = [" ".join(WORDS.findall(t.lower())) for t in texts]
+    joined = [" ".join(WORDS.findall(t)).lower() for t in texts]
     out = np.empty(len(texts), np.uint64)
     at = 0
     while at < len(joined):

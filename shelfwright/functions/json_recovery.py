@@ -3,40 +3,33 @@
 from __future__ import annotations
 
 import json
+import re
 
 EMPTY = {"categories": [], "uncategorized": []}
+#: A string up to its end (or to the text's, where it is never closed), or a brace outside of strings.
+MARKS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)|[{}]', re.DOTALL)
 
 
 def largest_object(text: str | None) -> str | None:
     """The longest stretch of balanced braces, the first of equals; braces in strings don't count, whatever stands before them."""
-    if not text:
-        return None
-    best, depth, start, quoted, escaped = "", 0, -1, False, False
-    for i, c in enumerate(text):
-        if escaped:
-            escaped = False
-        elif quoted:
-            quoted, escaped = c != '"', c == "\\"
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0 and i + 1 - start > len(best):
-                best = text[start : i + 1]
-    return best or None
+    spans, open_ = [], []
+    for m in MARKS.finditer(text or ""):
+        if m.group() == "{":
+            open_.append(m.start())
+        elif m.group() == "}" and open_:
+            first = open_.pop()
+            if not open_:
+                spans.append((first, m.end()))
+    i, j = max(spans, key=lambda s: s[1] - s[0], default=(0, 0))
+    return text[i:j] or None if spans else None
 
 
-def recover(text: str | None) -> dict:
-    """The text as JSON if it is an object, else its largest object, else the empty answer."""
+def recover(text: str | None):
+    """The text as JSON, whatever kind of value it is; else its largest object, else the empty answer."""
     for candidate in (text, largest_object(text)):
         try:
-            found = json.loads(candidate) if candidate else None
+            if candidate:
+                return json.loads(candidate)
         except ValueError:
             continue
-        if isinstance(found, dict):
-            return found
     return dict(EMPTY)

@@ -91,8 +91,8 @@ def human_bytes(n: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Runs of ASCII letters, digits and underscores, in lower case."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9_]+)"), F.lit(1))
+    """Runs of ASCII letters, digits and underscores, in lower case; letters that only become ASCII in lower case are none."""
+    return F.transform(F.regexp_extract_all(col(text), F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
 
 
 def shingles(tokens: Column, k: int = 3) -> Column:
@@ -105,7 +105,7 @@ def shingles(tokens: Column, k: int = 3) -> Column:
 def descriptor(name: Column | str, parent_: Column | str, mime: Column | str, ext: Column | str, snippet: Column | str) -> Column:
     """Words of name, folder, MIME top, extension and up to 2000 characters of text, joined by blanks."""
     parts = [F.nullif(col(c), F.lit("")) for c in (name, parent_)] + [F.nullif(F.substring_index(col(mime), "/", 1), F.lit("")), F.nullif(col(ext), F.lit("")), F.nullif(F.substring(col(snippet), 1, 2000), F.lit(""))]
-    return F.array_join(words(F.concat_ws(" ", *parts)), " ")
+    return F.array_join(F.regexp_extract_all(F.lower(F.concat_ws(" ", *parts)), F.lit("([a-z0-9_]+)"), F.lit(1)), " ")  # here lower case comes first
 
 
 def rationale(kind: Column | str, n: Column | str) -> Column:

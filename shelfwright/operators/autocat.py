@@ -1,38 +1,50 @@
 """Topics without a model: TF-IDF of descriptors, k-means with a chosen number of clusters, and their terms.
 
-Weights are corpus-wide aggregations. Clusters are found for each bucket's inventory, which the feature limits to its first 500
-files, so that a bucket is one bounded task.
+Weights are aggregations over all files, of a bucket or of the corpus. Centres and their number are fitted for each bucket on its first
+FIT files, a bound so that one task can hold them; then every file of the bucket goes to its nearest centre, wherever it is. Members are
+rows; labels, terms and counts come from all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwright.operators.clusters import dominant_extension, first_rows
 from shelfwright.session import ship
+from shelfwright.tables import cut
 
 FEATURES = 6000
 TOP = 8
+FIT = 500  # files of a bucket that its centres are fitted on
 
 
-def ngrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term) with multiplicity: words of two characters or more, and pairs of neighbours among them."""
+def ngrams(df: DataFrame, id_col: str, text_col: str, *by: str) -> DataFrame:
+    """(*by, id, term) with multiplicity: words of two characters or more, and pairs of neighbours among them."""
     w = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\b(\w\w+)\b"), F.lit(1))
-    rows = df.select(F.col(id_col).alias("id"), w.alias("w"))
+    rows = df.select(*by, F.col(id_col).alias("id"), w.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return rows.select("id", F.explode(F.concat("w", pairs)).alias("term"))
+    return rows.select(*by, "id", F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, features: int = FEATURES) -> DataFrame:
-    """(id, term, weight): tf * (ln((1 + n) / (1 + df)) + 1) over the most frequent terms, of length 1 for each id."""
-    n = df.select(id_col).distinct().count()
-    tf = ngrams(df, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(features)
-    raw = tf.join(F.broadcast(vocab.select("term", "df")), "term").select("id", "term", (F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)).alias("x"))  # features rows at most
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("weight"))
+def tfidf(df: DataFrame, id_col: str, text_col: str, *by: str, features: int = FEATURES) -> DataFrame:
+    """(*by, id, term, weight): tf * (ln((1 + n) / (1 + df)) + 1) over the most frequent terms, of length 1 for each id; by itself within each value of by."""
+    tf = ngrams(df, id_col, text_col, *by).groupBy(*by, "id", "term").agg(F.count("*").alias("tf"))
+    vocab = tf.groupBy(*by, "term").agg(F.sum("tf").alias("all"), F.count("*").alias("df"))
+    if by:
+        top = vocab.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("all"), "term"))).where(F.col("pos") <= features)
+        terms = top.join(df.groupBy(*by).agg(F.count_distinct(id_col).alias("n")), [*by]).select(*by, "term", "df", "n")
+        raw = tf.join(terms, [*by, "term"])
+    else:
+        terms = vocab.orderBy(F.desc("all"), "term").limit(features).withColumn("n", F.lit(df.select(id_col).distinct().count()))
+        raw = tf.join(F.broadcast(terms.select("term", "df", "n")), "term")  # features rows at most
+    raw = raw.select(*by, "id", "term", (F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1)).alias("x"))
+    norm = raw.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return raw.join(norm, [*by, "id"]).select(*by, "id", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def k_candidates(n: int) -> list[int]:
@@ -83,43 +95,82 @@ def silhouette(x: np.ndarray, labels: np.ndarray, most: int = 1000, seed: int =
     return float(s.mean())
 
 
-SCHEMA = "bucket string, cluster int, label string, file_ids array<string>, top_terms array<string>, score double"
-
-
-def topics(items: DataFrame, weights: DataFrame) -> DataFrame:
-    """(bucket, cluster, label, file_ids, top_terms, score) of each bucket of items (bucket, pos, id, ext; 500 a bucket at most)."""
-    ship(items.sparkSession)
-    rows = items.select("bucket", "pos", "id", "ext").join(weights, "id", "left")
+def _fit(files: list[str], rows: pd.DataFrame) -> tuple[float, list[str], np.ndarray]:
+    """(score, terms, centres) for files and their rows (id, term, weight): the number of clusters with the best silhouette."""
+    terms = sorted(rows["term"].unique())
+    at, of = {t: i for i, t in enumerate(terms)}, {f: i for i, f in enumerate(files)}
+    x = np.zeros((len(files), max(1, len(terms))))
+    x[rows["id"].map(of).to_numpy(int), rows["term"].map(at).to_numpy(int)] = rows["weight"]
+    best = (-2.0, x.mean(0, keepdims=True))
+    for k in k_candidates(len(files)):
+        labels, c = kmeans(x, k)
+        s = silhouette(x, labels)
+        if s > best[0]:
+            best = (s, c)
+    return best[0], terms, best[1]
+
+
+def topics(items: DataFrame, weights: DataFrame, fit: int = FIT) -> tuple[DataFrame, DataFrame]:
+    """(clusters: bucket, cluster, label, top_terms, score, n_files; members: bucket, cluster, id) of items (bucket, seq, id, ext).
+
+    weights: bucket, id, term, weight. A bucket of fewer than three files is one cluster 'all' of score 1.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    items = cut(items.select("bucket", "seq", "id", "ext"), "items")
+    some = first_rows(items, "bucket", "seq", fit).join(weights, ["bucket", "id"], "left").select("bucket", "pos", "id", "term", "weight")
+    schema = "bucket string, cluster int, score double, terms array<string>, centre array<double>"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        files = pdf[["pos", "id", "ext"]].drop_duplicates("id").sort_values("pos").reset_index(drop=True)
-        n = len(files)
-        terms = sorted(pdf["term"].dropna().unique())
-        at, of = {t: i for i, t in enumerate(terms)}, {f: i for i, f in enumerate(files["id"])}
-        x = np.zeros((n, max(1, len(terms))))
-        full = pdf.dropna(subset=["term"])
-        x[full["id"].map(of).to_numpy(int), full["term"].map(at).to_numpy(int)] = full["weight"]
-        best = (-2.0, np.zeros(n, int), x.mean(0, keepdims=True))
-        if n < 3:
-            return pd.DataFrame([[key[0], 0, "all", files["id"].tolist(), [], 0.0]], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        for k in k_candidates(n):
-            labels, c = kmeans(x, k)
-            s = silhouette(x, labels)
-            if s > best[0]:
-                best = (s, labels, c)
-        score, labels, centres = best
-        out = []
-        for j in dict.fromkeys(labels.tolist()):  # in order of the first member
-            own = files[labels == j]
-            order = sorted(range(len(terms)), key=lambda i: (-centres[j][i], terms[i]))[:TOP]
-            tops = [terms[i] for i in order]
-            ext = own["ext"].fillna("").value_counts(sort=False)
-            dom = max(dict.fromkeys(own["ext"].fillna("")), key=lambda e: ext[e])
-            label = ((dom + " " if dom else "") + ", ".join(tops[:4])).strip(", ")
-            out.append([key[0], int(j), label or f"cluster_{j}", own["id"].tolist(), tops, score])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy("bucket").applyInPandas(run, SCHEMA)
+        files = pdf.drop_duplicates("id").sort_values("pos")["id"].tolist()
+        if len(files) < 3:
+            return pd.DataFrame([[key[0], 0, 1.0, [], []]], columns=[c.split()[0] for c in schema.split(", ")])
+        score, terms, centres = _fit(files, pdf.dropna(subset=["term"]))
+        out = [[key[0], j, score, [terms[i] for i in np.flatnonzero(c)] if terms else [], [float(v) for v in c[c != 0]]] for j, c in enumerate(centres)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    fitted = some.groupBy("bucket").applyInPandas(run, schema).collect()  # at most fit / 3 centres a bucket, of at most FEATURES numbers
+    centres: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+    for b in {r["bucket"] for r in fitted}:
+        own = sorted((r for r in fitted if r["bucket"] == b), key=lambda r: r["cluster"])
+        at = {t: i for i, t in enumerate(sorted({t for r in own for t in r["terms"]}))}
+        c = np.zeros((len(own), max(1, len(at))), np.float32)
+        for r in own:
+            c[r["cluster"], [at[t] for t in r["terms"]]] = r["centre"]
+        centres[b] = (at, c)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = np.zeros(len(pdf), np.int32)
+            for b, rows in pdf.groupby("bucket").indices.items():
+                at, c = shared.value[b]
+                for lo in range(0, len(rows), 256):
+                    part = rows[lo : lo + 256]
+                    x = np.zeros((len(part), c.shape[1]), np.float32)
+                    for i, n in enumerate(part):
+                        for t, w in zip(pdf["terms"].iat[n], pdf["weights"].iat[n]):
+                            if t in at:
+                                x[i, at[t]] = w
+                    got[part] = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+            yield pd.DataFrame({"bucket": pdf["bucket"], "cluster": got, "id": pdf["id"]})
+
+    of = weights.groupBy("bucket", "id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))  # terms of one descriptor
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    members = items.join(of, ["bucket", "id"], "left").select("bucket", "id", none("terms", "string"), none("weights", "double")).mapInPandas(place, "bucket string, cluster int, id string")
+    members = cut(members, "members")
+    known = []
+    for r in fitted:
+        order = sorted(zip(r["centre"], r["terms"]), key=lambda p: (-p[0], p[1]))
+        rest = sorted(set(centres[r["bucket"]][0]) - set(r["terms"]))
+        known.append([r["bucket"], r["cluster"], r["score"], ([t for _, t in order] + rest)[:TOP], not centres[r["bucket"]][0] and r["score"] == 1.0])
+    known = spark.createDataFrame(known, "bucket string, cluster int, score double, top_terms array<string>, whole boolean")
+    named = members.join(items, ["bucket", "id"])
+    ext = dominant_extension(named.select(F.struct("bucket", "cluster").alias("k"), F.coalesce("ext", F.lit("")).alias("ext"), "seq"), "k").select("k.bucket", "k.cluster", "ext")
+    size = members.groupBy("bucket", "cluster").agg(F.count("*").alias("n_files"))
+    text = F.regexp_replace(F.concat_ws(" ", F.nullif("ext", F.lit("")), F.array_join(F.slice("top_terms", 1, 4), ", ")), r"^[, ]+|[, ]+$", "")
+    label = F.when(F.col("whole"), "all").otherwise(F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("cluster_"), "cluster")))
+    return known.join(size, ["bucket", "cluster"]).join(ext, ["bucket", "cluster"]).select("bucket", "cluster", label.alias("label"), "top_terms", "score", "n_files"), members
 
 
 def top_terms(weights: DataFrame, n: int = TOP) -> DataFrame:

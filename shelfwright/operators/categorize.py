@@ -11,14 +11,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.functions import text as tx
 from shelfwright.functions.json_recovery import recover
 from shelfwright.operators.clusters import first_rows
 from shelfwright.session import ship
-from shelfwright.tables import cut
+from shelfwright.tables import cut, numbered
 
 INVENTORY, BATCH = 500, 400
 ATTEMPTS = 3
@@ -101,8 +101,10 @@ def merged(rows: DataFrame) -> DataFrame:
     at = F.struct("batch", "ord")
     low = F.struct((-F.col("batch")).alias("b"), (-F.col("ord")).alias("o"))
     g = rows.groupBy("bucket", "key").agg(F.min(F.struct(at.alias("at"), "label", "confidence")).alias("f"), F.max_by("rationale", F.struct("confidence", low.alias("low"))).alias("rationale"))
-    idx = F.row_number().over(Window.partitionBy("bucket").orderBy("f.at")) - 1
-    return g.select("bucket", "key", idx.alias("idx"), F.col("f.label").alias("label"), "rationale", F.col("f.confidence").alias("confidence"))
+    flat = g.select("bucket", "key", F.col("f.at.batch").alias("batch"), F.col("f.at.ord").alias("ord"), F.col("f.label").alias("label"), "rationale", F.col("f.confidence").alias("confidence"))
+    all_ = numbered(flat, "bucket", "batch", "ord", "key", name="_place")
+    first = all_.groupBy("bucket").agg(F.min("_place").alias("_first"))  # a row a bucket
+    return all_.join(first, "bucket").select("bucket", "key", (F.col("_place") - F.col("_first")).cast("int").alias("idx"), "label", "rationale", "confidence")
 
 
 def assigned(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -164,6 +166,7 @@ def http_chat(endpoint: str, model: str, api_key: str | None = None, timeout: fl
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
         req = urllib.request.Request(url, json.dumps(request_body(model, bucket, rows)).encode(), head)
         with urllib.request.urlopen(req, timeout=timeout) as r:
-            return json.load(r)["choices"][0]["message"]["content"]
+            choices = json.load(r).get("choices", [{}])
+            return ((choices[0] or {}).get("message") or {}).get("content") or ""  # no choice at all is an error
 
     return chat

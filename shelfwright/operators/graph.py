@@ -63,18 +63,18 @@ def nodes(files: DataFrame, categories: DataFrame, near: DataFrame, summaries: D
     return one.join(notes, "id", "left").withColumn("summary", F.when(has, F.coalesce("summary", F.lit(""))))
 
 
-def edges(members: DataFrame, categories: DataFrame) -> DataFrame:
+def edges(members: DataFrame, categories: DataFrame, ordered: bool = False) -> DataFrame:
     """(id, source, target, kind): root to clusters, categories to subcategories, and clusters to files.
 
-    All files of exact duplicates, the first 50 of every other cluster.
+    All files of exact duplicates, the first 50 of every other cluster. With ordered, also ord: the order of the edges of a source to files.
     """
-    e = lambda s, t, k: [F.concat(F.lit("e-"), s, F.lit("-"), t).alias("id"), s.alias("source"), t.alias("target"), F.lit(k).alias("kind")]
+    e = lambda s, t, k, o=None: [F.concat(F.lit("e-"), s, F.lit("-"), t).alias("id"), s.alias("source"), t.alias("target"), F.lit(k).alias("kind"), *([(F.lit(0) if o is None else F.col(o)).cast("long").alias("ord")] if ordered else [])]
     root = F.lit("root")
     heads = members.where("kind <> 'subcategory'").select("node_id").distinct().select(*e(root, F.col("node_id"), "contains"))
     bands = members.sparkSession.createDataFrame([(f"age:{a}",) for a in tx.AGES], "n string").select(*e(root, F.col("n"), "contains"))
     cats = categories.select(F.concat(F.lit("cat:"), "bucket").alias("c"), F.concat(F.lit("sub:"), "bucket", F.lit(":"), "label").alias("s")).distinct()
     up = cats.select("c").distinct().select(*e(root, F.col("c"), "contains"))
     down = cats.select(*e(F.col("c"), F.col("s"), "contains"))
-    whole = members.where("kind = 'duplicate_cluster'").select(*e(F.col("node_id"), F.col("id"), "contains"))
-    some = first_rows(members.where("kind <> 'duplicate_cluster'"), "node_id", "seq", SAMPLE).select(*e(F.col("node_id"), F.col("id"), "contains_sample"))
+    whole = members.where("kind = 'duplicate_cluster'").select(*e(F.col("node_id"), F.col("id"), "contains", "seq"))
+    some = first_rows(members.where("kind <> 'duplicate_cluster'"), "node_id", "seq", SAMPLE).select(*e(F.col("node_id"), F.col("id"), "contains_sample", "seq"))
     return heads.union(bands).distinct().union(up).union(down).union(whole).union(some)

@@ -2,7 +2,7 @@
 
 Pairs within distance t are found by blocks: 64 bits are cut into t + m blocks; two words within t differ in at most t of them, so at
 least m blocks are equal. Every choice of m blocks is a join key. More equal blocks asked for make keys longer and candidates
-fewer, at the price of more keys; m grows with the number of words so that candidates stay in proportion.
+fewer, at the price of more keys; m is the first for which the measured sizes of the keys keep candidates in proportion to the words.
 
 In leader clustering, the first unassigned item (by seq) leads and takes every later unassigned item within t of itself. It is the
 lexicographically first maximal independent set of the pair graph: a word is a leader once no earlier neighbour is undecided or a
@@ -13,18 +13,15 @@ are one vertex.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.tables import cut, forget, numbered
 
-MAX_ROUNDS = 500
-
-
-def equal_blocks(n: int) -> int:
-    """How many equal blocks to ask for among n words."""
-    return 2 if n < 1_000_000 else 3 if n < 100_000_000 else 4
+BLOCKS = (2, 3, 4)  # equal blocks to ask for, from short keys to long ones
+MOST_KEYS = 200  # of a word; longer keys are so many more
 
 
 def block_keys(fp: str, t: int, m: int):
@@ -42,8 +39,14 @@ def distance(a: str, b: str):
 def hamming_pairs(words: DataFrame, t: int, fp: str = "fp") -> DataFrame:
     """(fp_a, fp_b, distance), fp_a < fp_b: all pairs of distinct words within distance t."""
     distinct = words.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct()
-    m = equal_blocks(distinct.count())
-    keyed = distinct.select("fp", F.explode(block_keys("fp", t, m)).alias("key"))
+    distinct = cut(distinct, "fps")
+    n = distinct.count()
+    for m in BLOCKS:  # the histogram of the keys tells how many pairs they bring together
+        more = comb(t + m + 1, m + 1)
+        keyed = distinct.select("fp", F.explode(block_keys("fp", t, m)).alias("key"))
+        pairs = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+        if pairs <= 4 * more * n or more > MOST_KEYS:  # longer keys would cost more than they save
+            break
     a, b = keyed.withColumnRenamed("fp", "fp_a"), keyed.withColumnRenamed("fp", "fp_b")
     near = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (distance("fp_a", "fp_b") <= t))
     return near.select("fp_a", "fp_b", distance("fp_a", "fp_b").alias("distance")).distinct()
@@ -74,8 +77,6 @@ def leader_clusters(items: DataFrame, t: int, fp: str = "fp") -> DataFrame:
         if rounds:
             forget(left)
         left, rounds = rest, rounds + 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("leader clustering did not settle")
     # A member belongs to the earliest of its neighbours that lead.
     if decided is None:
         owner = words.select("fp", F.col("rank").alias("leader_seq"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwright.functions import text as tx
+from shelfwright.operators.clusters import first_rows
+from shelfwright.tables import numbered
+
 #: Kinds of nodes in the order of their rows. Fixed values.
 ROWS = ("root", "category", "subcategory", "type_cluster", "duplicate_cluster", "near_duplicate_text", "age_bucket", "file")
-GROUP = 500
+GROUP, LINKED = 500, 40
 
 
 def filter_nodes(nodes: DataFrame, confidence: Column | str, kind: str = "all", min_confidence: float = 0.0, search: str = "") -> DataFrame:
@@ -37,10 +41,25 @@ def layout(nodes: DataFrame, order: str, *within: str) -> DataFrame:
     return nodes.withColumn("row", row).withColumn("x", 40 + place * 284).withColumn("y", 40 + F.col("row") * 160).drop("row")
 
 
-def linked_files(edges: DataFrame, nodes: DataFrame, node_id: str, most: int = 40) -> DataFrame:
-    """The file nodes that a node's edges lead to, the first so many by id."""
-    out = edges.where(F.col("source") == node_id).select(F.col("target").alias("id")).join(nodes.where("kind = 'file'"), "id")
-    return out.orderBy("id").limit(most)
+def linked_files(edges: DataFrame, nodes: DataFrame, most: int = LINKED) -> DataFrame:
+    """(source, pos, id, label): of each node the first so many file nodes (id, kind, label) that its edges (with ord, their order) lead to."""
+    out = edges.select("source", F.col("target").alias("id"), "ord").join(nodes.where("kind = 'file'").select("id", "label"), "id")
+    return first_rows(out, "source", "ord", most).select("source", "pos", "id", "label")
+
+
+def inspect(nodes: DataFrame, members: DataFrame, edges: DataFrame, planned_moves: DataFrame, planned_deletes: DataFrame, most: int = LINKED) -> DataFrame:
+    """(id, kind, label, confidence, summary, rationale, hash, n_files, in_deletes, in_moves, files) of each node.
+
+    files: the labels of its first linked files. n_files and hits are null for nodes that have no members by kind; an empty summary,
+    rationale or hash is null.
+    """
+    hits = planned_hits(members.select("node_id", "id"), planned_moves, planned_deletes).withColumnRenamed("node_id", "id")
+    linked = linked_files(edges, nodes, most).groupBy(F.col("source").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("files"))  # most at most
+    has = F.col("n_files").isNotNull()
+    full = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    count = lambda c: F.when(has, F.coalesce(c, F.lit(0))).alias(c)
+    out = nodes.join(hits, "id", "left").join(linked, "id", "left")
+    return out.select("id", "kind", "label", "confidence", full("summary"), full("rationale"), full("hash"), "n_files", count("in_deletes"), count("in_moves"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
 def planned_hits(members: DataFrame, planned_moves: DataFrame, planned_deletes: DataFrame) -> DataFrame:
@@ -52,16 +71,29 @@ def planned_hits(members: DataFrame, planned_moves: DataFrame, planned_deletes:
 
 
 def grouped(rows: DataFrame, key: Column, order: str, most: int = GROUP) -> DataFrame:
-    """(key, n, shown): rows of each key, and how many of them a list of at most so many shows."""
-    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).withColumn("shown", F.least("n", F.lit(most).cast("long")))
+    """rows of each key with key, group_pos (of the key among the sorted keys, from 0), n (rows of the key) and pos (from 1): the first so many in the given order."""
+    keyed = rows.withColumn("key", key)
+    groups = numbered(keyed.groupBy("key").agg(F.count("*").alias("n")), "key", name="group_pos")
+    return first_rows(keyed, "key", order, most).join(groups, "key")
+
+
+def moves_by_destination(moves: DataFrame, order: str, most: int = GROUP) -> DataFrame:
+    """(to_dir, group_pos, n, pos, shown, reason): destinations in their order, and of each the first moves as 'name  →  destination'."""
+    name = F.coalesce(tx.basename("from_path"), F.lit(""))
+    rows = grouped(moves, F.coalesce("to_dir", F.lit("")), order, most)
+    return rows.select(F.col("key").alias("to_dir"), "group_pos", "n", "pos", F.concat(name, F.lit("  →  "), "key").alias("shown"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-def moves_by_destination(moves: DataFrame) -> DataFrame:
-    return grouped(moves, F.coalesce("to_dir", F.lit("")), "id").withColumnRenamed("key", "to_dir")
+def deletes_by_reason(deletes: DataFrame, order: str, most: int = GROUP) -> DataFrame:
+    """(reason, group_pos, n, pos, shown, confidence): reasons in their order, and of each the first deletes by name, with two decimals of confidence."""
+    rows = grouped(deletes, F.coalesce("reason", F.lit("unknown")), order, most)
+    return rows.select(F.col("key").alias("reason"), "group_pos", "n", "pos", F.coalesce(tx.basename("path"), F.lit("")).alias("shown"), F.format_string("%.2f", F.bround(F.coalesce("confidence", F.lit(0.0)), 2)).alias("confidence"))
 
 
-def deletes_by_reason(deletes: DataFrame) -> DataFrame:
-    return grouped(deletes, F.coalesce("reason", F.lit("unknown")), "id").withColumnRenamed("key", "reason")
+def cluster_overview(members: DataFrame, planned_deletes: DataFrame, costs: DataFrame) -> DataFrame:
+    """(cluster_key, size, hits, ratio, status, gb, monthly_cost) of clusters with members (node_id: the cluster key, id); costs default to 0."""
+    rows = junk_status(members, planned_deletes).withColumnRenamed("node_id", "cluster_key").join(costs.select("cluster_key", "gb", "monthly_cost"), "cluster_key", "left")
+    return rows.fillna(0.0, ["gb", "monthly_cost"])
 
 
 def junk_status(members: DataFrame, planned_deletes: DataFrame) -> DataFrame:

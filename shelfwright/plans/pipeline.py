@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from shelfwright.functions.fingerprint import with_simhash
 from shelfwright.operators import categorize, clusters, graph, leader, plan, summarize
 from shelfwright.sources import documents
-from shelfwright.tables import cut
+from shelfwright.tables import cut, forget
 
 TEXT_DISTANCE, IMAGE_DISTANCE, SNIPPET = 8, 12, 2000
+DOCUMENT_ROWS = 200_000  # of a table that still becomes a JSON document on the driver
 
 
 @dataclass
@@ -54,11 +55,26 @@ def organize(files: DataFrame, texts: DataFrame, now: float, rate: float = 0.0,
     return Organized(graph.nodes(files, cats, near, lines, now), graph.edges(members, cats), members, lines, de, mv, categorize.costs(cats, rate), plan.summary(files, de, mv, near, like, rate))
 
 
-def write_documents(found: Organized, out: str, began: float | None = None) -> dict:
-    """graph.json, summaries.json and plan.json of a small scan."""
-    graph_ = documents.graph_document(found.nodes, found.members, found.edges)
-    notes = {r["node_id"]: r["summary"] for r in found.summaries.collect()}
-    plan_ = documents.plan_document(found.summary, found.moves, found.deletes, found.costs, time.time() - began if began else 0.0)
-    for name, doc in (("graph", graph_), ("summaries", notes), ("plan", plan_)):
-        documents.write_json(f"{out}/{name}.json", doc)
-    return {"graph": graph_, "summaries": notes, "plan": plan_}
+def write_documents(found: Organized, out: str, began: float | None = None, most: int = DOCUMENT_ROWS) -> dict:
+    """graph.json, summaries.json and plan.json of a small scan; of one with more than so many rows in a table, tables in their place.
+
+    Tables are parquet folders in out, named as the fields of Organized; only plan.json with its summary is written beside them then.
+    """
+    own = Organized(*[cut(getattr(found, f.name), f.name) for f in fields(Organized)])
+    elapsed = time.time() - began if began else 0.0
+    if any(getattr(own, f.name).count() > most for f in fields(Organized)):
+        for f in fields(Organized):
+            getattr(own, f.name).write.mode("overwrite").parquet(f"{out}/{f.name}")
+        plan_ = {"summary": own.summary.first().asDict() | {"elapsed_sec": round(elapsed, 2)}}
+        documents.write_json(f"{out}/plan.json", plan_)
+        docs = {"plan": plan_}
+    else:
+        docs = {
+            "graph": documents.graph_document(own.nodes, own.members, own.edges),
+            "summaries": {r["node_id"]: r["summary"] for r in own.summaries.collect()},
+            "plan": documents.plan_document(own.summary, own.moves, own.deletes, own.costs, elapsed),
+        }
+        for name, doc in docs.items():
+            documents.write_json(f"{out}/{name}.json", doc)
+    forget(*[getattr(own, f.name) for f in fields(Organized)])
+    return docs

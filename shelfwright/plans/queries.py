@@ -44,14 +44,32 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "snippets").where("text <> ''").groupBy("id").agg(F.min("text").alias("text"))
 
 
+_NEAR: dict[tuple[str, str], DataFrame] = {}
+
+
 def near(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-duplicate clusters of a folder's texts: one table for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _NEAR:
+        _NEAR[key] = _near(spark, sf)
+    return _NEAR[key]
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
     return cut(near_texts(table(spark, sf, "files").where("id is not null").groupBy("id").agg(F.max("seq").alias("seq")), texts(spark, sf)), "near")
 
 
-def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(catalogue, near duplicates, deletes, moves) of the catalogue."""
+def images(files: DataFrame) -> DataFrame:
+    """(seq, id, fp) of image files. There are no pixels here, so words that are alike within a folder stand in for perceptual hashes."""
+    folder = F.conv(F.substring(F.md5(F.coalesce(tx.parent("path"), F.lit(""))), 1, 14), 16, 10).cast("long")
+    return files.where(tx.suffix(tx.basename("path")).isin(*tx.IMAGE_EXTENSIONS)).select("seq", "id", (folder * 16 + F.pmod("seq", F.lit(16))).alias("fp"))
+
+
+def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(catalogue, near duplicates of texts and of images, deletes, moves) of the catalogue."""
     files, like = cut(catalogue(spark, sf), "catalogue"), near(spark, sf)
-    return files, like, plan.deletes(files, like), plan.moves(files, categorize.fallback(files))
+    seen = cut(leader.leader_clusters(images(files), 12), "images")
+    return files, like, seen, plan.deletes(files, like, seen), plan.moves(files, categorize.fallback(files))
 
 
 # Files
@@ -157,7 +175,10 @@ def near_duplicate_deletes(spark, sf):
 
 @query
 def sign_bit_similarity(spark, sf):
-    rows = table(spark, sf, "embeddings").where("size(embedding) = 64").select(F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("id"), fpr.sign_bits("embedding").alias("fp"))
+    # Each vector and three copies of it, with 3, 6 and 9 signs turned.
+    bits = table(spark, sf, "embeddings").where("size(embedding) = 64").select("vec_id", fpr.sign_bits("embedding").alias("fp"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    turned = F.array(*[F.lit(((1 << (3 * j)) - 1) << 5).cast("long") for j in range(4)])[F.col("j")]
+    rows = bits.select((F.col("vec_id") * 4 + F.col("j")).alias("seq"), F.concat_ws("-", "vec_id", "j").alias("id"), F.col("fp").bitwiseXOR(turned).alias("fp"))
     return leader.leader_clusters(rows, 12).select("cluster_idx", "id", "seq", "leader_seq", "n")
 
 
@@ -172,7 +193,7 @@ def dct_phash(spark, sf):
 @query
 def html_tag_strip(spark, sf):
     rows = table(spark, sf, "documents").where("text is not null")
-    marked = F.concat(F.lit("<p class='a'>"), F.substring_index("text", " ", 40), F.lit("</p>\n<br/>  <i>"), "source", F.lit("</i>"))
+    marked = F.concat(F.lit("<p class='a'>"), "text", F.lit("</p>\n<br/>  <i>"), "source", F.lit("</i>"))
     return rows.where("source is not null").select("doc_id", tx.strip_tags(marked).alias("plain"))
 
 
@@ -211,29 +232,31 @@ def inventory_batches(spark, sf):
 
 def answers(spark, sf) -> DataFrame:
     """The rows of cluster_results in the part of a model's parsed answers: batches of 100, confidence where it is one."""
-    label = F.substring_index("label", ",", 1)
+    label = F.col("label")
+    kind = F.lower(F.substring_index(label, " ", 1))  # labels begin with the members' commonest extension
+    bucket = F.when(kind.isin(*tx.IMAGE_EXTENSIONS), "Images").when(kind.isin("mp3", "wav", "flac", "ogg", "m4a"), "Audio").when(kind.isin("mp4", "mov", "avi", "mkv", "webm"), "Video").otherwise("Documents")
     conf = F.when(~F.isnan("score") & (F.col("score") >= 0) & (F.col("score") <= 1), F.col("score")).otherwise(0.5)
-    return table(spark, sf, "cluster_results").select(F.lit("Documents").alias("bucket"), F.floor((F.col("result_id") - 1) / 100).cast("int").alias("batch"), F.pmod(F.col("result_id") - 1, F.lit(100)).cast("int").alias("ord"), label.alias("label"), F.lower(label).alias("key"), F.coalesce("file_ids", F.array().cast("array<string>")).alias("file_ids"), F.coalesce(F.array_join("top_terms", " "), F.lit("")).alias("rationale"), F.coalesce(conf, F.lit(0.5)).alias("confidence"))
+    return table(spark, sf, "cluster_results").select(bucket.alias("bucket"), F.floor((F.col("result_id") - 1) / 100).cast("int").alias("batch"), F.pmod(F.col("result_id") - 1, F.lit(100)).cast("int").alias("ord"), label.alias("label"), F.lower(label).alias("key"), F.coalesce("file_ids", F.array().cast("array<string>")).alias("file_ids"), F.coalesce(F.array_join("top_terms", " "), F.lit("")).alias("rationale"), F.coalesce(conf, F.lit(0.5)).alias("confidence"))
 
 
 def offered(spark, sf) -> DataFrame:
-    return catalogue(spark, sf, "type").where(tx.bucket("type") == "Documents").select(F.lit("Documents").alias("bucket"), "id")
+    return catalogue(spark, sf, "type").select(tx.bucket("type").alias("bucket"), "id")
 
 
 @query
 def category_merge(spark, sf):
-    return categorize.merged(answers(spark, sf)).select("key", "idx", "label", "rationale", "confidence")
+    return categorize.merged(answers(spark, sf)).select("bucket", "key", "idx", "label", "rationale", "confidence")
 
 
 @query
 def category_unique(spark, sf):
-    return categorize.assigned(cut(answers(spark, sf), "answers"), offered(spark, sf)).select("id", "idx", "label", "confidence")
+    return categorize.assigned(cut(answers(spark, sf), "answers"), offered(spark, sf)).select("bucket", "id", "idx", "label", "confidence")
 
 
 @query
 def uncategorized(spark, sf):
     items = cut(offered(spark, sf), "offered")
-    return categorize.uncategorized(items, categorize.assigned(cut(answers(spark, sf), "answers"), items)).select("id")
+    return categorize.uncategorized(items, categorize.assigned(cut(answers(spark, sf), "answers"), items)).select("bucket", "id")
 
 
 @query
@@ -266,10 +289,11 @@ def tfidf_weights(spark, sf):
 
 @query
 def autocat_clusters(spark, sf):
-    files = catalogue(spark, sf, "path", "size", "type")
-    items = cut(categorize.inventory(files, texts(spark, sf)).select("bucket", "pos", "id", "ext", "name", "path", "mime", "snippet"), "inventory")
-    described = items.select("id", tx.descriptor("name", tx.parent("path"), "mime", "ext", "snippet").alias("d"))
-    return autocat.topics(items, autocat.tfidf(described, "id", "d"))
+    """Topics of every bucket of the catalogue, with the number of files in each."""
+    name = tx.basename("path")
+    rows = catalogue(spark, sf, "path", "type").join(texts(spark, sf), "id", "left")
+    items = cut(rows.select(tx.bucket("type").alias("bucket"), "seq", "id", tx.suffix(name).alias("ext"), tx.descriptor(name, tx.parent("path"), "type", tx.suffix(name), "text").alias("d")), "described")
+    return autocat.topics(items, cut(autocat.tfidf(items, "id", "d", "bucket"), "weights"))[0]
 
 
 # Graph and plan
@@ -281,7 +305,7 @@ def graph_nodes(spark, sf):
     cats = categorize.fallback(files)
     members = graph.membership(files, cats, like, NOW)
     notes = summarize.summaries(members.where("kind <> 'subcategory'"), files, texts(spark, sf)).union(categorize.fallback_summaries(cats))
-    return graph.nodes(files, cats, like, notes, NOW).select("id", "kind", "label", "hash", "bucket", "n_files", "subcount", "size", "mtime", "type", "confidence", F.md5("summary").alias("summary_md5"))
+    return graph.nodes(files, cats, like, notes, NOW).select("id", "kind", "label", "hash", "bucket", "n_files", "subcount", "size", "mtime", "type", "rationale", "confidence", F.md5("summary").alias("summary_md5"))
 
 
 @query
@@ -293,18 +317,18 @@ def graph_edges(spark, sf):
 
 @query
 def planned_deletes(spark, sf):
-    return planned(spark, sf)[2].select("id", "path", "reason", "confidence")
+    return planned(spark, sf)[3].select("id", "path", "reason", "confidence")
 
 
 @query
 def planned_moves(spark, sf):
-    return planned(spark, sf)[3]
+    return planned(spark, sf)[4]
 
 
 @query
 def plan_summary(spark, sf):
-    files, like, de, mv = planned(spark, sf)
-    return plan.summary(files, cut(de, "deletes"), cut(mv, "moves"), like, None, RATE)
+    files, like, seen, de, mv = planned(spark, sf)
+    return plan.summary(files, cut(de, "deletes"), cut(mv, "moves"), like, seen, RATE)
 
 
 @query
@@ -348,24 +372,50 @@ def node_hits(spark, sf):
     return views.planned_hits(members, table(spark, sf, "plan_moves"), table(spark, sf, "plan_deletes"))
 
 
-@query
-def node_inspector(spark, sf):
-    """The file nodes behind a node of the catalogue's own graph."""
+def _drawn(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(catalogue, categories, members, ordered edges) of the catalogue's own graph."""
     files = cut(catalogue(spark, sf), "catalogue")
     cats = categorize.fallback(files)
-    found = graph.edges(graph.membership(files, cats, near(spark, sf), NOW), cats)
+    members = cut(graph.membership(files, cats, near(spark, sf), NOW), "members")
+    return files, cats, members, graph.edges(members, cats, ordered=True)
+
+
+@query
+def node_inspector(spark, sf):
+    """The first 40 file nodes behind each node of the catalogue's own graph, in the order of its edges."""
+    files, _, _, edges = _drawn(spark, sf)
     leaves = files.orderBy("seq").limit(graph.LEAVES).select("id", F.lit("file").alias("kind"), F.col("path").alias("label"))
-    return views.linked_files(found, leaves, "type:Documents").select("id", "label")
+    return views.linked_files(edges, leaves).select("source", "pos", "id", "label")
+
+
+@query
+def node_record(spark, sf):
+    """What the inspector shows of each node of the catalogue's own graph."""
+    files, cats, members, edges = _drawn(spark, sf)
+    notes = summarize.summaries(members.where("kind <> 'subcategory'"), files, texts(spark, sf)).union(categorize.fallback_summaries(cats))
+    nodes = cut(graph.nodes(files, cats, near(spark, sf), notes, NOW), "nodes")
+    found = views.inspect(nodes, members, edges, table(spark, sf, "plan_moves"), table(spark, sf, "plan_deletes"))
+    return found.select("id", "kind", "label", "confidence", F.md5("summary").alias("summary_md5"), "rationale", "hash", "n_files", "in_deletes", "in_moves", F.md5(F.array_join("files", "\n")).alias("files_md5"))
 
 
 @query
 def moves_by_destination(spark, sf):
-    return views.moves_by_destination(table(spark, sf, "plan_moves"))
+    return views.moves_by_destination(table(spark, sf, "plan_moves"), "plan_seq")
 
 
 @query
 def deletes_by_reason(spark, sf):
-    return views.deletes_by_reason(table(spark, sf, "plan_deletes"))
+    return views.deletes_by_reason(table(spark, sf, "plan_deletes"), "plan_seq")
+
+
+@query
+def cluster_overview(spark, sf):
+    """Subcategories of the graphs, the last of equal names, with what the plan deletes of them and what their moved files cost."""
+    nodes = table(spark, sf, "graph_nodes").where("kind = 'subcategory'").select("node_seq", tx.split_label("label", "meta.bucket").alias("s"), "meta.file_ids")
+    last = nodes.groupBy(tx.cluster_key("s.top", "s.sub").alias("node_id")).agg(F.max_by("file_ids", "node_seq").alias("ids"))
+    moved = table(spark, sf, "plan_moves").where("reason is not null").select("id", F.col("reason").alias("cluster_key")).distinct()
+    sized = moved.join(catalogue(spark, sf, "size"), "id").select(F.substring_index("cluster_key", ":", 1).alias("bucket"), F.expr("substring(cluster_key, instr(cluster_key, ':') + 1)").alias("label"), "size")
+    return views.cluster_overview(last.select("node_id", F.explode_outer("ids").alias("id")), table(spark, sf, "plan_deletes"), categorize.costs(sized, RATE))
 
 
 @query

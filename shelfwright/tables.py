@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset (tests, one machine), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shelfwright-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -136,4 +136,4 @@ def test_largest_object(text, want):
 
 
 def test_recover():
-    assert recover('x {"categories": []} y') == {"categories": []} and recover("none") == EMPTY and recover("[1]") == EMPTY
+    assert recover('x {"categories": []} y') == {"categories": []} and recover("none") == EMPTY and recover("[1]") == [1]

@@ -60,7 +60,7 @@ def test_leader_against_the_sequential_model(spark, t, seed):
 
 @pytest.mark.parametrize("m", [2, 3])
 def test_hamming_blocks_lose_no_pair(spark, m, monkeypatch):
-    monkeypatch.setattr(leader, "equal_blocks", lambda n: m)
+    monkeypatch.setattr(leader, "BLOCKS", (m,))
     rng = random.Random(m)
     base = [rng.getrandbits(63) for _ in range(12)]
     words = {b ^ sum(1 << p for p in rng.sample(range(63), rng.randrange(0, 10))) for b in base for _ in range(8)}
@@ -149,7 +149,7 @@ def test_model_categories(spark):
 def test_null_confidence_fails_its_bucket(spark):
     items = spark.createDataFrame([("B", 0, '{"categories": [{"label": "x", "file_ids": ["1"], "confidence": null}]}', None), ("C", 0, '{"categories": [{"file_ids": ["1"]}]}', None), ("D", 0, "[]", None)], "bucket string, batch int, answer string, error string")
     got = {r.bucket: r for r in categorize.parsed(items).collect()}
-    assert got["B"].error and got["C"].confidence == 0.5 and got["C"].label == "Cluster" and "D" not in got
+    assert got["B"].error and got["C"].confidence == 0.5 and got["C"].label == "Cluster" and got["D"].error
 
 
 def test_failed_calls_are_repeated(spark):
@@ -195,25 +195,56 @@ def test_plan_and_views(spark):
 
 def test_viewer(spark):
     n = spark.createDataFrame([(1, "r", "root", "Root", None), (2, "f1", "file", "A.txt", 0.4), (3, "f2", "strange", "b", 0.9), (4, "d", "duplicate_cluster", "Dup", 0.95)], "o int, id string, kind string, label string, c double")
-    e = spark.createDataFrame([("r", "d"), ("d", "f1"), ("d", "gone")], "source string, target string")
+    e = spark.createDataFrame([("r", "d", 0), ("d", "f1", 7), ("d", "gone", 1), ("d", "f0", 9)], "source string, target string, ord long")
     assert {r.id for r in views.filter_nodes(n, "c", min_confidence=0.5).collect()} == {"r", "f2", "d"}
     assert {r.id for r in views.filter_nodes(n, "c", "file", search=".TXT").collect()} == {"f1"}
     assert views.visible_edges(e, n).count() == 0 and views.visible_edges(e, n, "all").count() == 2
     assert views.visible_edges(e, n, "selected", "f1").count() == 1 and views.visible_edges(e, n, "selected").count() == 0
     assert {r.id: (r.x, r.y) for r in views.layout(n, "o").collect()} == {"r": (40, 40), "d": (40, 680), "f1": (40, 1160), "f2": (324, 1160)}
-    assert [r.id for r in views.linked_files(e, n, "d").collect()] == ["f1"]
+    more = n.union(spark.createDataFrame([(5, "f0", "file", "0.txt", 0.4)], n.schema))
+    assert {(r.source, r.pos, r.id) for r in views.linked_files(e, more).collect()} == {("d", 1, "f1"), ("d", 2, "f0")}  # in the order of the edges
+    assert {(r.pos, r.id) for r in views.linked_files(e, more, 1).collect()} == {(1, "f1")}
+
+
+def test_inspection(spark):
+    n = spark.createDataFrame([("d", "duplicate_cluster", "Dup", 0.95, "two", "why", "h", 3), ("f", "file", "a", 1.0, None, "", None, None), ("g", "age_bucket", "Age", 0.6, "", None, None, 0)], "id string, kind string, label string, confidence double, summary string, rationale string, hash string, n_files long")
+    m = spark.createDataFrame([("d", "f"), ("d", "f"), ("d", "x")], "node_id string, id string")
+    e = spark.createDataFrame([("d", "f", 2), ("d", "x", 1)], "source string, target string, ord long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = {r.id: tuple(r)[4:] for r in views.inspect(n, m, e, ids("x", "x"), ids("f", None)).collect()}
+    assert got == {"d": ("two", "why", "h", 3, 2, 1, ["a"]), "f": (None, None, None, None, None, None, []), "g": (None, None, None, 0, 0, 0, [])}
+
+
+def test_groups_are_in_order_with_their_first_children(spark):
+    mv = spark.createDataFrame([(3, "1", "p\\q.txt", "b/", None), (1, "2", None, "b/", "r"), (2, "3", "z", None, "r"), (4, "4", "y", "a/", "r"), (5, "5", "w", "b/", "r")], "plan_seq long, id string, from_path string, to_dir string, reason string")
+    got = sorted(tuple(r) for r in views.moves_by_destination(mv, "plan_seq", 2).collect())
+    assert got == [("", 0, 1, 1, "z  →  ", "r"), ("a/", 1, 1, 1, "y  →  a/", "r"), ("b/", 2, 3, 1, "  →  b/", "r"), ("b/", 2, 3, 2, "q.txt  →  b/", "")]
+    de = spark.createDataFrame([(2, "1", "p/q", None, 0.125), (1, "2", None, "x", None), (3, "1", "p/q", None, 0.5)], "plan_seq long, id string, path string, reason string, confidence double")
+    assert sorted(tuple(r) for r in views.deletes_by_reason(de, "plan_seq").collect()) == [("unknown", 0, 2, 1, "q", "0.12"), ("unknown", 0, 2, 2, "q", "0.50"), ("x", 1, 1, 1, "", "0.00")]
+
+
+def test_overview_has_costs_or_zero(spark):
+    m = spark.createDataFrame([("A:x", "1"), ("A:x", "2"), ("B:y", None)], "node_id string, id string")
+    c = spark.createDataFrame([("A:x", 1.5, 0.25)], "cluster_key string, gb double, monthly_cost double")
+    got = {r.cluster_key: (r["size"], r.hits, r.status, r.gb, r.monthly_cost) for r in views.cluster_overview(m, spark.createDataFrame([("1",)], "id string"), c).collect()}
+    assert got == {"A:x": (2, 1, "JUNK", 1.5, 0.25), "B:y": (0, 0, "NOT JUNK", 0.0, 0.0)}
 
 
 def test_topics(spark):
     assert autocat.k_candidates(3) == [2] and autocat.k_candidates(2) == []
-    docs = [("B", i, f"d{i}", "txt", "alpha beta gamma" if i % 2 else "delta epsilon zeta eta") for i in range(20)] + [("C", 0, "z", "", "one")]
-    items = spark.createDataFrame(docs, "bucket string, pos int, id string, ext string, d string")
-    w = autocat.tfidf(items.select("id", "d"), "id", "d")
+    docs = [("B", i, f"d{i}", "txt", "alpha beta gamma" if i % 2 else "delta epsilon zeta eta") for i in range(20)] + [("C", 0, "z", "", "one"), ("D", 1, "y", None, None), ("D", 2, "x", None, None), ("D", 3, "v", None, None)]
+    items = spark.createDataFrame(docs, "bucket string, seq int, id string, ext string, d string")
+    w = autocat.tfidf(items, "id", "d")
     assert all(abs(r.s - 1) < 1e-9 for r in w.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect())
-    got = autocat.topics(items, w).collect()
-    groups = sorted(sorted(r.file_ids) for r in got if r.bucket == "B")
-    assert groups == sorted([sorted(f"d{i}" for i in range(0, 20, 2)), sorted(f"d{i}" for i in range(1, 20, 2))])
-    assert all(r.label.startswith("txt ") and len(r.label.split(", ")) == 4 for r in got if r.bucket == "B") and [r.label for r in got if r.bucket == "C"] == ["all"]
+    for fit in (500, 8):  # fitted on all files, and on some; every file has its cluster
+        got, of = autocat.topics(items, autocat.tfidf(items, "id", "d", "bucket"), fit)
+        by = {}
+        for r in of.collect():
+            by.setdefault((r.bucket, r.cluster), set()).add(r.id)
+        assert sorted(map(sorted, (v for k, v in by.items() if k[0] == "B"))) == sorted([sorted(f"d{i}" for i in range(0, 20, 2)), sorted(f"d{i}" for i in range(1, 20, 2))])
+        rows = got.collect()
+        assert all(r.label.startswith("txt ") and len(r.label.split(", ")) == 4 and r.n_files == 10 for r in rows if r.bucket == "B")
+        assert [(r.label, r.score, r.n_files) for r in rows if r.bucket == "C"] == [("all", 1.0, 1)] and sum(r.n_files for r in rows if r.bucket == "D") == 3
     assert {r.pos for r in autocat.top_terms(w, 2).collect()} == {1, 2}
 
 

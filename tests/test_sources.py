@@ -6,8 +6,10 @@ import zipfile
 import pytest
 
 from shelfwright import cli
+from shelfwright.plans.pipeline import organize, write_documents
 from shelfwright.plans.apply import LAST_PLAN, apply_plan, record_and_apply
 from shelfwright.sources import documents, extract
+from shelfwright.sources import scan as scan_module
 from shelfwright.sources.scan import image_fingerprints, scan
 from shelfwright.streaming import landing
 
@@ -42,6 +44,19 @@ def test_tree(spark, tmp_path):
     assert scan(spark, str(tmp_path / "sub" / "_u")).count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 1000])
+def test_listing_below_the_upper_folders(tmp_path, parts, monkeypatch):
+    for n in ["a/x", "a-b/x", "a.b", "ab", "a/y/z/w", "a/y/z-/w", "A/1", "a/y.txt", "é/1"]:
+        write(tmp_path, n)
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path / "ab", tmp_path / "flink")
+    monkeypatch.setattr(scan_module, "PARTS", parts)
+    reader = scan_module.TreeReader(str(tmp_path), False)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    want = sorted(os.path.join(d, n) for d, _, names in os.walk(tmp_path) for n in names)
+    assert [r[2] for r in sorted(rows)] == want and len({r[0] for r in rows}) == len(rows)
+
+
 def test_text_gate(tmp_path):
     p = write(tmp_path, "t.md", b"x" * 3_000_000)
     assert extract.small_text(p) is not None
@@ -122,4 +137,8 @@ def test_command_line(tmp_path, capsys, spark):
     assert cli.main(["--path", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--rate", "0.1"]) == 0
     plan = json.loads((tmp_path / "out/plan.json").read_text())
     assert sorted(d["reason"] for d in plan["deletes"]) == ["exact_duplicate", "near_duplicate_text:0", "temp_suffix"] and len(plan["moves"]) == 2 and plan["cluster_costs"]
+    rows = scan(spark, str(tmp_path / "in"))
+    docs = write_documents(organize(rows.drop("text"), rows.select("id", "text"), 1.7e9), str(tmp_path / "large"), most=1)
+    assert set(docs) == {"plan"} and docs["plan"]["summary"]["files_scanned"] == 2
+    assert spark.read.parquet(str(tmp_path / "large/moves")).count() == 2 and not (tmp_path / "large/graph.json").exists()
     assert cli.main(["--path", str(tmp_path / "in"), "--apply", str(tmp_path / "out/plan.json")]) == 0 and "[OK]" in capsys.readouterr().out
