@@ -45,6 +45,7 @@ BUCKET, CHUNK = 64, 1 << 14
 HOT = 1 << 16  # classes of a key that one task may read, or eight times the mean load of the keys' sketch
 CELLS = 1 << 13  # shingles sampled at once
 TABLE = 1024
+LOW = U((1 << 32) - 1)
 
 
 @dataclass
@@ -125,7 +126,7 @@ def sampler(samples: int = SAMPLES, seed: int = 7):
 
 
 def _slot(h: np.ndarray, width: int) -> np.ndarray:
-    return (mix(h) & U(width - 1)).view(np.int64)
+    return (mix(h & LOW) & U(width - 1)).view(np.int64)  # of the half of a hash that bags keep
 
 
 def _idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
@@ -397,17 +398,17 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, k: in
             for at, data, off in shingles.chunks(b.column(1)):
                 x, tf, starts, _ = shingles.bags(data, off, k)
                 n = len(off) - 1
-                packed = (x << U(20)) | np.minimum(tf, (1 << 20) - 1).astype(np.uint64)
                 full = np.flatnonzero(np.diff(starts) > 0)
                 if not len(full):
                     continue
                 y = mix(x + tf.astype(np.uint64) * U(0x9E3779B97F4A7C15))
                 f1, f2 = mix(np.add.reduceat(y, starts[full])), mix(np.add.reduceat(mix(y ^ U(0x51)), starts[full]))
-                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(packed.view(np.int64))).take(pa.array(full))
+                places = np.append(0, np.cumsum(tf))[starts]  # a bag lists a shingle as often as it occurs, by 32 bits of its hash
+                lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(np.repeat((x & LOW).astype(np.uint32), tf).view(np.int32))).take(pa.array(full))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n).take(pa.array(full)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["rep", "f1", "f2", "bag"])
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    bags = docs.select("_id", "_text", F.xxhash64("_id").alias("h")).mapInArrow(sets, f"rep {id_type}, f1 long, f2 long, bag array<long>")
+    bags = docs.select("_id", "_text", F.xxhash64("_id").alias("h")).mapInArrow(sets, f"rep {id_type}, f1 long, f2 long, bag array<int>")
     bags = cut(bags.join(wanted, ["f1", "f2", "rep"], "left_semi").dropDuplicates(["f1", "f2"]).select("f1", "rep", "bag"), "bags")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,16 +421,15 @@ def _verify(docs: DataFrame, classes: DataFrame, likely: DataFrame, table, k: in
             each = []
             for c in (2, 3):
                 lens = b.column(c).value_lengths().to_numpy(zero_copy_only=False)
-                v = b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                h = v >> U(20)
-                at, tf = _slot(h, width), (v & U((1 << 20) - 1)).astype(np.float64)
-                p = np.repeat(np.arange(n), lens)
-                each.append((p, h, tf * idf2[at], tf, lens))
-            (pa_, ha, wa, ta, la), (pb, hb, wb, tb, lb) = each
-            p, h, w, tf = np.concatenate([pa_, pb]), np.concatenate([ha, hb]), np.concatenate([wa, wb]), np.concatenate([ta, tb])
-            o = np.lexsort((h, p))
-            p, h, w, tf = p[o], h[o], w[o], tf[o]
-            same = np.flatnonzero((h[1:] == h[:-1]) & (p[1:] == p[:-1]))
+                v = b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+                v |= np.repeat(np.arange(n, dtype=np.uint64), lens) << U(32)
+                each.append(np.unique(v, return_counts=True))
+            la, lb = (np.bincount((v >> U(32)).view(np.int64), minlength=n) for v, _ in each)
+            v, tf = np.concatenate([each[0][0], each[1][0]]), np.concatenate([each[0][1], each[1][1]]).astype(np.float64)
+            o = np.argsort(v, kind="stable")
+            v, tf = v[o], tf[o]
+            p, w = (v >> U(32)).view(np.int64), tf * idf2[_slot(v, width)]
+            same = np.flatnonzero(v[1:] == v[:-1])
             common_n = np.bincount(p[same], minlength=n)
 
             def jaccard(w: np.ndarray) -> np.ndarray:
