@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -68,6 +69,24 @@ def test_hamming_blocks_lose_no_pair(spark, m, monkeypatch):
     assert got == {(a, b, bin(a ^ b).count("1")) for a in words for b in words if a < b and bin(a ^ b).count("1") <= 8}
 
 
+@pytest.mark.parametrize("t,m,d", [(8, 2, 1), (8, 3, 3), (12, 2, 1)])
+def test_hamming_words_travel_by_few_blocks(spark, t, m, d, monkeypatch):
+    """Each pair once, wherever its words are sent, and far fewer rows sent than there are keys."""
+    monkeypatch.setattr(leader, "BLOCKS", (m,))
+    monkeypatch.setattr(leader, "ALONE", 10)
+    monkeypatch.setattr(leader, "AT_ONCE", 50)
+    monkeypatch.setattr(leader, "TOGETHER", 100 if d == 1 else 1)
+    assert len(leader.choices(t, m, 1)) == t + 1 and len(leader.choices(t, m, m)) == math.comb(t + m, m)
+    rng = random.Random(t + m)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    words = {b ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(0, t + 2))) for b in base for _ in range(8)}
+    words = [w - (1 << 64) if w >> 63 else w for w in words]
+    got = leader.hamming_pairs(spark.createDataFrame([(w,) for w in words], "fp long"), t)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    count = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    assert sorted((r.fp_a, r.fp_b, r.distance) for r in got.collect()) == sorted((a, b, count(a, b)) for a in words for b in words if a < b and count(a, b) <= t)
+
+
 def test_numbered(spark):
     rows = numbered(spark.range(5000).select((F.col("id") * 7 % 5003).alias("k")), "k").collect()
     assert sorted((r.k, r.idx) for r in rows) == [(k, i) for i, k in enumerate(sorted(r.k for r in rows))]
