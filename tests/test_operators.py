@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import text as tx
 from shelfwright.operators import autocat, categorize, clusters, graph, leader, plan, summarize, views
+from shelfwright.plans import pipeline, queries
 from shelfwright.plans.pipeline import organize, write_documents
 from shelfwright.schema import FILES
 from shelfwright.tables import numbered
@@ -87,6 +88,14 @@ def test_hamming_words_travel_by_few_blocks(spark, t, m, d, monkeypatch):
     assert sorted((r.fp_a, r.fp_b, r.distance) for r in got.collect()) == sorted((a, b, count(a, b)) for a in words for b in words if a < b and count(a, b) <= t)
 
 
+def test_near_texts_send_fingerprints_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pipeline.leader, "leader_clusters", lambda items, t: seen.append(items) or items)
+    f = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "seq long, id string")
+    pipeline.near_texts(f, spark.createDataFrame([("a", "one two three four"), ("b", ""), ("x", "no such file")], "id string, text string"))
+    assert [(r.seq, r.id) for r in seen[0].collect()] == [(1, "a")] and "ArrowEvalPython" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_numbered(spark):
     rows = numbered(spark.range(5000).select((F.col("id") * 7 % 5003).alias("k")), "k").collect()
     assert sorted((r.k, r.idx) for r in rows) == [(k, i) for i, k in enumerate(sorted(r.k for r in rows))]
