@@ -96,6 +96,15 @@ def test_near_texts_send_fingerprints_only(spark, monkeypatch):
     assert [(r.seq, r.id) for r in seen[0].collect()] == [(1, "a")] and "ArrowEvalPython" not in seen[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_moves_need_no_near_duplicates(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("moves don't depend on them")
+
+    monkeypatch.setattr(queries, "near", never)
+    monkeypatch.setattr(queries.leader, "leader_clusters", never)
+    assert queries.planned_moves(spark, "/root/testdata/sf0.001").columns == ["id", "from_path", "to_dir", "reason"]
+
+
 def test_numbered(spark):
     rows = numbered(spark.range(5000).select((F.col("id") * 7 % 5003).alias("k")), "k").collect()
     assert sorted((r.k, r.idx) for r in rows) == [(k, i) for i, k in enumerate(sorted(r.k for r in rows))]
