@@ -1,17 +1,20 @@
 """Topics without a model: TF-IDF of descriptors, k-means with a chosen number of clusters, and their terms.
 
-Weights are aggregations over all files, of a bucket or of the corpus. Centres and their number are fitted for each bucket on its first
+Weights are aggregations over all files, of a bucket or of the corpus. Topics count terms by themselves within each batch of
+descriptors, so that only sums for each term travel; the weights of a file are worked out beside it and are stored nowhere. Centres and their number are fitted for each bucket on its first
 FIT files, a bound so that one task can hold them; then every file of the bucket goes to its nearest centre, wherever it is. Members are
 rows; labels, terms and counts come from all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.operators.clusters import dominant_extension, first_rows
@@ -20,13 +23,17 @@ from shelfwright.tables import cut
 
 FEATURES = 6000
 TOP = 8
+COUNTED = 400_000  # terms that a task counts before it hands the counts on
 FIT = 500  # files of a bucket that its centres are fitted on
 
 
+def _words(text_col: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\b(\w\w+)\b"), F.lit(1))
+
+
 def ngrams(df: DataFrame, id_col: str, text_col: str, *by: str) -> DataFrame:
     """(*by, id, term) with multiplicity: words of two characters or more, and pairs of neighbours among them."""
-    w = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\b(\w\w+)\b"), F.lit(1))
-    rows = df.select(*by, F.col(id_col).alias("id"), w.alias("w"))
+    rows = df.select(*by, F.col(id_col).alias("id"), _words(text_col).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return rows.select(*by, "id", F.explode(F.concat("w", pairs)).alias("term"))
 
@@ -47,6 +54,77 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, *by: str, features: int = F
     return raw.join(norm, [*by, "id"]).select(*by, "id", "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
+def _terms(joined: str | None) -> Counter:
+    """The terms of ngrams() of one descriptor and how often each is in it; joined: its words with a blank between."""
+    w = joined.split(" ") if joined else []
+    c = Counter(w)
+    c.update(map(" ".join, zip(w, w[1:])))
+    return c
+
+
+def weigher(items: DataFrame, text_col: str = "d", features: int = FEATURES) -> Callable[[DataFrame], DataFrame]:
+    """What gives rows of items, one row an id, their terms and weights in the place of the text: tfidf() within each bucket, as arrays.
+
+    What reaches the driver is the vocabulary, features terms a bucket at most.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    words = lambda df: df.select(*[c for c in df.columns if c != text_col], F.array_join(_words(text_col), " ").alias("_w"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, tuple[Counter, Counter]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for b, (all_, df) in held.items():
+                terms = list(all_)
+                for lo in range(0, len(terms), 50_000):
+                    part = terms[lo : lo + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([all_[t] for t in part], pa.int64()), pa.array([df[t] for t in part], pa.int64())], names=["bucket", "term", "all", "df"])
+            held.clear()
+
+        for batch in batches:
+            for b, w in zip(batch["bucket"].to_pylist(), batch["_w"].to_pylist()):
+                if w:
+                    all_, df = held.setdefault(b, (Counter(), Counter()))
+                    c = _terms(w)
+                    all_.update(c)
+                    df.update(c.keys())
+            if sum(len(x[0]) for x in held.values()) > COUNTED:
+                yield from out()
+        yield from out()
+
+    vocab = words(items).select("bucket", "_w").mapInArrow(count, "bucket string, term string, all long, df long").groupBy("bucket", "term").agg(F.sum("all").alias("all"), F.sum("df").alias("df"))
+    top = vocab.withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("all"), "term"))).where(F.col("pos") <= features)
+    n = {r["bucket"]: r["n"] for r in items.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    idf: dict[str | None, dict[str, float]] = {}
+    for r in top.select("bucket", "term", "df").collect():  # features rows a bucket
+        idf.setdefault(r["bucket"], {})[r["term"]] = float(np.log((1.0 + n[r["bucket"]]) / (1.0 + r["df"])) + 1)
+    shared = spark.sparkContext.broadcast(idf)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, weights = [], []
+            for b, w in zip(batch["bucket"].to_pylist(), batch["_w"].to_pylist()):
+                own = shared.value.get(b, {})
+                x = {t: k * own[t] for t, k in _terms(w).items() if t in own}
+                norm = sum(v * v for v in x.values()) ** 0.5
+                terms.append(list(x))
+                weights.append([v / norm for v in x.values()])
+            keep = [c for c in batch.schema.names if c != "_w"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], names=[*keep, "terms", "weights"])
+
+    def out_of(df: DataFrame) -> DataFrame:
+        kinds = [f"`{c}` {k}" for c, k in df.dtypes if c != text_col]
+        return words(df).mapInArrow(weigh, ", ".join([*kinds, "terms array<string>", "weights array<double>"]))
+
+    return out_of
+
+
+def weighed(items: DataFrame, text_col: str = "d", features: int = FEATURES) -> DataFrame:
+    """items with the terms and weights of weigher()."""
+    return weigher(items, text_col, features)(items)
+
+
 def k_candidates(n: int) -> list[int]:
     """Numbers of clusters to try for n items."""
     return sorted({k for k in (2, 3, 4, 5, 6, 8, 10, n // 6, n // 4, n // 3) if 2 <= k < n})
@@ -111,14 +189,24 @@ def _fit(files: list[str], rows: pd.DataFrame) -> tuple[float, list[str], np.nda
 
 
 def topics(items: DataFrame, weights: DataFrame, fit: int = FIT) -> tuple[DataFrame, DataFrame]:
-    """(clusters: bucket, cluster, label, top_terms, score, n_files; members: bucket, cluster, id) of items (bucket, seq, id, ext).
+    """described_topics of items (bucket, seq, id, ext) and their weights (bucket, id, term, weight)."""
+    of = weights.groupBy("bucket", "id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))  # terms of one descriptor
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    items = items.select("bucket", "seq", "id", "ext").join(of, ["bucket", "id"], "left")
+    return described_topics(cut(items.select("bucket", "seq", "id", "ext", none("terms", "string"), none("weights", "double")), "items"), fit)
+
 
-    weights: bucket, id, term, weight. A bucket of fewer than three files is one cluster 'all' of score 1.
+def described_topics(items: DataFrame, fit: int = FIT, weigh: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters: bucket, cluster, label, top_terms, score, n_files; members: bucket, cluster, id) of items (bucket, seq, id, ext, terms, weights).
+
+    A bucket of fewer than three files is one cluster 'all' of score 1. weigh: adds terms and weights where items don't have them.
     """
+    weigh = weigh or (lambda df: df)
     spark = items.sparkSession
     ship(spark)
-    items = cut(items.select("bucket", "seq", "id", "ext"), "items")
-    some = first_rows(items, "bucket", "seq", fit).join(weights, ["bucket", "id"], "left").select("bucket", "pos", "id", "term", "weight")
+    first = F.broadcast(first_rows(items.select("bucket", "seq", "id"), "bucket", "seq", fit).select("bucket", "pos", "id"))  # fit rows a bucket
+    some = weigh(cut(items.drop("seq", "ext").join(first, ["bucket", "id"]), "fitted"))
+    some = some.select("bucket", "pos", "id", F.explode_outer(F.arrays_zip("terms", "weights")).alias("t")).select("bucket", "pos", "id", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight"))
     schema = "bucket string, cluster int, score double, terms array<string>, centre array<double>"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,11 +241,10 @@ def topics(items: DataFrame, weights: DataFrame, fit: int = FIT) -> tuple[DataFr
                             if t in at:
                                 x[i, at[t]] = w
                     got[part] = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-            yield pd.DataFrame({"bucket": pdf["bucket"], "cluster": got, "id": pdf["id"]})
+            yield pd.DataFrame({"bucket": pdf["bucket"], "cluster": got, "id": pdf["id"], "seq": pdf["seq"], "ext": pdf["ext"]})
 
-    of = weights.groupBy("bucket", "id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))  # terms of one descriptor
-    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
-    members = items.join(of, ["bucket", "id"], "left").select("bucket", "id", none("terms", "string"), none("weights", "double")).mapInPandas(place, "bucket string, cluster int, id string")
+    kind = dict(items.dtypes)["seq"]
+    members = weigh(items).mapInPandas(place, f"bucket string, cluster int, id string, seq {kind}, ext string")
     members = cut(members, "members")
     known = []
     for r in fitted:
@@ -165,12 +252,11 @@ def topics(items: DataFrame, weights: DataFrame, fit: int = FIT) -> tuple[DataFr
         rest = sorted(set(centres[r["bucket"]][0]) - set(r["terms"]))
         known.append([r["bucket"], r["cluster"], r["score"], ([t for _, t in order] + rest)[:TOP], not centres[r["bucket"]][0] and r["score"] == 1.0])
     known = spark.createDataFrame(known, "bucket string, cluster int, score double, top_terms array<string>, whole boolean")
-    named = members.join(items, ["bucket", "id"])
-    ext = dominant_extension(named.select(F.struct("bucket", "cluster").alias("k"), F.coalesce("ext", F.lit("")).alias("ext"), "seq"), "k").select("k.bucket", "k.cluster", "ext")
+    ext = dominant_extension(members.select(F.struct("bucket", "cluster").alias("k"), F.coalesce("ext", F.lit("")).alias("ext"), "seq"), "k").select("k.bucket", "k.cluster", "ext")
     size = members.groupBy("bucket", "cluster").agg(F.count("*").alias("n_files"))
     text = F.regexp_replace(F.concat_ws(" ", F.nullif("ext", F.lit("")), F.array_join(F.slice("top_terms", 1, 4), ", ")), r"^[, ]+|[, ]+$", "")
     label = F.when(F.col("whole"), "all").otherwise(F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("cluster_"), "cluster")))
-    return known.join(size, ["bucket", "cluster"]).join(ext, ["bucket", "cluster"]).select("bucket", "cluster", label.alias("label"), "top_terms", "score", "n_files"), members
+    return known.join(size, ["bucket", "cluster"]).join(ext, ["bucket", "cluster"]).select("bucket", "cluster", label.alias("label"), "top_terms", "score", "n_files"), members.select("bucket", "cluster", "id")
 
 
 def top_terms(weights: DataFrame, n: int = TOP) -> DataFrame:

@@ -285,6 +285,21 @@ def test_topics(spark):
     assert {r.pos for r in autocat.top_terms(w, 2).collect()} == {1, 2}
 
 
+def test_weights_beside_their_files(spark, monkeypatch):
+    """The weights of tfidf() without a shuffle of terms by id, and topics of the whole without a join."""
+    monkeypatch.setattr(autocat, "COUNTED", 20)
+    docs = [("B", i, f"d{i}", "txt", f"Alpha beta x alpha_{i % 3} gam\u00e9ma, beta" if i % 2 else "delta epsilon beta zeta eta") for i in range(20)] + [("C", 0, "z", "", "one"), ("C", 1, "y", "", ""), ("D", 1, "x", None, None)]
+    items = spark.createDataFrame(docs, "bucket string, seq int, id string, ext string, d string")
+    for features in (6000, 4):
+        got = autocat.weighed(items, features=features)
+        assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join"))
+        rows = [(r.bucket, r.id, t, round(w, 9)) for r in got.collect() for t, w in zip(r.terms, r.weights)]
+        assert sorted(rows) == sorted((r.bucket, r.id, r.term, round(r.weight, 9)) for r in autocat.tfidf(items, "id", "d", "bucket", features=features).collect())
+    a, b = autocat.described_topics(items, weigh=autocat.weigher(items))[0].collect(), autocat.topics(items, autocat.tfidf(items, "id", "d", "bucket"))[0].collect()
+    shown = lambda rows: sorted(repr((*r[:4], round(r.score, 6), r.n_files)) for r in rows)
+    assert shown(a) == shown(b) and sum(r.n_files for r in a) == 23
+
+
 def test_one_file_makes_the_known_documents(spark, tmp_path):
     fid, path = "8e44afe4870f50eb2869e7bcfcb32b34", "demo_data\\images\\img1.bin"
     h = "5e7714856962b963ca06c5089b28dd14b64f10dccb58044cda815d13a7d7d0af"
