@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -88,6 +89,34 @@ def test_hamming_words_travel_by_few_blocks(spark, t, m, d, monkeypatch):
     assert sorted((r.fp_a, r.fp_b, r.distance) for r in got.collect()) == sorted((a, b, count(a, b)) for a in words for b in words if a < b and count(a, b) <= t)
 
 
+def small_files_on_the_driver(df):
+    """Broadcasts in df's plan that are chosen by the size of files alone: no shuffle below tells how large they are in memory."""
+    plan_ = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    found = []
+    for i, x in enumerate(plan_):
+        if "BroadcastExchange" in x:
+            below = list(itertools.takewhile(lambda y, d=deep(x): deep(y) > d, plan_[i + 1 :]))
+            if any("FileScan" in y for y in below) and not any("Exchange" in y for y in below):
+                found.append(below)
+    return found
+
+
+def plans_of(monkeypatch, module):
+    """The tables that module cuts from now on, as they are before they are written."""
+    seen, cut_ = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, *a: seen.append(df) or cut_(df, *a))
+    return seen
+
+
+def test_leader_clusters_broadcast_nothing_by_file_size(spark, monkeypatch):
+    seen = plans_of(monkeypatch, leader)
+    items = [(s, f"f{s}", x) for s, x in enumerate([0, 1, 3, 0xFF << 20, 0xFF << 21, 7 << 40, 7 << 40, 0x1FFFF << 3])]
+    out = leader.leader_clusters(spark.createDataFrame(items, "seq long, id string, fp long"), 8)
+    assert out.count() == 7 and len(seen) > 4
+    assert [x for df in [*seen, out] for x in small_files_on_the_driver(df)] == []
+
+
 def test_near_texts_send_fingerprints_only(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(pipeline.leader, "leader_clusters", lambda items, t: seen.append(items) or items)
