@@ -134,6 +134,14 @@ def test_moves_need_no_near_duplicates(spark, monkeypatch):
     assert queries.planned_moves(spark, "/root/testdata/sf0.001").columns == ["id", "from_path", "to_dir", "reason"]
 
 
+def test_viewer_edges_are_made_once(spark, monkeypatch):
+    made = plans_of(monkeypatch, queries)
+    sf = "/root/testdata/sf0.001"
+    out = queries.viewer_edges(spark, sf)
+    read = {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in out.inputFiles()}
+    assert read == {"catalogue", "edges"} and len(made) >= 2
+
+
 def test_numbered(spark):
     rows = numbered(spark.range(5000).select((F.col("id") * 7 % 5003).alias("k")), "k").collect()
     assert sorted((r.k, r.idx) for r in rows) == [(k, i) for i, k in enumerate(sorted(r.k for r in rows))]
