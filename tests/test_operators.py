@@ -134,6 +134,15 @@ def test_moves_need_no_near_duplicates(spark, monkeypatch):
     assert queries.planned_moves(spark, "/root/testdata/sf0.001").columns == ["id", "from_path", "to_dir", "reason"]
 
 
+@pytest.mark.parametrize("name", ["planned_deletes"])
+def test_queries_broadcast_nothing_of_near_duplicates_by_file_size(spark, name, monkeypatch):
+    monkeypatch.setattr(queries, "_NEAR", {})  # searched anew
+    seen = plans_of(monkeypatch, leader)
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.columns and len(seen) > 4
+    assert [x for df in seen for x in small_files_on_the_driver(df)] == []
+
+
 def test_viewer_edges_are_made_once(spark, monkeypatch):
     made = plans_of(monkeypatch, queries)
     sf = "/root/testdata/sf0.001"
