@@ -134,7 +134,7 @@ def test_moves_need_no_near_duplicates(spark, monkeypatch):
     assert queries.planned_moves(spark, "/root/testdata/sf0.001").columns == ["id", "from_path", "to_dir", "reason"]
 
 
-@pytest.mark.parametrize("name", ["planned_deletes", "node_inspector", "graph_edges", "node_record", "graph_nodes"])
+@pytest.mark.parametrize("name", ["planned_deletes", "node_inspector", "graph_edges", "node_record", "graph_nodes", "plan_summary"])
 def test_queries_broadcast_nothing_of_near_duplicates_by_file_size(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "_NEAR", {})  # searched anew
     seen = plans_of(monkeypatch, leader)
