@@ -143,6 +143,26 @@ def test_queries_broadcast_nothing_of_near_duplicates_by_file_size(spark, name,
     assert [x for df in seen for x in small_files_on_the_driver(df)] == []
 
 
+def data_on_the_driver(df):
+    """Broadcasts in df's plan other than of rows that are made by hand, of one row, or of one row an age band (a)."""
+    plan_ = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    found = []
+    for i, x in enumerate(plan_):
+        if "BroadcastExchange" in x:
+            below = list(itertools.takewhile(lambda y, d=deep(x): deep(y) > d, plan_[i + 1 :]))
+            if not any(s in y for y in below for s in ("keys=[]", "output=[a#", "ExistingRDD", "LocalTableScan")):
+                found.append(below)
+    return found
+
+
+@pytest.mark.parametrize("name", ["node_inspector"])
+def test_queries_broadcast_no_data_whatever_its_size(spark, name, monkeypatch):
+    seen = plans_of(monkeypatch, queries)  # all tables here are under Spark's threshold
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [x for df in [*seen, out] for x in data_on_the_driver(df)] == []
+
+
 def test_viewer_edges_are_made_once(spark, monkeypatch):
     made = plans_of(monkeypatch, queries)
     sf = "/root/testdata/sf0.001"
