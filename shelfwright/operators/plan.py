@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import text as tx
 from shelfwright.operators.clusters import exact_duplicates
+from shelfwright.tables import shuffled
 
 
 def deletes(files: DataFrame, near_text: DataFrame, near_image: DataFrame | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def deletes(files: DataFrame, near_text: DataFrame, near_image: DataFrame | None
     dup = exact_duplicates(files).where("not is_first").select(F.lit(0).alias("branch"), "id", "path", F.lit("exact_duplicate").alias("reason"), F.lit(0.99).alias("confidence"))
 
     def later(near: DataFrame, branch: int, name: str) -> DataFrame:
-        rows = near.where("seq <> leader_seq").join(path, "id", "left")
+        rows = near.where("seq <> leader_seq").join(shuffled(path), "id", "left")
         return rows.select(F.lit(branch).alias("branch"), "id", "path", F.concat(F.lit(f"{name}:"), F.col("cluster_idx").cast("string")).alias("reason"), F.lit(0.7).alias("confidence"))
 
     temp = files.where(tx.is_temp(tx.basename("path"))).select(F.lit(3).alias("branch"), "id", "path", F.lit("temp_suffix").alias("reason"), F.lit(0.6).alias("confidence"))
@@ -27,7 +28,7 @@ def deletes(files: DataFrame, near_text: DataFrame, near_image: DataFrame | None
 
 def moves(files: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, from_path, to_dir, reason) of every categorized file."""
-    rows = categories.select("id", "bucket", "label").join(files.select("id", "path"), "id", "left")
+    rows = categories.select("id", "bucket", "label").join(shuffled(files.select("id", "path")), "id", "left")
     return rows.select("id", F.col("path").alias("from_path"), F.concat("bucket", F.lit("/"), tx.slug("label"), F.lit("/")).alias("to_dir"), tx.cluster_key("bucket", "label").alias("reason"))
 
 

@@ -156,7 +156,7 @@ def data_on_the_driver(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["node_inspector", "graph_edges", "graph_nodes", "node_record"])
+@pytest.mark.parametrize("name", ["node_inspector", "graph_edges", "graph_nodes", "node_record", "plan_summary"])
 def test_queries_broadcast_no_data_whatever_its_size(spark, name, monkeypatch):
     seen = plans_of(monkeypatch, queries)  # all tables here are under Spark's threshold
     out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
