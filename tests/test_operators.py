@@ -163,6 +163,13 @@ def test_queries_broadcast_no_data_whatever_its_size(spark, name, monkeypatch):
     assert [x for df in [*seen, out] for x in data_on_the_driver(df)] == []
 
 
+def test_graph_edges_search_near_duplicates_without_data_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_NEAR", {})  # searched anew
+    seen = plans_of(monkeypatch, leader)
+    out = queries.graph_edges(spark, "/root/testdata/sf0.001")
+    assert len(seen) > 4 and [x for df in [*seen, out] for x in data_on_the_driver(df)] == []
+
+
 def test_viewer_edges_are_made_once(spark, monkeypatch):
     made = plans_of(monkeypatch, queries)
     sf = "/root/testdata/sf0.001"
