@@ -1,9 +1,9 @@
 """Topics without a model: TF-IDF of descriptors, k-means with a chosen number of clusters, and their terms.
 
 Weights are aggregations over all files, of a bucket or of the corpus. Topics count terms by themselves within each batch of
-descriptors, so that only sums for each term travel; the weights of a file are worked out beside it and are stored nowhere. Centres and their number are fitted for each bucket on its first
-FIT files, a bound so that one task can hold them; then every file of the bucket goes to its nearest centre, wherever it is. Members are
-rows; labels, terms and counts come from all of them.
+descriptors, so that only sums for each term travel; the weights of a file are worked out beside it. Centres, their number and its score
+are fitted on all files of a bucket: a bucket of at most FIT files by one task, a larger one in rounds over all of its files (rounds).
+Members are rows; labels, terms and counts come from all of them.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwright.operators.clusters import dominant_extension, first_rows
+from shelfwright.operators import rounds
+from shelfwright.operators.clusters import dominant_extension
 from shelfwright.session import ship
-from shelfwright.tables import cut
+from shelfwright.tables import cut, forget
 
 FEATURES = 6000
 TOP = 8
 COUNTED = 400_000  # terms that a task counts before it hands the counts on
-FIT = 500  # files of a bucket that its centres are fitted on
+FIT = 500  # files of a bucket that one task fits by itself
 
 
 def _words(text_col: str) -> Column:
@@ -117,6 +118,22 @@ def weigher(items: DataFrame, text_col: str = "d", features: int = FEATURES) ->
         kinds = [f"`{c}` {k}" for c, k in df.dtypes if c != text_col]
         return words(df).mapInArrow(weigh, ", ".join([*kinds, "terms array<string>", "weights array<double>"]))
 
+    def packed(df: DataFrame) -> DataFrame:
+        """As rounds.packed(), without rows of terms between."""
+        at = spark.sparkContext.broadcast({b: {t: i for i, t in enumerate(v)} for b, v in out_of.terms.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in weigh(batches):
+                place = [at.value[b] for b in batch["bucket"].to_pylist()]
+                keep = [c for c in batch.schema.names if c not in ("terms", "weights")]
+                terms = [np.array([p[t] for t in v], np.int32).tobytes() for p, v in zip(place, batch["terms"].to_pylist())]
+                weights = [np.array(v, np.float32).tobytes() for v in batch["weights"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=[*keep, "at", "w"])
+
+        return words(df).mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes if c != text_col), "at binary", "w binary"]))
+
+    out_of.terms = {b: sorted(idf.get(b, ())) for b in n}
+    out_of.packed = packed
     return out_of
 
 
@@ -153,11 +170,8 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> tuple[np.
     return labels, c
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray, most: int = 1000, seed: int = 42) -> float:
-    """Mean silhouette with Euclidean distances, over a sample of at most so many rows."""
-    if len(x) > most:
-        pick = np.random.default_rng(seed).choice(len(x), most, replace=False)
-        x, labels = x[pick], labels[pick]
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette with Euclidean distances, over all rows."""
     names, inv = np.unique(labels, return_inverse=True)
     if len(names) < 2 or len(names) >= len(x):
         return -1.0
@@ -196,16 +210,27 @@ def topics(items: DataFrame, weights: DataFrame, fit: int = FIT) -> tuple[DataFr
     return described_topics(cut(items.select("bucket", "seq", "id", "ext", none("terms", "string"), none("weights", "double")), "items"), fit)
 
 
-def described_topics(items: DataFrame, fit: int = FIT, weigh: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def _vocabulary(items: DataFrame) -> dict[str, list[str]]:
+    """The terms of each bucket of items, features terms at most."""
+    rows = items.select("bucket", F.explode_outer("terms").alias("term")).groupBy("bucket").agg(F.collect_set("term").alias("terms"))
+    return {r["bucket"]: sorted(r["terms"]) for r in rows.collect()}
+
+
+def described_topics(items: DataFrame, fit: int = FIT, weigh: Callable[[DataFrame], DataFrame] | None = None, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """(clusters: bucket, cluster, label, top_terms, score, n_files; members: bucket, cluster, id) of items (bucket, seq, id, ext, terms, weights).
 
-    A bucket of fewer than three files is one cluster 'all' of score 1. weigh: adds terms and weights where items don't have them.
+    A bucket of fewer than three files is one cluster 'all' of score 1. Every file of a bucket takes part in its fit; fit: files of a bucket
+    that one task fits by itself. weigh: a weigher(), where items don't have terms and weights. last: items is a table of cut() that nobody else reads.
     """
+    vocabulary = weigh.terms if weigh else _vocabulary(items)
+    packed = weigh.packed if weigh else (lambda df: rounds.packed(df, vocabulary))
     weigh = weigh or (lambda df: df)
     spark = items.sparkSession
     ship(spark)
-    first = F.broadcast(first_rows(items.select("bucket", "seq", "id"), "bucket", "seq", fit).select("bucket", "pos", "id"))  # fit rows a bucket
-    some = weigh(cut(items.drop("seq", "ext").join(first, ["bucket", "id"]), "fitted"))
+    n = {r["bucket"]: r["n"] for r in items.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    large = {b: k for b, k in n.items() if k > max(fit, rounds.LEAST)}
+    few = items.where(~F.col("bucket").isin(list(large)))
+    some = weigh(few.withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy("seq"))).drop("seq", "ext"))  # fit rows a bucket
     some = some.select("bucket", "pos", "id", F.explode_outer(F.arrays_zip("terms", "weights")).alias("t")).select("bucket", "pos", "id", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight"))
     schema = "bucket string, cluster int, score double, terms array<string>, centre array<double>"
 
@@ -244,14 +269,16 @@ def described_topics(items: DataFrame, fit: int = FIT, weigh: Callable[[DataFram
             yield pd.DataFrame({"bucket": pdf["bucket"], "cluster": got, "id": pdf["id"], "seq": pdf["seq"], "ext": pdf["ext"]})
 
     kind = dict(items.dtypes)["seq"]
-    members = weigh(items).mapInPandas(place, f"bucket string, cluster int, id string, seq {kind}, ext string")
-    members = cut(members, "members")
+    members = cut(weigh(few).mapInPandas(place, f"bucket string, cluster int, id string, seq {kind}, ext string"), "members")
     known = []
     for r in fitted:
         order = sorted(zip(r["centre"], r["terms"]), key=lambda p: (-p[0], p[1]))
         rest = sorted(set(centres[r["bucket"]][0]) - set(r["terms"]))
         known.append([r["bucket"], r["cluster"], r["score"], ([t for _, t in order] + rest)[:TOP], not centres[r["bucket"]][0] and r["score"] == 1.0])
     known = spark.createDataFrame(known, "bucket string, cluster int, score double, top_terms array<string>, whole boolean")
+    if large:
+        found, of = rounds.whole(packed(items.where(F.col("bucket").isin(list(large)))), vocabulary, large, k_candidates, fit, TOP, lambda: forget(items) if last else None)
+        known, members = known.unionByName(found.withColumn("whole", F.lit(False))), cut(members.unionByName(of), "members")
     ext = dominant_extension(members.select(F.struct("bucket", "cluster").alias("k"), F.coalesce("ext", F.lit("")).alias("ext"), "seq"), "k").select("k.bucket", "k.cluster", "ext")
     size = members.groupBy("bucket", "cluster").agg(F.count("*").alias("n_files"))
     text = F.regexp_replace(F.concat_ws(" ", F.nullif("ext", F.lit("")), F.array_join(F.slice("top_terms", 1, 4), ", ")), r"^[, ]+|[, ]+$", "")

@@ -2,11 +2,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.functions import text as tx
-from shelfwright.operators import autocat, categorize, clusters, graph, leader, plan, summarize, views
+from shelfwright.operators import autocat, categorize, clusters, graph, leader, plan, rounds, summarize, views
 from shelfwright.plans import pipeline, queries
 from shelfwright.plans.pipeline import organize, write_documents
 from shelfwright.schema import FILES
@@ -373,6 +374,61 @@ def test_weights_beside_their_files(spark, monkeypatch):
     assert shown(a) == shown(b) and sum(r.n_files for r in a) == 23
 
 
+def test_topics_of_all_files(spark, monkeypatch):
+    """Files after the first ones make topics too: in rounds over all files, and in cells where there are many topics."""
+    words = [f"{a}{b}{c}" for a in "kmn" for b in "aeiou" for c in "prstvz"]
+    docs = [("B", i, f"d{i}", "txt", "alpha beta gamma" if i < 8 and i % 2 else "delta epsilon zeta" if i < 8 else "eta theta iota") for i in range(20)]
+    docs += [("M", i, f"m{i}", "txt", " ".join(words[(3 * (i // 3) + j) % 90] for j in range(3))) for i in range(90)]
+    items = spark.createDataFrame(docs, "bucket string, seq int, id string, ext string, d string")
+
+    def found():
+        rows, of = autocat.described_topics(items, 8, autocat.weigher(items))
+        by = {}
+        for r in of.collect():
+            by.setdefault((r.bucket, r.cluster), set()).add(int(r.id[1:]))
+        rows = {(r.bucket, r.cluster): r for r in rows.collect()}
+        assert {k: r.n_files for k, r in rows.items()} == {k: len(v) for k, v in by.items()}
+        return rows, by
+
+    rows, by = found()
+    assert sorted(sorted(v) for k, v in by.items() if k[0] == "B") == [[0, 2, 4, 6], [1, 3, 5, 7], list(range(8, 20))]
+    assert sorted(r.label for k, r in rows.items() if k[0] == "B") == ["txt alpha, alpha beta, beta, beta gamma", "txt delta, delta epsilon, epsilon, epsilon zeta", "txt eta, eta theta, iota, theta"]
+    for local in (rounds.LOCAL, 40):
+        monkeypatch.setattr(rounds, "LOCAL", local)
+        rows, by = found()
+        many = [v for k, v in by.items() if k[0] == "M"]
+        assert sum(map(len, many)) == 90 and len(many) > 10 and sum(len({i // 3 for i in v}) == 1 for v in many) > len(many) / 2
+        assert all(len(r.top_terms) == 8 and 0 < r.score <= 1 for k, r in rows.items() if k[0] == "M")
+
+
+def test_silhouettes_of_all_files(spark):
+    """Rounds over all files give the clusters, and scores the silhouettes of squared distances, that come from all pairs."""
+    rng = np.random.default_rng(1)
+    docs = [("B", i, f"d{i}", "txt", " ".join(rng.choice([f"{'xyz'[i % 3]}{j}" for j in range(6)] + ["common"], 5))) for i in range(60)]
+    items = spark.createDataFrame(docs, "bucket string, seq int, id string, ext string, d string")
+    weigh = autocat.weigher(items)
+    table, width = rounds.compact(weigh.packed(items)), {"B": len(weigh.terms["B"])}
+    centres = rounds.lloyd(table, width, {"B": [3]})
+    sums = rounds._sums(table, centres)
+    x, label = np.zeros((60, width["B"])), np.zeros(60, int)
+    for r in rounds.placed(table, {"B": centres["B"][3]}).collect():
+        x[r.seq, np.frombuffer(r["at"], np.int32)], label[r.seq] = np.frombuffer(r["w"], np.float32), r.cluster
+    for j in range(3):
+        assert np.allclose(sums["B"][3][2][j], x[label == j].sum(0), atol=1e-5) and np.allclose(centres["B"][3][j], x[label == j].mean(0), atol=1e-2)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    s = []
+    for i in range(60):
+        mean = [d[i, (label == j) & (np.arange(60) != i)].mean() for j in range(3)]
+        a, b = mean[label[i]], min(m for j, m in enumerate(mean) if j != label[i])
+        s.append((b - a) / max(a, b))
+    assert abs(rounds.scores(table, centres, sums)["B"][3] - np.mean(s)) < 1e-4
+    l2, s2 = rounds.kmeans_of_products((x @ x.T).astype(np.float32), 3)
+    mean = np.stack([[d[i, (l2 == j) & (np.arange(60) != i)].mean() for j in range(3)] for i in range(60)])
+    own = mean[np.arange(60), l2]
+    mean[np.arange(60), l2] = np.inf
+    assert np.allclose(s2, (mean.min(1) - own) / np.maximum(mean.min(1), own), atol=1e-4)
+
+
 def test_one_file_makes_the_known_documents(spark, tmp_path):
     fid, path = "8e44afe4870f50eb2869e7bcfcb32b34", "demo_data\\images\\img1.bin"
     h = "5e7714856962b963ca06c5089b28dd14b64f10dccb58044cda815d13a7d7d0af"
